@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from waymark.llm import byte_bpe, host_quality, simhash, token_files, url_filter
+from waymark.llm import byte_bpe, decontaminate, host_quality, license_scan, simhash, token_files, url_filter
 
-MODULES = (byte_bpe, host_quality, simhash, token_files, url_filter)
+MODULES = (byte_bpe, decontaminate, host_quality, license_scan, simhash, token_files, url_filter)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

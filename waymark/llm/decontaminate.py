@@ -29,7 +29,7 @@ GRAM, QUESTION, ANSWER, TOGETHER = 3, 0.5, 0.5, 0.8
 PART_WORDS = 256
 #: Items of one index, which is broadcast; more items take more passes over the documents.
 INDEX_ITEMS = 1024
-BLOCK_ITEMS = 8
+BLOCK_ITEMS = 4
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double, answer_overlap double, first_word bigint"
 

@@ -5,7 +5,8 @@ shared. The lists of single positional bytes grow with the corpus and would give
 index intersects three lists at a time: 20 triples of positions are enough for every set of 4 positions to contain one
 (Turan's covering of 4-sets by triples on 8 points), and each list is 2^16 times shorter. Within a list the positional
 bytes that a pair shares are tallied; pairs with 4 or more are kept and verified by their bits. A list returns a
-spanning forest of its links rather than all of them, so its output is never larger than the list.
+spanning forest of its links rather than all of them, so its output is no larger than the list (five times that where a
+long list is split by its further bytes).
 """
 
 from __future__ import annotations

@@ -35,7 +35,7 @@ SCHEMA = "doc_id bigint, item_id bigint, score double, question_overlap double,
 
 
 def words_of(text: str | None) -> list[bytes]:
-    return (text or "").encode().translate(_TABLE).split()
+    return (text or "").lower().encode().translate(_TABLE).split()
 
 
 def question_and_answer(text: str) -> tuple[list[bytes], list[bytes]]:

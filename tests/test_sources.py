@@ -114,3 +114,38 @@ def test_edge_windows_against_loop(spark):
         ds = max(0.0, ds + own["acc_x"].mean() + len(own) / 100)
         x, y = x + ds * math.sin(way), y + ds * math.cos(way)
         assert (r.x, r.y, r.velocity, r.heading) == (pytest.approx(x, abs=1e-6), pytest.approx(y, abs=1e-6), pytest.approx(v, abs=1e-9), pytest.approx(psi, abs=1e-9))
+
+
+def test_command_line(spark, tmp_path):
+    import numpy as np
+
+    from waymark import cli
+
+    rng = np.random.default_rng(1)
+    t = 1_700_000_000_000_000_000 + np.arange(0, 12_000_000_000, 50_000_000)
+    for name in ("Accelerometer", "Gravity", "Gyroscope", "TotalAcceleration"):
+        pd.DataFrame({"time": t + rng.integers(0, 10_000_000), "x": rng.normal(0, 1, len(t)), "y": 0.1, "z": 9.8 if name == "Gravity" else 0.2}).to_csv(tmp_path / f"{name}.csv", index=False)
+    cli.main(["adapt", "--sensor-dir", str(tmp_path), "--output", str(tmp_path / "edge"), "--mounting-yaw-deg", "10"])
+    adapted = spark.read.csv(str(tmp_path / "edge"), header=True)
+    assert set(schema.EDGE_COLUMNS) <= set(adapted.columns) and 115 <= adapted.count() <= 120
+    cli.main(["edge", "--input", str(tmp_path / "edge"), "--no-model", "--output", str(tmp_path / "out")])
+    got = spark.read.csv(str(tmp_path / "out"), header=True, inferSchema=True).orderBy("t_idx").collect()
+    assert [r.t_idx for r in got][:2] == [0, 90] and got[0].x == 0
+
+
+def test_models(spark):
+    import numpy as np
+
+    from waymark.operators import models
+
+    rng = np.random.default_rng(2)
+    x = rng.normal(0, 2, (300, 3))
+    y = x @ [1.0, -2.0, 0.5] + 3 + rng.normal(0, 0.1, 300)
+    df = spark.createDataFrame(pd.DataFrame({"a": x[:, 0], "b": x[:, 1], "c": x[:, 2], "y": y, "trip": [f"T{i % 3}" for i in range(300)]}))
+    fitted = models.ridge(df, ["a", "b", "c"], "y", 1.0)
+    z = (x - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    want = np.linalg.solve(z.T @ z + np.eye(3), z.T @ (y - y.mean()))
+    np.testing.assert_allclose(fitted.stages[-1].coefficients.toArray(), want, rtol=1e-6)
+    out = models.leave_one_trip_out(df, ["T0", "T1", "T2"], "trip", ["a", "b", "c"], "y", {"ridge": models.ridge}, F.lit(3.0)).collect()
+    rmse = {(r.trip, r.model): r.rmse for r in out}
+    assert all(rmse[t, "ridge"] < 0.2 < rmse[t, "naive"] for t in ("T0", "T1", "T2"))

@@ -20,7 +20,7 @@ BOOSTED = {"maxIter": 400, "maxDepth": 6, "stepSize": 0.05, "subsamplingRate": 0
 
 def ridge(train: DataFrame, features: Sequence[str], label: str, alpha: float = 1.0) -> PipelineModel:
     """Ridge with penalty alpha on standardised features. ML scales the label by its deviation, so the penalty is scaled too."""
-    n, spread = train.agg(F.count("*"), F.stddev_samp(label)).first()
+    n, spread = train.agg(F.count("*"), F.stddev_pop(label)).first()
     assembler = VectorAssembler(inputCols=list(features), outputCol="_raw", handleInvalid="keep")
     scaler = StandardScaler(inputCol="_raw", outputCol="_x", withMean=True)
     model = LinearRegression(featuresCol="_x", labelCol=label, elasticNetParam=0.0, regParam=alpha / max(n, 1) * (spread or 1.0), standardization=False, solver="normal")

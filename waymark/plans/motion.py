@@ -6,6 +6,7 @@ import math
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from waymark.functions import geo
 from waymark.functions import signal as sig
@@ -497,3 +498,28 @@ SELECT session_id, CAST(window_idx AS BIGINT) AS window_idx, count(*) AS n_rows,
 def q_overlapped_windows(spark, sf_dir):
     rows = features.overlapped_windows(_signals(spark, sf_dir), 21)
     return rows.groupBy("session_id", "window_idx").agg(F.count("*").alias("n_rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"), F.round(F.avg("acc_veh_fwd"), R).alias("mean_fwd"))
+
+
+@query()
+def q_outage_windows(spark, sf_dir):
+    """Outage windows that don't overlap, chosen in a seeded order by session and duration."""
+    rows = samples(spark, sf_dir).withColumns({"fix": F.col("event_type").isin("click", "view"), "v": F.col("value") / 10})
+    return outage.choose_apart(outage.outage_candidates(rows, "t", "v", "fix", [30.0, 60.0, 120.0]))
+
+
+@query(f"""WITH {SAMPLES_SQL}, f AS (SELECT *, CASE WHEN event_type = 'click' THEN row_idx END AS fx FROM s),
+p AS (SELECT session_id, row_idx AS seg_start, lead(row_idx) {W} AS seg_end, us / 3.6e9 AS h, lead(us / 3.6e9) {W} - us / 3.6e9 AS dur, value / 10 AS v_k, lead(value / 10) {W} AS v1, radians(k) AS heading FROM s WHERE event_type = 'click'),
+g AS (SELECT * FROM p WHERE seg_end - seg_start >= 2 AND dur > 0 AND dur <= 400 AND NOT (v_k < 0.5 AND v1 < 0.5)),
+j AS (SELECT g.session_id, seg_start, v_k, heading, row_idx, a, w, dt, row_number() OVER (PARTITION BY g.session_id, seg_start ORDER BY row_idx) AS i FROM s JOIN g ON s.session_id = g.session_id AND row_idx > seg_start AND row_idx <= seg_end),
+j1 AS (SELECT *, sum(CASE WHEN i = 1 THEN greatest(0, v_k + a * dt) ELSE a * dt END) OVER (PARTITION BY session_id, seg_start ORDER BY row_idx) AS sm, heading + sum(w * dt) OVER (PARTITION BY session_id, seg_start ORDER BY row_idx) AS psi FROM j),
+j2 AS (SELECT *, sm - least(0, min(sm) OVER (PARTITION BY session_id, seg_start ORDER BY row_idx)) AS v FROM j1)
+SELECT session_id, seg_start, round(sqrt(pow(sum(v * dt * sin(psi)), 2) + pow(sum(v * dt * cos(psi)), 2)), 5) AS ds_imu, round(max_by(v, row_idx), 6) AS v_end FROM j2 GROUP BY 1, 2""")
+def q_segment_displacement(spark, sf_dir):
+    """Open-loop displacement between consecutive fixes."""
+    fix = F.col("event_type") == "click"
+    rows = samples(spark, sf_dir).withColumns({"fix": fix, "h": F.col("us") / 3.6e9, "v": F.col("value") / 10, "heading": F.radians("k")})
+    segments = features.fix_segments(rows, "fix", "h", "v", most_s=400.0)
+    last = F.max(F.when(F.col("fix"), F.col("row_idx"))).over(win.ordered().rowsBetween(Window.unboundedPreceding, -1))
+    own = rows.withColumn("seg_start", last).filter("seg_start IS NOT NULL").drop("heading")
+    found = features.segment_displacement(own, segments, "a", "w", "dt")
+    return found.select("session_id", "seg_start", F.round("ds_imu", 5).alias("ds_imu"), F.round("v_end", R).alias("v_end"))

@@ -6,10 +6,12 @@ Input events of a device: device, ts_ns, sensor, x, y, z. They are taken in the
 from __future__ import annotations
 
 import math
+import sys
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
@@ -205,8 +207,13 @@ FUSION_SCHEMA = "device string, ts_ns bigint, mode string, east double, north do
 
 
 def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Needs the RocksDB state store (use_state_store)."""
-    return stream.groupBy("device").transformWithStateInPandas(processor, schema, "update", "none")
+    """Needs the RocksDB state store (use_state_store). The processor travels with its code, as Spark also starts it on the driver, where shipped files aren't."""
+    own = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(own)
+    try:
+        return stream.groupBy("device").transformWithStateInPandas(processor, schema, "update", "none")
+    finally:
+        cloudpickle.unregister_pickle_by_value(own)
 
 
 def use_state_store(spark) -> None:

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark import ship
+
 #: Rows of an Arrow batch that carries whole texts; keeps a worker's memory small when texts are long.
 TEXT_BATCH_ROWS = 256
 
@@ -45,6 +47,7 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
+    ship.ensure(df.sparkSession)
     text_batches(df.sparkSession)
     return df.mapInArrow(fn, schema)
 

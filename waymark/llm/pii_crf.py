@@ -35,6 +35,8 @@ ROUNDS, DAMPING = 12, 0.3
 #: A word gets a label that is more likely than this.
 CERTAIN = 0.5
 SMOOTHING = 0.5
+#: Before it's seen, a shape has no label with this probability, which weighs as much as so many words.
+NO_LABEL, PRIOR_WEIGHT = 0.9, 2.0
 SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
@@ -108,8 +110,13 @@ def marked_words(text: str) -> list[tuple[int, int]]:
 
 
 def shape_of(word: str) -> str:
-    """Digits as 0, letters as a, other characters as they are; the length of each digit run up to 4, of others 1."""
+    """Digits as 0, letters as a, other characters as they are; the length of each digit run up to 4, of others 1.
+
+    Of 13 to 19 digits alone the check digit counts too.
+    """
     word = word.strip(_EDGES.replace("(", "").replace(")", ""))[:64]
+    if 13 <= len(word) <= 19 and word.isascii() and word.isdigit():
+        return "card" if luhn(word) else "number"
     classes = re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", "a", word))
     return re.sub(r"([^0])\1+", r"\1", re.sub(r"0{4,}", "0000", classes))[:SHAPE_CHARS]
 
@@ -134,14 +141,19 @@ class Field:
         self.chain = [(i, i + 1) for i in range(len(self.words) - 1) if text[self.words[i][1] : self.words[i + 1][0]].strip() == "" and self.words[i + 1][0] - self.words[i][1] == 1]
         self.skip: list[tuple[int, int]] = []
         last: dict[str, int] = {}
+        keys: list[list[str]] = []
+        seen: dict[str, set[int]] = {}
         for i, (a, b) in enumerate(self.words):
             word = text[a:b].strip(_EDGES).lower()
             digits = "".join(_DIGIT.findall(word))
-            for key in {word, "#" + digits if len(digits) >= SIMILAR_DIGITS else word}:
-                if len(key) > 3:  # similar words are joined in a row, so edges grow in proportion
-                    if key in last:
-                        self.skip.append((last[key], i))
-                    last[key] = i
+            keys.append([key for key in {word, "#" + digits if len(digits) >= SIMILAR_DIGITS else word} if len(key) > 3])
+            for key in keys[i]:  # similar words are joined in a row, so edges grow in proportion
+                if key in last:
+                    self.skip.append((last[key], i))
+                last[key] = i
+                seen.setdefault(key, set()).add(self.labels[i])
+        #: For each word the base labels of words like it, anywhere in the document.
+        self.alike = [set().union(*(seen[key] for key in own)) for own in keys]
 
 
 class Potentials:
@@ -194,7 +206,10 @@ def infer(fields: list[Field], potentials: Potentials) -> np.ndarray:
 
 
 def added_spans(text: str, field: Field, beliefs: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of words with one label that overlap no base span, without punctuation at their edges."""
+    """Runs of words with one label that overlap no base span, without punctuation at their edges.
+
+    A run needs a word that is like a base-labelled one elsewhere: what only looks like personal data isn't added.
+    """
     labels = np.where(beliefs.max(axis=1) > CERTAIN, beliefs.argmax(axis=1), 0).tolist() if len(beliefs) else []
     follows = set(field.chain)
     taken = sorted((a, b) for _, a, b in base)
@@ -209,7 +224,8 @@ def added_spans(text: str, field: Field, beliefs: np.ndarray, base: list[tuple[i
             b -= len(text[a:b]) - len(text[a:b].rstrip(_EDGES))
             while at < len(taken) and taken[at][1] <= a:
                 at += 1
-            if b > a and not (at < len(taken) and taken[at][0] < b):
+            known = any(labels[i] in field.alike[k] for k in range(i, j + 1))
+            if known and b > a and not (at < len(taken) and taken[at][0] < b):
                 out.append((labels[i] - 1, a, b))
         i = j + 1
     return out
@@ -236,21 +252,20 @@ def train(docs: DataFrame) -> Potentials:
 
     cells = map_rows(docs.select("text"), run, "kind string, key string, label int, n bigint").groupBy("kind", "key", "label").agg(F.sum("n").alias("n"))
     k = len(LABELS)
-    unary, other, chain, skip = {}, np.full(k, SMOOTHING), np.full((k, k), SMOOTHING), np.full((k, k), SMOOTHING)
+    prior = PRIOR_WEIGHT * np.array([NO_LABEL, *[(1 - NO_LABEL) / len(KINDS)] * len(KINDS)])
+    unary, chain, skip = {}, np.full((k, k), SMOOTHING), np.full((k, k), SMOOTHING)
     for r in cells.orderBy(F.desc("n"), "kind", "key", "label").limit(SHAPES).collect():
         if r["kind"] == "shape":
-            unary.setdefault(r["key"], np.full(k, SMOOTHING))[r["label"]] += r["n"]
-            other[r["label"]] += r["n"]
+            unary.setdefault(r["key"], prior.copy())[r["label"]] += r["n"]
         elif r["kind"] == "chain":  # (the right word's label, the left word's)
             chain[r["label"], int(r["key"])] += r["n"]
         else:
             skip[int(r["key"]), r["label"]] += r["n"]
             skip[r["label"], int(r["key"])] += r["n"]
     # A piece's potential is how far the pair exceeds what its labels' shares explain, so the pieces add up.
-    share = other / other.sum()
     logs = lambda t: np.log(t / t.sum()) - np.log(np.maximum(t.sum(axis=1, keepdims=True) * t.sum(axis=0, keepdims=True), 1e-12) / t.sum() ** 2)
     unary = {s: np.log(x / x.sum()) for s, x in unary.items()}
-    unary[""] = np.log(np.r_[1 - share[1:].sum() / 2, share[1:] / 2])
+    unary[""] = np.log(prior / prior.sum())
     return Potentials(unary, np.clip(logs(chain), -4, 4), np.clip(logs(skip), -4, 4))
 
 

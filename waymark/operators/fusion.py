@@ -15,7 +15,10 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators.windows import dealt
+
 E, N, VE, VN, PSI, BF, BL, BW = range(8)
+POSITION, VELOCITY, BIASES = slice(E, N + 1), slice(VE, VN + 1), slice(BF, BL + 1)
 #: Standard deviations of the first state, as fixed values.
 START_SIGMA = (5.0, 5.0, 0.5, 0.5, math.radians(5.0), 0.1, 0.1, math.radians(0.5))
 NHC_SIGMA, ZUPT_SIGMA, HEADING_SIGMA = 0.2, 0.05, math.radians(8.0)
@@ -56,15 +59,15 @@ class Navigator:
         own = np.array([fwd - self.x[BF], lat - self.x[BL]])
         acc = turn @ own
         by_psi = np.array([acc[1], -acc[0]])  # d(acc)/d(psi): a quarter turn
-        lever = np.array([dt * dt / 2, dt])  # of position and of velocity
+        lever = (dt * dt / 2, dt)  # of position and of velocity
         jac = np.eye(8)
-        for pair, reach in (((E, N), lever[0]), ((VE, VN), lever[1])):
+        for pair, reach in ((POSITION, lever[0]), (VELOCITY, lever[1])):
             jac[pair, PSI] = reach * by_psi
-            jac[np.ix_(pair, (BF, BL))] = -reach * turn
-        jac[(E, N), (VE, VN)] = dt
+            jac[pair, BIASES] = -reach * turn
+        jac[E, VE] = jac[N, VN] = dt
         jac[PSI, BW] = -dt
-        self.x[[E, N]] += self.x[[VE, VN]] * dt + lever[0] * acc
-        self.x[[VE, VN]] += dt * acc
+        self.x[POSITION] += self.x[VELOCITY] * dt + lever[0] * acc
+        self.x[VELOCITY] += dt * acc
         self.x[PSI] = wrap(self.x[PSI] + (yaw - self.x[BW]) * dt)
         n = self.noise
         spread = np.array([n.acc * lever[0]] * 2 + [n.acc * dt] * 2 + [n.turn * dt] + [n.acc_bias * dt] * 2 + [n.turn_bias * dt])
@@ -133,18 +136,23 @@ def run_outage(rows: pd.DataFrame, speed_sigma: float = 1.8, noise: Noise | None
 def fuse_outages(samples: DataFrame, speed_sigma: float = 1.8) -> DataFrame:
     """The filter's end state of each outage. samples: session_id, outage_id, row_idx and the columns of run_outage.
 
-    One group for each outage, so groups are as long as an outage, not as a session.
+    A group holds the outages of one session: a group for each outage would cost more in transfers than in filtering.
     """
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("row_idx", kind="stable")
-        nav = run_outage(group, speed_sigma)
+        group = group.sort_values(["outage_id", "row_idx"], kind="stable").reset_index(drop=True)
         names = ("east", "north", "ve", "vn", "psi", "b_fwd", "b_lat", "b_yaw")
-        return pd.DataFrame([{"session_id": group["session_id"].iloc[0], "outage_id": group["outage_id"].iloc[0], "n_rows": len(group), **dict(zip(names, nav.x.tolist(), strict=True))}])
+        ids = group["outage_id"].to_numpy()
+        bounds = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
+        out = []
+        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
+            nav = run_outage(group.iloc[a:b], speed_sigma)
+            out.append({"session_id": group["session_id"].iloc[0], "outage_id": ids[a], "n_rows": b - a, **dict(zip(names, nav.x.tolist(), strict=True))})
+        return pd.DataFrame(out)
 
     kinds = dict(samples.dtypes)
     schema = f"session_id {kinds['session_id']}, outage_id {kinds['outage_id']}, n_rows bigint, east double, north double, ve double, vn double, psi double, b_fwd double, b_lat double, b_yaw double"
-    return samples.groupBy("session_id", "outage_id").applyInPandas(run, schema)
+    return dealt(samples, "session_id").groupBy("session_id").applyInPandas(run, schema)
 
 
 def complementary_filter(rows: DataFrame, yaw: str, dt: str, reference: str, alpha: Column, by: Sequence[str], order: str, start: str | None = None) -> DataFrame:
@@ -183,7 +191,7 @@ def complementary_by_group(rows: DataFrame, yaw: str, dt: str, reference: str, a
         return pd.DataFrame({by: group[by], order: group[order], "heading": out})
 
     kinds = dict(rows.dtypes)
-    return rows.select(by, order, yaw, dt, reference).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, heading double")
+    return dealt(rows.select(by, order, yaw, dt, reference), by).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, heading double")
 
 
 #: Of the display smoother, as fixed values: least dead-band and default accuracy in metres, fixes that must agree, and how near.
@@ -221,4 +229,4 @@ def smooth_fixes(fixes: DataFrame, by: str = "session_id", order: str = "row_idx
         return pd.DataFrame({by: group[by], order: group[order], "anchor_east": anchors[:, 0], "anchor_north": anchors[:, 1]})
 
     kinds = dict(fixes.dtypes)
-    return fixes.select(by, order, "east", "north", "accuracy").groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, anchor_east double, anchor_north double")
+    return dealt(fixes.select(by, order, "east", "north", "accuracy"), by).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, anchor_east double, anchor_north double")

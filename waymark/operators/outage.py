@@ -10,7 +10,7 @@ from pyspark.sql.window import Window
 
 from waymark.functions.geo import wrap_pi
 from waymark.operators.joins import range_join
-from waymark.operators.windows import clamped_integral, ordered
+from waymark.operators.windows import clamped_integral, dealt, ordered
 
 
 def outage_candidates(samples: DataFrame, time: str, speed: str, flag: str, durations: list[float], by: str = "session_id", order: str = "row_idx", least_speed: float = 2.0, margin: float = 0.1) -> DataFrame:
@@ -25,10 +25,13 @@ def outage_candidates(samples: DataFrame, time: str, speed: str, flag: str, dura
 def choose_apart(candidates: DataFrame, most: int = 8, seed: int = 42, by: str = "session_id") -> DataFrame:
     """At most `most` windows of a session and duration that don't overlap, taken in a seeded random order.
 
-    Each choice depends on those before, so a session and duration is one group of row numbers.
+    Each choice depends on those before, so a session is one group of row numbers; each of its durations is chosen apart.
     """
 
-    def pick(group: pd.DataFrame) -> pd.DataFrame:
+    def pick(session: pd.DataFrame) -> pd.DataFrame:
+        return pd.concat([pick_one(own) for _, own in session.groupby("duration_s")])
+
+    def pick_one(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values("start_row", kind="stable")
         order = np.random.RandomState(seed).permutation(len(group))
         starts, ends = group["start_row"].to_numpy(), group["end_row"].to_numpy()
@@ -43,7 +46,7 @@ def choose_apart(candidates: DataFrame, most: int = 8, seed: int = 42, by: str =
         return out
 
     kind = dict(candidates.dtypes)[by]
-    return candidates.select(by, "duration_s", "start_row", "end_row").groupBy(by, "duration_s").applyInPandas(pick, f"{by} {kind}, duration_s double, start_row bigint, end_row bigint, window_idx bigint")
+    return dealt(candidates.select(by, "duration_s", "start_row", "end_row"), by).groupBy(by).applyInPandas(pick, f"{by} {kind}, duration_s double, start_row bigint, end_row bigint, window_idx bigint")
 
 
 OUTAGE = ("session_id", "outage_id")

@@ -214,3 +214,9 @@ def run_lengths(df: DataFrame, columns: Sequence[str], by: str = SESSION, order:
 
 def decimate(df: DataFrame, every: int, order: str = ORDER) -> DataFrame:
     return df.filter(F.col(order) % every == 0)
+
+
+def dealt(df: DataFrame, by: str = SESSION) -> DataFrame:
+    """df dealt by a key over as many tasks as shuffles have, for groups in Python: small rows that cost much time each
+    would else be merged into few tasks."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), by)

@@ -16,6 +16,8 @@ from waymark import ship
 
 #: Rows of an Arrow batch that carries whole texts; keeps a worker's memory small when texts are long.
 TEXT_BATCH_ROWS = 256
+#: A table of fewer bytes for each core is dealt over all cores.
+SMALL_BYTES = 4_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -52,7 +54,15 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
     return df.mapInArrow(fn, schema)
 
 
-def plain_documents(docs: DataFrame, *columns: str) -> DataFrame:
+def spread_out(df: DataFrame) -> DataFrame:
+    """A small table dealt over all cores, as its one file would else be one task; larger ones are left as they're read."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < cores * SMALL_BYTES else df
+
+
+def plain_documents(docs: DataFrame, *columns: str, spread: bool = True) -> DataFrame:
     """Only the named columns, with the types that operators work on; other columns of docs, whatever their names, don't matter."""
     kinds = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string"}
+    docs = spread_out(docs) if spread else docs
     return docs.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in columns))

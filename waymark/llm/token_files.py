@@ -143,7 +143,7 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
 
     store, at = _store(folder)
     store.create_dir(at, recursive=True)
-    ordered = plain_documents(docs, "doc_id", "text").repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = plain_documents(docs, "doc_id", "text", spread=False).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
     found = sorted(map(tuple, map_rows(ordered, run, "part int, name string, n bigint, tokens bigint, width int").collect()))  # a row for each file
     bases = np.r_[0, np.cumsum([tokens for *_, tokens, _ in found])].tolist()
     sets = [(name, n, base, width) for (_, name, n, _, width), base in zip(found, bases, strict=False) if n]

@@ -149,3 +149,22 @@ def test_models(spark):
     out = models.leave_one_trip_out(df, ["T0", "T1", "T2"], "trip", ["a", "b", "c"], "y", {"ridge": models.ridge}, F.lit(3.0)).collect()
     rmse = {(r.trip, r.model): r.rmse for r in out}
     assert all(rmse[t, "ridge"] < 0.2 < rmse[t, "naive"] for t in ("T0", "T1", "T2"))
+
+
+def test_importances_and_heading(spark):
+    import math
+
+    import numpy as np
+
+    from waymark.operators import models
+
+    rng = np.random.default_rng(3)
+    a = rng.uniform(0, 2 * math.pi, 400)
+    df = spark.createDataFrame(pd.DataFrame({"acc_x_mean": np.sin(a), "acc_z_mean": np.cos(a), "noise": rng.normal(size=400), "angle": a}))
+    names = ["acc_x_mean", "acc_z_mean", "noise"]
+    small = lambda t, f, y: models.boosted(t, f, y, maxIter=8, maxDepth=4, stepSize=0.4, subsamplingRate=1.0, featureSubsetStrategy="all")
+    found = models.importances(small(df.withColumn("s", F.sin("angle")), names, "s"), names, df).collect()
+    assert found[0].feature == "acc_x_mean" and {r.feature for r in found if r.risky} == {"acc_z_mean"}
+    out = models.heading_by_parts(df, df, names, "angle", small).select("angle", "heading_pred").toPandas()
+    error = np.abs(np.angle(np.exp(1j * (out["angle"] - out["heading_pred"]))))
+    assert error.mean() < 0.1

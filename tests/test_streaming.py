@@ -49,6 +49,12 @@ def test_count_windows_carry_over(streamed):
     assert got[["first_ns", "last_ns", "n"]].values.tolist() == [[0, 90, 91], [91, 181, 91]]
 
 
+def test_count_windows_without_rest(streamed):
+    rows = pd.DataFrame({"device": "a", "ts_ns": np.arange(40), "value": np.arange(40.0)})
+    got = streamed(rows, lambda s: live.count_windows(s, 20))
+    assert sorted(got["first_ns"]) == [0, 20]
+
+
 def test_smoother(streamed):
     rng = np.random.default_rng(2)
     rows = pd.DataFrame({"device": "a", "ts_ns": np.arange(80), "east": rng.normal(0, 15, 80).cumsum(), "north": rng.normal(0, 15, 80).cumsum(), "accuracy": 5.0})

@@ -76,7 +76,10 @@ class CountWindows(StatefulProcessor):
             own, waiting = waiting[: self.size], waiting[self.size :]
             values = [v for _, v in own]
             out.append((key[0], own[0][0], own[-1][0], len(own), float(np.mean(values)), float(np.std(values))))
-        self.rest.put(waiting)
+        if waiting:
+            self.rest.put(waiting)
+        else:  # an empty list can't be stored
+            self.rest.clear()
         yield pd.DataFrame(out, columns=["device", "first_ns", "last_ns", "n", "mean_value", "std_value"])
 
 

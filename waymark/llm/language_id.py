@@ -14,7 +14,7 @@ from itertools import product
 import numpy as np
 import pyarrow as pa
 import regex
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.common import map_rows, plain_documents, read_table
@@ -165,7 +165,7 @@ def _accuracy(rows: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
-def held_out(doc_id) -> F.col:
+def held_out(doc_id: Column) -> Column:
     return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(False))
 
 

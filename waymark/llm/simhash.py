@@ -210,10 +210,14 @@ def keep_one_of_each(docs: DataFrame) -> DataFrame:
     """docs without near duplicates: of each group the row with the smallest doc_id stays (of rows with one doc_id, the one with the smallest text hash)."""
     found = near_duplicates(docs)
     best = found.groupBy("group_fp").agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "text_hash")).alias("best"))
-    kept = best.select(F.col("best.doc_id").alias("__waymark_id"), F.col("best.text_hash").alias("__waymark_hash"))
-    marked = docs.withColumn("__waymark_row", F.xxhash64("text"))
-    joined = marked.join(kept, marked.doc_id.eqNullSafe(kept["__waymark_id"]) & (marked["__waymark_row"] == kept["__waymark_hash"]), "left_semi")
-    return joined.dropDuplicates(["doc_id", "__waymark_row"]).drop("__waymark_row")
+    keys = ["__waymark_no_id", "__waymark_id", "__waymark_hash"]  # none is null, so join and deduplication share one exchange
+
+    def keyed(doc_id, text_hash):
+        return dict(zip(keys, (doc_id.isNull(), F.coalesce(doc_id.cast("bigint"), F.lit(0)), text_hash), strict=True))
+
+    kept = best.select(*(x.alias(k) for k, x in keyed(F.col("best.doc_id"), F.col("best.text_hash")).items()))
+    marked = docs.withColumns(keyed(F.col("doc_id"), F.xxhash64(F.col("text").cast("string"))))
+    return marked.join(kept, keys, "left_semi").dropDuplicates(keys).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import map_rows, plain_documents, read_table, written
+from waymark.llm.common import map_rows, plain_documents, read_table, text_batches, written
 from waymark.llm.components import components
 
 SHINGLE_WORDS = 4
@@ -199,7 +199,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     """
     rows = written(fingerprints(docs), "fingerprints")
     nodes = written(rows.groupBy("fp").agg(F.min("doc_id").alias("first_id")), "nodes")
-    stars = components(written(near_links(nodes), "near"))
+    near = written(near_links(nodes), "near")
+    text_batches(docs.sparkSession)  # the links were dealt in larger batches
+    stars = components(near)
     grouped = nodes.join(stars, nodes.fp == stars.u, "left").select("fp", "first_id", F.coalesce("v", "fp").alias("group_fp"))
     firsts = grouped.groupBy("group_fp").agg(F.min("first_id").alias("component_id"))
     named = grouped.join(firsts, "group_fp").select("fp", "group_fp", "component_id")

@@ -50,14 +50,23 @@ def words_of(text: str | None) -> list[str]:
     return (text or "").lower().split()
 
 
+class WordIds(dict):
+    """Ids of words; those that aren't known go to buckets, and are remembered up to a number of words."""
+
+    def __missing__(self, word: str) -> int:
+        k = KNOWN + zlib.crc32(word.encode()) % HASHED
+        if len(self) < COUNTED_WORDS:
+            self[word] = k
+        return k
+
+
 class Tokens:
     def __init__(self, words: list[str]):
-        self.ids = {w: k for k, w in enumerate(words)}
+        self.ids = WordIds((w, k) for k, w in enumerate(words))
 
     def encode(self, text: str | None) -> np.ndarray:
-        get = self.ids.get
         words = words_of(text)
-        return np.fromiter((k if (k := get(w)) is not None else KNOWN + zlib.crc32(w.encode()) % HASHED for w in words), dtype=np.int32, count=len(words))
+        return np.fromiter(map(self.ids.__getitem__, words), dtype=np.int32, count=len(words))
 
 
 def count_words(docs: DataFrame) -> list[str]:
@@ -101,9 +110,20 @@ class Network:
         return np.tanh(total)
 
     @staticmethod
-    def _log_softmax(x: np.ndarray) -> np.ndarray:
+    def _log_probability(x: np.ndarray, at: np.ndarray) -> np.ndarray:
+        """Of one entry of each row of scores."""
+        x -= x.max(axis=1, keepdims=True)
+        own = x[np.arange(len(x)), at]
+        return own - np.log(np.exp(x, out=x).sum(axis=1))
+
+    @staticmethod
+    def _error(x: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+        """Gradient of the scores, for a mean over n rows: softmax less one at the true entry."""
         x -= x.max(axis=1, keepdims=True)
-        return x - np.log(np.exp(x).sum(axis=1, keepdims=True))
+        np.exp(x, out=x)
+        x /= x.sum(axis=1, keepdims=True) * np.float32(n)
+        x[np.arange(len(x)), at] -= np.float32(1 / n)
+        return x
 
     @staticmethod
     def _by_class(targets: np.ndarray) -> tuple[np.ndarray, list[tuple[int, int, int]]]:
@@ -115,12 +135,11 @@ class Network:
 
     def log_probabilities(self, around: np.ndarray, targets: np.ndarray) -> np.ndarray:
         hidden = self._hidden(around)
-        out = self._log_softmax(hidden @ self.p["class_out"] + self.p["class_bias"])[np.arange(len(targets)), targets // PER_CLASS]
+        out = self._log_probability(hidden @ self.p["class_out"] + self.p["class_bias"], targets // PER_CLASS)
         order, classes = self._by_class(targets)
         for c, a, b in classes:
             at = order[a:b]
-            logs = self._log_softmax(hidden[at] @ self.p["word_out"][c] + self.p["word_bias"][c])
-            out[at] += logs[np.arange(b - a), targets[at] % PER_CLASS]
+            out[at] += self._log_probability(hidden[at] @ self.p["word_out"][c] + self.p["word_bias"][c], targets[at] % PER_CLASS)
         return out
 
     def _step(self, name: str, grad: np.ndarray) -> None:
@@ -129,20 +148,17 @@ class Network:
 
     def train(self, around: np.ndarray, targets: np.ndarray) -> None:
         """One step of Adagrad on a batch."""
-        n, rows = len(targets), np.arange(len(targets))
+        n = len(targets)
         hidden = self._hidden(around)
-        d = np.exp(self._log_softmax(hidden @ self.p["class_out"] + self.p["class_bias"]))
-        d[rows, targets // PER_CLASS] -= 1
-        d /= n
+        d = self._error(hidden @ self.p["class_out"] + self.p["class_bias"], targets // PER_CLASS, n)
         d_hidden = d @ self.p["class_out"].T
         grads = {"class_out": hidden.T @ d, "class_bias": d.sum(axis=0), "word_out": np.zeros_like(self.p["word_out"]), "word_bias": np.zeros_like(self.p["word_bias"])}
         order, classes = self._by_class(targets)
         for c, a, b in classes:
             at = order[a:b]
-            e = np.exp(self._log_softmax(hidden[at] @ self.p["word_out"][c] + self.p["word_bias"][c]))
-            e[np.arange(b - a), targets[at] % PER_CLASS] -= 1
-            e /= n
-            grads["word_out"][c], grads["word_bias"][c] = hidden[at].T @ e, e.sum(axis=0)
+            own = hidden[at]
+            e = self._error(own @ self.p["word_out"][c] + self.p["word_bias"][c], targets[at] % PER_CLASS, n)
+            grads["word_out"][c], grads["word_bias"][c] = own.T @ e, e.sum(axis=0)
             d_hidden[at] += e @ self.p["word_out"][c].T
         d_hidden *= 1 - hidden * hidden
         grads["bias"], grads["embed"] = d_hidden.sum(axis=0), np.zeros_like(self.p["embed"])
@@ -161,7 +177,7 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     line = np.concatenate([gap, *(x for t in texts for x in (t, gap))])
     at = np.flatnonzero(line != PAD)
     steps = [*range(-SIDE, 0), *range(1, SIDE + 1)]
-    return np.stack([line[at + s] for s in steps], axis=1), line[at]
+    return np.asfortranarray(np.stack([line[at + s] for s in steps], axis=1)), line[at]
 
 
 def _encoded(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[list[np.ndarray]]:

@@ -68,7 +68,8 @@ def test_gradients():
 
 def test_scores_sum_conditionals_and_prefer_real_order(spark):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("doc_id", "text")
-    words, flat = masked_lm.train_model(docs)
+    words = masked_lm.count_words(docs)
+    flat = masked_lm.train_model(masked_lm.encode_documents(docs, words))
     tokens, net = masked_lm.Tokens(words), masked_lm.Network(flat)
     texts = [tokens.encode(r.text) for r in docs.orderBy("doc_id").limit(60).collect()]
     scores = masked_lm.score_texts(texts, net)

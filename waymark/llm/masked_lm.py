@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import map_rows, plain_documents, read_table
+from waymark.llm.common import map_rows, plain_documents, read_table, written
 
 #: Words with an id of their own, and buckets for all others. Together CLASSES * PER_CLASS.
 KNOWN, HASHED = 768, 256
@@ -180,22 +180,36 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
     return np.asfortranarray(np.stack([line[at + s] for s in steps], axis=1)), line[at]
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], tokens: Tokens) -> Iterator[list[np.ndarray]]:
-    for batch in batches:
-        yield [tokens.encode(t) for t in batch.column("text").to_pylist()]
+def encode_documents(docs: DataFrame, words: list[str]) -> DataFrame:
+    """(doc_id, ids) of every row, as a table in the shared folder: texts are split and looked up once for all passes."""
+    shared = docs.sparkSession.sparkContext.broadcast(words)
+
+    def run(batches: Iterator[pa.RecordBatch]):
+        tokens = Tokens(shared.value)
+        for batch in batches:
+            ids = [tokens.encode(t) for t in batch.column("text").to_pylist()]
+            yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+
+    return written(map_rows(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>"), "encoded")
 
 
-def train_round(docs: DataFrame, words: list[str], flat: np.ndarray, turn: int, turns: int) -> np.ndarray:
+def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
+    column = batch.column("ids")
+    values, offsets = column.values.to_numpy(zero_copy_only=False), column.offsets.to_numpy().tolist()
+    return [values[a:b] for a, b in pairwise(offsets)]
+
+
+def train_round(encoded: DataFrame, flat: np.ndarray, turn: int, turns: int) -> np.ndarray:
     """Every partition trains a copy of the network on its batches of this turn; returns their mean by tokens.
 
     Over all turns each token of each text is trained on once.
     """
-    shared = docs.sparkSession.sparkContext.broadcast((words, flat))
+    shared = encoded.sparkSession.sparkContext.broadcast(flat)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tokens, network, n = Tokens(shared.value[0]), Network(shared.value[1]), 0
-        for texts in _encoded(batches, tokens):
-            around, targets = windows(texts)
+        network, n = Network(shared.value), 0
+        for batch in batches:
+            around, targets = windows(_texts(batch))
             for lo in range(turn * TRAIN_TOKENS, len(targets), turns * TRAIN_TOKENS):
                 network.train(around[lo : lo + TRAIN_TOKENS], targets[lo : lo + TRAIN_TOKENS])
             n += len(targets)
@@ -207,7 +221,7 @@ def train_round(docs: DataFrame, words: list[str], flat: np.ndarray, turn: int,
         total = sum(n * np.frombuffer(w, dtype=np.float32).astype(np.float64) for n, w in zip(group["n"], group["weights"], strict=True))
         return pd.DataFrame({"block": [group["block"].iloc[0]], "weights": [(total / group["n"].sum()).astype(np.float32).tobytes()]})
 
-    copies = map_rows(docs.select("text"), run, "block int, n bigint, weights binary")
+    copies = map_rows(encoded.select("ids"), run, "block int, n bigint, weights binary")
     found = copies.groupBy("block").applyInPandas(mean, "block int, weights binary").collect()  # one network
     return np.concatenate([np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(found, key=lambda r: r["block"])]) if found else flat
 
@@ -221,11 +235,11 @@ def score_texts(texts: list[np.ndarray], network: Network) -> list[float]:
     return (sums[ends] - sums[ends - sizes]).tolist()
 
 
-def train_model(docs: DataFrame, rounds: int = ROUNDS) -> tuple[list[str], np.ndarray]:
-    words, flat = count_words(docs), Network().flat
+def train_model(encoded: DataFrame, rounds: int = ROUNDS) -> np.ndarray:
+    flat = Network().flat
     for turn in range(rounds):
-        flat = train_round(docs, words, flat, turn, rounds)
-    return words, flat
+        flat = train_round(encoded, flat, turn, rounds)
+    return flat
 
 
 def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
@@ -235,19 +249,19 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     repeated rows train as often. An empty table gives no rows. Only doc_id and text are read.
     """
     rows = plain_documents(docs, "doc_id", "text")
-    words, flat = train_model(rows, rounds)
-    shared = docs.sparkSession.sparkContext.broadcast((words, flat))
+    encoded = encode_documents(rows, count_words(rows))
+    shared = docs.sparkSession.sparkContext.broadcast(train_model(encoded, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tokens, network = Tokens(shared.value[0]), Network(shared.value[1])
+        network = Network(shared.value)
         for batch in batches:
-            texts = [tokens.encode(t) for t in batch.column("text").to_pylist()]
+            texts = _texts(batch)
             sums = score_texts(texts, network) if texts else []
             sizes = [len(t) for t in texts]
             means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
             yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
 
-    return map_rows(rows, run, "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    return map_rows(encoded, run, "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
 
 
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -62,22 +62,25 @@ class ChunkEncoder:
     def encode(self, texts: list[str]) -> list[bytes]:
         if len(self.memo) > MEMO_ENTRIES:
             self.memo.clear()
-        memo, parts, whole = self.memo, {}, []
+        memo, parts, whole = self.memo, {}, []  # memo and parts hold chunks without the space that begins them
         for k, text in enumerate(texts):
             if not self.chunked or any(t in text for t in self.added):
                 whole.append(k)
             else:
-                first, *rest = text.split(" ")
-                parts[k] = [first, *(" " + x for x in rest)]
+                parts[k] = text.split(" ")
+        starts = {k: own.pop(0) for k, own in parts.items()}
         new = list({c for own in parts.values() for c in own if c not in memo})
         good = [c for c in new if c and not c[-1].isspace()]
         memo.update(dict.fromkeys(new))
         for at in range(0, len(good), 50_000):
-            memo.update(zip(good[at : at + 50_000], self._library(good[at : at + 50_000]), strict=True))
+            part = good[at : at + 50_000]
+            memo.update(zip(part, self._library([" " + c for c in part]), strict=True))
+        plain = list({c for c in starts.values() if c and not c[-1].isspace()})
+        first = dict(zip(plain, self._library(plain), strict=True))
         out: dict[int, bytes] = {}
         for k, own in parts.items():
             try:
-                out[k] = b"".join([memo[c] for c in own])
+                out[k] = b"".join([first.get(starts[k]), *[memo[c] for c in own]])
             except TypeError:  # a chunk that can't be encoded apart
                 whole.append(k)
         for k in whole:

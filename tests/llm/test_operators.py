@@ -84,6 +84,20 @@ def test_scores_sum_conditionals_and_prefer_real_order(spark):
     assert sum(scores) > 0.95 * sum(untrained)
 
 
+def test_words_of_one_slot_have_their_own_probability(spark):
+    slot = lambda w: zlib.crc32(w.encode()) % masked_lm.HASHED
+    often, seldom = "x0", next(w for w in (f"x{i}" for i in range(1, 9999)) if slot(w) == slot("x0"))
+    known = " ".join(f"k{i}" for i in range(masked_lm.KNOWN))
+    texts = [known] * 20 + [f"k1 {often} k2", f"k1 {seldom} k2", " ".join([often] * 8)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string")
+    got = {r.doc_id: r for r in masked_lm.score_documents(docs).collect()}
+    assert len(got) == len(texts)
+    assert got[20].log_likelihood - got[21].log_likelihood == pytest.approx(np.log(9), abs=1e-4)
+    counts = masked_lm.word_counts(docs)
+    shares = {r.word: np.exp(r.share / masked_lm.UNITS) for r in masked_lm.word_shares(counts, masked_lm.known_words(counts)).collect()}
+    assert shares == pytest.approx({often: 0.9, seldom: 0.1})
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------
 
 

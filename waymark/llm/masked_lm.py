@@ -1,8 +1,8 @@
 """Masked pseudo-likelihood: a bidirectional window network, trained in numpy, predicts every token from both sides.
 
-The vocabulary is counted over the whole corpus: the most frequent words, and hash buckets for the rest. The network adds
-up embeddings of the words on either side, by position, and predicts the middle word in two steps, its class and the word
-within the class, so that probabilities are exact. In each of ROUNDS every partition trains a copy on its share of all its documents' tokens;
+All words are counted over the whole corpus. The most frequent ones have a slot of their own, the rest share slots by
+hash; within a shared slot each word has its share of the slot's count. The network adds up embeddings of the words on either side, by position, and predicts the middle word in three steps, its class, the slot
+within the class and the word within the slot, so that probabilities are exact and every word has its own. In each of ROUNDS every partition trains a copy on its share of all its documents' tokens;
 Spark averages the copies, weighted by their tokens, block by block. A document's score is the sum of its conditional
 log-probabilities.
 """
@@ -17,12 +17,13 @@ from itertools import pairwise
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.common import map_rows, plain_documents, read_table, written
 
-#: Words with an id of their own, and buckets for all others. Together CLASSES * PER_CLASS.
+#: Slots of one word each, and slots that all other words share by hash. Together CLASSES * PER_CLASS.
 KNOWN, HASHED = 768, 256
 CLASSES, PER_CLASS = 32, 32
 VOCABULARY = KNOWN + HASHED
@@ -33,6 +34,8 @@ ROUNDS = 2
 RATE = 0.15
 TRAIN_TOKENS = 2048
 SCORE_TOKENS = 100_000
+#: Words' log shares are added up as whole numbers of this many to one, so that the order of rows doesn't matter.
+UNITS = 1e9
 #: A partition's counts are passed on beyond so many distinct words.
 COUNTED_WORDS = 500_000
 BLOCK = 1024
@@ -51,7 +54,7 @@ def words_of(text: str | None) -> list[str]:
 
 
 class WordIds(dict):
-    """Ids of words; those that aren't known go to buckets, and are remembered up to a number of words."""
+    """Slots of words; those that aren't known share slots by hash, and are remembered up to a number of words."""
 
     def __missing__(self, word: str) -> int:
         k = KNOWN + zlib.crc32(word.encode()) % HASHED
@@ -69,8 +72,8 @@ class Tokens:
         return np.fromiter(map(self.ids.__getitem__, words), dtype=np.int32, count=len(words))
 
 
-def count_words(docs: DataFrame) -> list[str]:
-    """The KNOWN most frequent words of all texts; of equal counts the first in order."""
+def word_counts(docs: DataFrame) -> DataFrame:
+    """(word, n) of every word of all texts."""
 
     def run(batches: Iterator[pa.RecordBatch]):
         counts: Counter = Counter()
@@ -86,10 +89,26 @@ def count_words(docs: DataFrame) -> list[str]:
                 counts.clear()
         yield out()
 
-    counts = map_rows(docs.select("text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_rows(docs.select("text"), run, "word string, n bigint").groupBy("word").agg(F.sum("n").alias("n"))
+
+
+def known_words(counts: DataFrame) -> list[str]:
+    """The KNOWN most frequent words; of equal counts the first in order."""
     return [r["word"] for r in counts.orderBy(F.desc("n"), "word").limit(KNOWN).collect()]
 
 
+def count_words(docs: DataFrame) -> list[str]:
+    return known_words(word_counts(docs))
+
+
+def word_shares(counts: DataFrame, words: list[str]) -> DataFrame:
+    """(word, share) of every word that shares a slot: the logarithm of its share of the slot's count, in UNITS."""
+    known = counts.sparkSession.createDataFrame([(w,) for w in words], "word string")
+    rest = counts.join(F.broadcast(known), "word", "left_anti").withColumn("slot", F.crc32("word") % HASHED)
+    totals = rest.groupBy("slot").agg(F.sum("n").alias("total"))  # HASHED rows at most
+    return rest.join(F.broadcast(totals), "slot").select("word", F.round(F.log(F.col("n") / F.col("total")) * UNITS).cast("bigint").alias("share"))
+
+
 class Network:
     def __init__(self, flat: np.ndarray | None = None):
         if flat is None:
@@ -181,16 +200,20 @@ def windows(texts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
 
 
 def encode_documents(docs: DataFrame, words: list[str]) -> DataFrame:
-    """(doc_id, ids) of every row, as a table in the shared folder: texts are split and looked up once for all passes."""
+    """Every row's number, doc_id, ids, and words that share a slot, as a table in the shared folder: texts are split and looked up once for all passes."""
     shared = docs.sparkSession.sparkContext.broadcast(words)
 
     def run(batches: Iterator[pa.RecordBatch]):
-        tokens = Tokens(shared.value)
+        tokens, row = Tokens(shared.value), TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids = [tokens.encode(t) for t in batch.column("text").to_pylist()]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
+            texts = batch.column("text").to_pylist()
+            ids = [tokens.encode(t) for t in texts]
+            rare = [[words[k] for k in np.flatnonzero(own >= KNOWN).tolist()] for words, own in zip(map(words_of, texts), ids, strict=True)]
+            columns = [pa.array(range(row, row + len(ids)), pa.int64()), batch.column("doc_id"), pa.array(ids, pa.list_(pa.int32())), pa.array(rare, pa.list_(pa.string()))]
+            yield pa.record_batch(columns, ["row", "doc_id", "ids", "rare"])
+            row += len(ids)
 
-    return written(map_rows(docs.select("doc_id", "text"), run, "doc_id bigint, ids array<int>"), "encoded")
+    return written(map_rows(docs.select("doc_id", "text"), run, "row bigint, doc_id bigint, ids array<int>, rare array<string>"), "encoded")
 
 
 def _texts(batch: pa.RecordBatch) -> list[np.ndarray]:
@@ -249,7 +272,9 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
     repeated rows train as often. An empty table gives no rows. Only doc_id and text are read.
     """
     rows = plain_documents(docs, "doc_id", "text")
-    encoded = encode_documents(rows, count_words(rows))
+    counts = written(word_counts(rows), "counts")
+    words = known_words(counts)
+    encoded = encode_documents(rows, words)
     shared = docs.sparkSession.sparkContext.broadcast(train_model(encoded, rounds))
 
     def run(batches: Iterator[pa.RecordBatch]):
@@ -258,10 +283,13 @@ def score_documents(docs: DataFrame, rounds: int = ROUNDS) -> DataFrame:
             texts = _texts(batch)
             sums = score_texts(texts, network) if texts else []
             sizes = [len(t) for t in texts]
-            means = [s / n if n else None for s, n in zip(sums, sizes, strict=True)]
-            yield pa.record_batch([batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64()), pa.array(means, pa.float64())], ["doc_id", "n_tokens", "log_likelihood", "mean_log_likelihood"])
+            yield pa.record_batch([batch.column("row"), batch.column("doc_id"), pa.array(sizes, pa.int64()), pa.array(sums, pa.float64())], ["row", "doc_id", "n_tokens", "slots"])
 
-    return map_rows(encoded, run, "doc_id bigint, n_tokens bigint, log_likelihood double, mean_log_likelihood double")
+    by_slot = map_rows(encoded.select("row", "doc_id", "ids"), run, "row bigint, doc_id bigint, n_tokens bigint, slots double")
+    within = encoded.select("row", F.explode("rare").alias("word")).join(word_shares(counts, words), "word").groupBy("row").agg((F.sum("share") / UNITS).alias("within"))
+    found = by_slot.join(within, "row", "left").withColumn("log_likelihood", F.col("slots") + F.coalesce("within", F.lit(0.0)))
+    mean = F.when(F.col("n_tokens") > 0, F.col("log_likelihood") / F.col("n_tokens"))
+    return found.select("doc_id", "n_tokens", "log_likelihood", mean.alias("mean_log_likelihood"))
 
 
 def op2_masked_lm(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from waymark.operators import fusion
 from waymark.operators.fusion import Navigator, Noise, smooth_step
+from waymark.plans.estimation import QUERIES
+from waymark.plans.samples import samples
 from waymark.streaming.live import Estimator
 
 INPUTS = [(1.2, 0.3, 0.05, 0.1), (0.8, -0.1, 0.02, 0.1), (1.5, 0.2, -0.03, 0.1), (0.9, 0.0, 0.01, 0.1), (1.1, -0.2, 0.04, 0.1)]
@@ -93,6 +95,19 @@ def test_complementary_filters_agree(spark):
     np.testing.assert_allclose(a["heading"], b["heading"], atol=1e-12)
 
 
+def test_alpha_sweep_takes_whole_sessions(spark):
+    rows = samples(spark, "/root/testdata/sf0.001").toPandas().sort_values(["session_id", "row_idx"])
+    got = {(r.alpha, r.session_id): r.mean_heading for r in QUERIES["q_alpha_sweep_whole"](spark, "/root/testdata/sf0.001").collect()}
+    assert rows.groupby("session_id").size().max() > 40 and len(got) == 4 * rows["session_id"].nunique()
+    for session, own in rows.groupby("session_id"):
+        for alpha in (1.0, 0.95, 0.97, 0.98):
+            track = [math.radians(own["k"].iloc[0]) % (2 * math.pi)]
+            for w, dt, k in own[["w", "dt", "k"]].iloc[1:].itertuples(index=False):
+                moved, m = track[-1] + w * dt, math.radians(k)
+                track.append(math.atan2(alpha * math.sin(moved) + (1 - alpha) * math.sin(m), alpha * math.cos(moved) + (1 - alpha) * math.cos(m)) % (2 * math.pi))
+            assert got[alpha, session] == pytest.approx(np.mean(track), abs=2e-6)
+
+
 def run_live(n, fwd=0.0, acc=0.01, gyro=0.001, yaw=0.001, speed=None, start_speed=0.0):
     own = Estimator()
     own.start(0, 0, start_speed, 0.0)

@@ -175,23 +175,29 @@ def complementary_filter(rows: DataFrame, yaw: str, dt: str, reference: str, alp
     return packed.select(*by, F.explode(track).alias("p")).select(*by, F.col("p.o").alias(order), F.col("p.psi").alias("heading"))
 
 
-def complementary_by_group(rows: DataFrame, yaw: str, dt: str, reference: str, alpha: float, by: str, order: str) -> DataFrame:
-    """The same filter for long sessions, where an array that is copied at each step would cost too much."""
+def complementary_by_group(rows: DataFrame, yaw: str, dt: str, reference: str, alpha: float | str, by: str | Sequence[str], order: str) -> DataFrame:
+    """The same filter for long sessions, where an array that is copied at each step would cost too much.
+
+    alpha is a number or the name of a column of by.
+    """
+    keys = [by] if isinstance(by, str) else list(by)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, kind="stable")
+        own = float(group[alpha].iloc[0]) if isinstance(alpha, str) else alpha
         w, d, m = (group[c].to_numpy(dtype=float) for c in (yaw, dt, reference))
         out = np.empty(len(group))
         psi = m[0] % (2 * math.pi)
         out[0] = psi
         for k in range(1, len(group)):
             moved = psi + w[k] * d[k]
-            psi = math.atan2(alpha * math.sin(moved) + (1 - alpha) * math.sin(m[k]), alpha * math.cos(moved) + (1 - alpha) * math.cos(m[k])) % (2 * math.pi)
+            psi = math.atan2(own * math.sin(moved) + (1 - own) * math.sin(m[k]), own * math.cos(moved) + (1 - own) * math.cos(m[k])) % (2 * math.pi)
             out[k] = psi
-        return pd.DataFrame({by: group[by], order: group[order], "heading": out})
+        return pd.DataFrame({**{c: group[c] for c in keys}, order: group[order], "heading": out})
 
     kinds = dict(rows.dtypes)
-    return dealt(rows.select(by, order, yaw, dt, reference), by).groupBy(by).applyInPandas(run, f"{by} {kinds[by]}, {order} {kinds[order]}, heading double")
+    schema = ", ".join(f"{c} {kinds[c]}" for c in [*keys, order])
+    return dealt(rows.select(*keys, order, yaw, dt, reference), keys[0]).groupBy(*keys).applyInPandas(run, f"{schema}, heading double")
 
 
 #: Of the display smoother, as fixed values: least dead-band and default accuracy in metres, fixes that must agree, and how near.

@@ -11,6 +11,8 @@ from waymark.functions import geo
 from waymark.operators import aggregates as agg
 from waymark.operators import joins
 from waymark.operators import windows as win
+from waymark.plans.motion import QUERIES
+from waymark.plans.samples import samples
 
 
 def sessions(seed, n=120, k=3):
@@ -138,3 +140,22 @@ def test_plans_stay_in_one_exchange(spark):
     df = win.clamped_integral(rows, "x", "v").withColumn("psi", win.integrate(F.col("w") * 0.1))
     plan = win.dead_reckon(df.withColumn("dt", F.lit(0.1)), "v", "psi", "dt")._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "Python" not in plan
+
+
+def test_map_match_whole_takes_every_road(spark):
+    sf = "/root/testdata/sf0.001"
+    keys = [r.s_suppkey for r in spark.read.parquet(f"{sf}/supplier.parquet").select("s_suppkey").collect()]
+    want = {}
+    for p in samples(spark, sf).select("session_id", "row_idx", "value", "k").collect():
+        best = (math.inf, None)
+        for key in keys:
+            e1, n1, e2, n2 = key * 37 % 490, key * 11 % 100, key * 37 % 490 + 20 + key % 30, key * 17 % 100
+            de, dn = e2 - e1, n2 - n1
+            f = min(1, max(0, ((p.value - e1) * de + (p.k - n1) * dn) / (de * de + dn * dn)))
+            dist = math.hypot(p.value - e1 - f * de, p.k - n1 - f * dn)
+            turn = abs(math.remainder(math.radians(p.k * 3) - math.atan2(de, dn), math.pi))  # either way along the road
+            if dist <= 25 and turn <= math.radians(30):
+                best = min(best, (dist * (1 + turn / math.radians(30)), key))
+        want[p.session_id, p.row_idx] = best[1]
+    got = {(r.session_id, r.row_idx): r.way_id for r in QUERIES["q_map_match_whole"](spark, sf).collect()}
+    assert got == want and any(w is not None and w % 3 for w in want.values())

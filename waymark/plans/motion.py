@@ -444,9 +444,20 @@ t AS (SELECT *, least(abs(df + pi() - 2 * pi() * floor((df + pi()) / (2 * pi()))
 b AS (SELECT *, row_number() OVER (PARTITION BY session_id, row_idx ORDER BY dist * (1 + turn / radians(30.0)), way_id) AS i FROM t WHERE dist <= 25 AND turn <= radians(30.0))
 SELECT pt.session_id, pt.row_idx, way_id, round(dist, 6) AS dist, round(rh, 6) AS road_heading FROM pt LEFT JOIN (SELECT * FROM b WHERE i = 1) b ON pt.session_id = b.session_id AND pt.row_idx = b.row_idx""")
 def q_map_match(spark, sf_dir):
+    """Roads of every third supplier, as in its SQL; q_map_match_whole takes all."""
+    return _map_matched(spark, sf_dir, table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0"))
+
+
+@query()
+def q_map_match_whole(spark, sf_dir):
+    """All suppliers are roads."""
+    return _map_matched(spark, sf_dir, table(spark, sf_dir, "supplier"))
+
+
+def _map_matched(spark: SparkSession, sf_dir: str, suppliers: DataFrame) -> DataFrame:
     points = samples(spark, sf_dir).select("session_id", "row_idx", F.col("value").alias("x"), F.col("k").alias("y"), F.radians(F.col("k") * 3).alias("heading"))
     key = F.col("s_suppkey")
-    roads = table(spark, sf_dir, "supplier").filter(key % 3 == 0).select(key.alias("way_id"), F.lit(0).alias("seg_idx"), (key * 37 % 490).cast("double").alias("e1"), (key * 11 % 100).cast("double").alias("n1"), (key * 37 % 490 + 20 + key % 30).cast("double").alias("e2"), (key * 17 % 100).cast("double").alias("n2"))
+    roads = suppliers.select(key.alias("way_id"), F.lit(0).alias("seg_idx"), (key * 37 % 490).cast("double").alias("e1"), (key * 11 % 100).cast("double").alias("n1"), (key * 37 % 490 + 20 + key % 30).cast("double").alias("e2"), (key * 17 % 100).cast("double").alias("n2"))
     roads = roads.withColumn("heading", F.atan2(F.col("e2") - F.col("e1"), F.col("n2") - F.col("n1")))
     found = joins.map_match(points, roads, ["session_id", "row_idx"], 25.0, math.radians(30.0))
     return found.select("session_id", "row_idx", "way_id", F.round("dist", R).alias("dist"), F.round("road_heading", R).alias("road_heading"))

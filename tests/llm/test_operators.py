@@ -436,3 +436,39 @@ def test_url_model_is_a_distribution(spark):
     total = sum(np.exp(models.log_likelihood(base + chr(b), 0) - models.log_likelihood(base, 0)) for b in range(128))
     assert 0.4 < total <= 1.0 + 1e-6
     assert models.score("http://a.com/en/7") > 0 > models.score("http://b.net/es/7")
+
+
+def test_url_counts_are_exact(spark):
+    """Many more contexts than any table of a fixed size held; scores against a plain model."""
+    rng = np.random.default_rng(5)
+    urls = ["".join(map(chr, rng.integers(33, 127, 60))) for _ in range(1500)]
+    rows = [(i, u, "", "", None, "allow" if i % 2 else "block") for i, u in enumerate([*urls, *urls[:3], "", None])]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, host string, path string, rule string, rule_verdict string")
+    models = url_filter.train(df)
+    counts = [Counter(), Counter()]
+    for _, url, *_, verdict in rows:
+        line = "\2" * 4 + (url or "")
+        for i in range(4, len(line)):
+            counts[verdict == "block"].update((line[i - k : i], line[i]) for k in range(5))
+    totals, kinds = [Counter(), Counter()], [Counter(), Counter()]
+    for which in range(2):
+        for (context, _), n in counts[which].items():
+            totals[which][context] += n
+            kinds[which][context] += 1
+
+    def plain(url, which):
+        line, total = "\2" * 4 + url, 0.0
+        for i in range(4, len(line)):
+            p = 1 / 256
+            for k in range(5):
+                c = line[i - k : i]
+                if totals[which][c]:
+                    p = (counts[which][c, line[i]] + kinds[which][c] * p) / (totals[which][c] + kinds[which][c])
+            total += np.log(p)
+        return total
+
+    got = {r.page_id: r.score for r in url_filter.scored(df, models).collect()}
+    assert len(got) == len(rows)
+    for page_id, url, *_ in [*rows[::50], *rows[-5:]]:
+        assert got[page_id] == pytest.approx((plain(url, 0) - plain(url, 1)) / len(url) if url else 0)
+    assert models.log_likelihood(urls[0], 1) == pytest.approx(plain(urls[0], 1))

@@ -1,22 +1,25 @@
 """URL filter: rules by host and path, and for other URLs the ratio of two character language models.
 
 URLs that a rule allows or blocks train one smoothed variable-order Markov model each: counts of characters after
-contexts of 0 to ORDER characters, backed off from the longest context seen by Witten-Bell weights. Contexts are hashed
-into a table of fixed size, so the models have a proven size however many URLs train them; every labelled URL is
-counted. The log-likelihood difference for each character is calibrated: the threshold is the one that errs least,
+contexts of 0 to ORDER characters, backed off from the longest context seen by Witten-Bell weights. Counts are exact: a
+gram is a byte with the ORDER bytes before it, and grams are counted in a table of Spark's, which isn't collected. URLs
+are cut into blocks; the distinct grams of a block are joined with the table and meet the block's URLs again. The log-likelihood difference for each character is calibrated: the threshold is the one that errs least,
 in balanced terms, on all labelled URLs.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections import Counter
+from collections.abc import Iterable, Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.llm.common import map_rows, read_table
+from waymark.llm.common import map_rows, read_table, written
 
 #: (verdict, host, path): fixed values of the contract.
 RULES = (
@@ -27,8 +30,9 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 ORDER = 4
-#: Slots for the contexts of each order; the model has (ORDER + 1) * SLOTS * 2 counts at most.
-SLOTS = 1 << 15
+#: A block of URLs ends beyond so many bytes, and a partition's counts are passed on beyond so many grams.
+BLOCK_BYTES = 200_000
+COUNTED_GRAMS = 500_000
 #: Bins of the calibration histogram, over scores from -SPAN to SPAN.
 BINS, SPAN = 400, 4.0
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
@@ -55,43 +59,80 @@ def with_rules(pages: DataFrame, rules=RULES) -> DataFrame:
     return rows.select("page_id", F.col("__waymark_url").alias("url"), "host", "path", F.col("best.rule").alias("rule"), F.col("best.verdict").alias("rule_verdict"))
 
 
-def slots(url: str) -> np.ndarray:
-    """For each byte and each order the slot of its context and the slot of the context with the byte, (2, ORDER + 1, n)."""
-    data = np.frombuffer(b"\x02" * ORDER + url.encode(), dtype=np.uint8).astype(np.uint64)
+def grams(url: str) -> np.ndarray:
+    """For each byte a number of ORDER + 1 bytes: the ORDER bytes before it and the byte, the lowest."""
+    data = np.frombuffer(b"\x02" * ORDER + url.encode(), dtype=np.uint8).astype(np.int64)
     n = len(data) - ORDER
-    out = np.empty((2, ORDER + 1, n), dtype=np.int64)
-    key = np.zeros(n, dtype=np.uint64)
-    for order in range(ORDER + 1):
-        if order:
-            key = (key * np.uint64(257) + data[ORDER - order : len(data) - order] + np.uint64(1)) & np.uint64(0xFFFFFFFFFF)
-        out[0, order] = _mixed(key, order)
-        out[1, order] = _mixed(key * np.uint64(257) + data[ORDER:] + np.uint64(7_919), order)
+    out = np.zeros(n, dtype=np.int64)
+    for k in range(ORDER + 1):
+        out = out << 8 | data[k : k + n]
     return out
 
 
-def _mixed(key: np.ndarray, order: int) -> np.ndarray:
-    x = key * np.uint64(0x9E3779B97F4A7C15)
-    x ^= x >> np.uint64(29)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    return (x >> np.uint64(64 - 15)).astype(np.int64) + order * SLOTS
+class Counts:
+    """Exact counts of one class by order: of contexts, of contexts with a following byte, and of distinct following bytes."""
+
+    def __init__(self, counted: np.ndarray, n: np.ndarray, orders: Iterable[int]):
+        self.levels = {}
+        for order in orders:
+            pairs, at = np.unique(counted & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
+            seen = np.bincount(at, weights=n, minlength=len(pairs))
+            contexts, first = np.unique(pairs >> 8, return_index=True)  # pairs are sorted, so a context's are in a row
+            self.levels[order] = pairs, seen, contexts, np.add.reduceat(seen, first) if len(first) else seen, np.diff(np.r_[first, len(pairs)])
+
+    @staticmethod
+    def _found(keys: np.ndarray, values: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+        if not len(keys):
+            return np.zeros(len(wanted))
+        at = np.minimum(np.searchsorted(keys, wanted), len(keys) - 1)
+        return np.where(keys[at] == wanted, values[at], 0)
+
+    def probabilities(self, wanted: np.ndarray, p: np.ndarray | None = None) -> np.ndarray:
+        """Of the last byte of each gram after the ones before it; p: those by the orders under these."""
+        p = np.full(len(wanted), 1 / 256) if p is None else p
+        for order, (pairs, seen, contexts, totals, kinds) in self.levels.items():
+            pair = wanted & ((1 << 8 * (order + 1)) - 1)
+            total, kind = (self._found(contexts, x, pair >> 8) for x in (totals, kinds))
+            p = np.where(total > 0, (self._found(pairs, seen, pair) + kind * p) / np.maximum(total + kind, 1), p)
+        return p
 
 
 class Models:
-    """Counts of both classes: of contexts, of contexts with a following byte, and of distinct following bytes."""
+    """The counts of both classes as a table (which, gram, n), and its lowest orders, which have a proven size, in memory."""
+
+    def __init__(self, table: DataFrame):
+        self.table = table
+        self.near: tuple = (None, None)
+        low = table.groupBy("which", F.col("gram").bitwiseAND(0xFFFF).alias("pair")).agg(F.sum("n").alias("n")).toPandas()  # 2 * 65,536 rows at most
+        self.low = [Counts(own["pair"].to_numpy(np.int64), own["n"].to_numpy(np.int64), (0, 1)) for own in (low[low["which"] == w] for w in range(2))]
+
+    def ratios(self, wanted: DataFrame) -> DataFrame:
+        """(gram, ratio) of the distinct grams of wanted: the log-probability in an accepted URL less that in a rejected one.
+
+        Contexts of two bytes or more, and what follows them, share the two bytes before the gram's last one: the groups.
+        """
+        shared = wanted.sparkSession.sparkContext.broadcast(self.low)
+        rows = self.table.unionByName(wanted.select(F.lit(-1).cast("bigint").alias("which"), "gram", F.lit(0).cast("bigint").alias("n")).distinct())
+
+        def run(group: pd.DataFrame) -> pd.DataFrame:
+            which, gram, n = (group[c].to_numpy(np.int64) for c in ("which", "gram", "n"))
+            own = gram[which == -1]
+            logs = [np.log(Counts(gram[which == w], n[which == w], range(2, ORDER + 1)).probabilities(own, shared.value[w].probabilities(own))) for w in range(2)]
+            return pd.DataFrame({"gram": own, "ratio": logs[0] - logs[1]})
 
-    def __init__(self, contexts: np.ndarray, follows: np.ndarray, kinds: np.ndarray):
-        self.contexts, self.follows, self.kinds = contexts, follows, kinds  # each (2, (ORDER + 1) * SLOTS)
+        return rows.withColumn("pair", F.shiftright("gram", 8).bitwiseAND(0xFFFF)).groupBy("pair").applyInPandas(run, "gram bigint, ratio double")
 
     def log_likelihood(self, url: str, which: int) -> float:
+        """Of one URL, for looking at single URLs: the counts of its grams' contexts are collected, and kept for the next one."""
         if not url:
             return 0.0
-        context, follow = slots(url)
-        p = np.full(context.shape[1], 1 / 256)
-        for order in range(ORDER + 1):
-            c, f, k = (x[which] for x in (self.contexts, self.follows, self.kinds))
-            total, seen, kinds = c[context[order]], f[follow[order]], k[context[order]]
-            p = np.where(total > 0, (np.minimum(seen, total) + kinds * p) / np.maximum(total + kinds, 1), p)
-        return float(np.log(p).sum())
+        own = grams(url)
+        pairs = sorted(set((own >> 8 & 0xFFFF).tolist()))
+        if self.near[0] != (which, pairs):
+            near = self.table.filter(F.col("which") == which).filter(F.shiftright("gram", 8).bitwiseAND(0xFFFF).isin(pairs)).toPandas()
+            self.near = (which, pairs), Counts(near["gram"].to_numpy(np.int64), near["n"].to_numpy(np.int64), range(2, ORDER + 1))
+        high = self.near[1]
+        return float(np.log(high.probabilities(own, self.low[which].probabilities(own))).sum())
 
     def score(self, url: str | None) -> float:
         """Log-likelihood of an accepted URL less that of a rejected one, for each byte; 0 without any."""
@@ -100,49 +141,69 @@ class Models:
 
 
 def train(labelled: DataFrame) -> Models:
-    """Models of all rows (url, rule_verdict). Spark adds up the partitions' tables; the driver gets tables of a fixed size."""
-    size = (ORDER + 1) * SLOTS
+    """Models of all rows (url, rule_verdict): every gram is counted."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        counts = np.zeros((2, 2, size), dtype=np.int64)
+        counts: tuple[Counter, Counter] = (Counter(), Counter())
+
+        def out():
+            for which, own in enumerate(counts):
+                yield pa.record_batch([pa.array([which] * len(own), pa.int64()), pa.array(own.keys(), pa.int64()), pa.array(own.values(), pa.int64())], ["which", "gram", "n"])
+                own.clear()
+
         for batch in batches:
+            found: tuple[list, list] = ([], [])
             for url, verdict in zip(batch.column("url").to_pylist(), batch.column("rule_verdict").to_pylist(), strict=True):
                 if url:
-                    context, follow = slots(url)
-                    own = counts[int(verdict == "block")]
-                    np.add.at(own[0], context.ravel(), 1)
-                    np.add.at(own[1], follow.ravel(), 1)
-                    for order in range(ORDER + 1):
-                        firsts[int(verdict == "block")].update(zip(context[order].tolist(), follow[order].tolist(), strict=True))
-        for which in range(2):
-            for kind in range(2):
-                at = np.flatnonzero(counts[which, kind])
-                yield pa.record_batch([pa.array(np.full(len(at), which)), pa.array(np.full(len(at), kind)), pa.array(at), pa.array(np.zeros(len(at), np.int64)), pa.array(counts[which, kind, at])], names)
-            pairs = np.array(sorted(firsts[which]), dtype=np.int64).reshape(-1, 2)
-            yield pa.record_batch([pa.array(np.full(len(pairs), which)), pa.array(np.full(len(pairs), 2)), pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.array(np.ones(len(pairs), np.int64))], names)
-            firsts[which].clear()
-
-    names = ["which", "kind", "slot", "follow", "n"]
-    firsts: tuple[set, set] = (set(), set())
-    cells = map_rows(labelled.select("url", "rule_verdict"), run, "which bigint, kind bigint, slot bigint, follow bigint, n bigint")
-    summed = cells.groupBy("which", "kind", "slot", "follow").agg(F.sum("n").alias("n"))
-    summed = summed.withColumn("n", F.when(F.col("kind") == 2, F.lit(1)).otherwise(F.col("n")))  # a kind counts once, however many partitions saw it
-    found = summed.groupBy("which", "kind", "slot").agg(F.sum("n").alias("n")).toPandas()  # 6 * size rows at most
-    tables = np.zeros((3, 2, size), dtype=np.int64)
-    tables[found["kind"].to_numpy(), found["which"].to_numpy(), found["slot"].to_numpy()] = found["n"].to_numpy()
-    return Models(tables[0], tables[1], tables[2])
+                    found[int(verdict == "block")].append(grams(url))
+            for own, more in zip(counts, found, strict=True):
+                if more:
+                    own.update(dict(zip(*(x.tolist() for x in np.unique(np.concatenate(more), return_counts=True)), strict=True)))
+            if sum(map(len, counts)) > COUNTED_GRAMS:
+                yield from out()
+        yield from out()
+
+    cells = map_rows(labelled.select("url", "rule_verdict"), run, "which bigint, gram bigint, n bigint")
+    return Models(written(cells.groupBy("which", "gram").agg(F.sum("n").alias("n")), "grams"))
 
 
 def scored(rows: DataFrame, models: Models) -> DataFrame:
-    """rows with score; the models travel in the task's closure by a broadcast of a fixed size."""
-    shared = rows.sparkSession.sparkContext.broadcast((models.contexts.astype(np.int32), models.follows.astype(np.int32), models.kinds.astype(np.int32)))
+    """rows with score."""
+    columns = ["page_id", "url", "host", "path", "rule", "rule_verdict"]
+    schema = "page_id bigint, url string, host string, path string, rule string, rule_verdict string"
 
-    def run(batches: Iterator[pa.RecordBatch]):
-        own = Models(*shared.value)
+    def cut(batches: Iterator[pa.RecordBatch]):
+        block, size = TaskContext.get().partitionId() << 40, 0
         for batch in batches:
-            yield batch.append_column("score", pa.array([own.score(u) for u in batch.column("url").to_pylist()], pa.float64()))
+            blocks = []
+            for url in batch.column("url").to_pylist():
+                if size > BLOCK_BYTES:
+                    block, size = block + 1, 0
+                blocks.append(block)
+                size += len((url or "").encode())
+            yield batch.append_column("block", pa.array(blocks, pa.int64()))
+
+    def own_grams(batches: Iterator[pa.RecordBatch]):
+        for batch in batches:
+            held: dict[int, list[np.ndarray]] = {}
+            for block, url in zip(batch.column("block").to_pylist(), batch.column("url").to_pylist(), strict=True):
+                if url:
+                    held.setdefault(block, []).append(grams(url))
+            for block, own in held.items():
+                found = np.unique(np.concatenate(own))
+                yield pa.record_batch([pa.array(np.full(len(found), block)), pa.array(found)], ["block", "gram"])
+
+    def judge(group: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        known = known.sort_values("gram")
+        keys, ratios = known["gram"].to_numpy(np.int64), known["ratio"].to_numpy()
+        group = group[columns].copy()
+        group["score"] = [float(ratios[np.searchsorted(keys, own := grams(u))].sum() / len(own)) if u else 0.0 for u in group["url"]]
+        return group
 
-    return map_rows(rows, run, "page_id bigint, url string, host string, path string, rule string, rule_verdict string, score double")
+    blocks = written(map_rows(rows.select(*columns), cut, f"{schema}, block bigint"), "blocks")
+    held = map_rows(blocks.select("block", "url"), own_grams, "block bigint, gram bigint").distinct()
+    known = held.join(models.ratios(held.select("gram")), "gram")
+    return blocks.groupBy("block").cogroup(known.groupBy("block")).applyInPandas(judge, f"{schema}, score double")
 
 
 def threshold(labelled: DataFrame) -> float:
@@ -170,9 +231,10 @@ def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     rows = with_rules(pages, rules)
     labelled = rows.filter("rule IS NOT NULL")
     models = train(labelled)
-    cut = threshold(scored(labelled, models))
+    judged = written(scored(rows, models), "judged")
+    cut = threshold(judged.filter("rule IS NOT NULL"))
     method = F.when(F.col("score") < F.lit(cut), F.lit("block")).otherwise(F.lit("allow"))
-    return scored(rows, models).select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), F.round("score", 9).alias("score"))
+    return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), F.round("score", 9).alias("score"))
 
 
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

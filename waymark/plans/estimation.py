@@ -2,10 +2,7 @@
 
 from __future__ import annotations
 
-import atexit
 import math
-import shutil
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -15,6 +12,7 @@ from waymark.operators import edge, features, fusion, joins, models
 from waymark.operators import windows as win
 from waymark.plans.motion import _outages, _signals
 from waymark.plans.samples import SAMPLES_SQL, samples, table
+from waymark.shared import shared_dir
 from waymark.streaming import live
 
 QUERIES, ORACLE_SQL = {}, {}
@@ -33,11 +31,7 @@ def query(sql: str | None = None):
 
 def work_dir(spark: SparkSession) -> str:
     """A new folder that all executors share."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-waymark-", dir="/tmp")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-    return f"{at.rstrip('/')}/{uuid.uuid4().hex}"
+    return f"{shared_dir(spark)}/{uuid.uuid4().hex}"
 
 
 _FOLD = f"""WITH RECURSIVE {SAMPLES_SQL}, z AS (SELECT session_id, row_idx, w, dt, radians(k) AS m FROM s),

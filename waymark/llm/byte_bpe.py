@@ -1,10 +1,10 @@
 """Byte-level BPE encoding and decoding by merge replay over all distinct pieces of a block of the corpus.
 
 Every piece of the pre-tokenizer's pattern is independent of the rest of its text. So the texts of a partition are
-cut into chunks (a run of text from one single space to the next), each distinct chunk is split by the pattern once,
-and the distinct new pieces of a block of texts are encoded together: an inverted index maps the rank of a token pair
-to its positions in the concatenated pieces, the merges are applied in rank order, and after each merge only the two
-pairs beside it are looked up anew. Rows never leave their partition: there is no shuffle.
+cut into chunks, each distinct chunk is split by the pattern once, and the distinct new pieces of a block of texts are
+encoded together: an inverted index maps the rank of a token pair to its positions in the concatenated pieces, the
+merges are applied in rank order, and after each merge only the two pairs beside it are looked up anew. Rows never
+leave their partition: there is no shuffle. A worker's memory is bounded by the block, the memo and the longest text.
 """
 
 from __future__ import annotations
@@ -18,16 +18,16 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame, SparkSession
 
+from waymark.llm.chunks import Cut, Memo
 from waymark.llm.common import map_rows, plain_documents, read_table
 
 RANKS_FILE = "byte_bpe_50k.tiktoken"
 #: Texts are encoded in blocks of about so many characters.
 BLOCK_CHARS = 8_000_000
-#: A worker forgets its distinct chunks and pieces beyond this many.
-MEMO_ENTRIES = 400_000
 SCHEMA = "doc_id bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
 
 
@@ -55,7 +55,7 @@ class Vocabulary:
 
     def rank_of_pairs(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
         """The rank of each pair's merged token, or -1."""
-        keys = left * self.width + right
+        keys = left.astype(np.int64) * self.width + right
         at = np.minimum(np.searchsorted(self.pair_keys, keys), len(self.pair_keys) - 1)
         return np.where(self.pair_keys[at] == keys, self.pair_ranks[at], -1)
 
@@ -108,14 +108,14 @@ def replay_merges(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
     n = int(ends[-1]) if len(ends) else 0
     if not n:
         return [b""] * len(pieces)
-    ids = np.empty(n + 1, dtype=np.int64)
+    ids = np.empty(n + 1, dtype=np.int32)
     ids[:n] = vocab.byte_ids[np.frombuffer(b"".join(pieces), dtype=np.uint8)]
     ids[n] = -1
-    piece_of = np.repeat(np.arange(len(pieces)), lengths)
-    after = np.arange(1, n + 2)
+    piece_of = np.repeat(np.arange(len(pieces), dtype=np.int32), lengths)
+    after = np.arange(1, n + 2, dtype=np.int32)
     after[ends[lengths > 0] - 1] = n  # n stands for no neighbour
     after[n] = n
-    before = np.arange(-1, n)
+    before = np.arange(-1, n, dtype=np.int32)
     before[starts[lengths > 0]] = n
     alive = np.ones(n + 1, dtype=bool)
     alive[n] = False
@@ -132,7 +132,7 @@ def replay_merges(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
                 heapq.heappush(waiting, rank)
             index[rank].append(part)
 
-    left = np.flatnonzero(after[:n] < n)
+    left = np.flatnonzero(after[:n] < n).astype(np.int32)
     ranks = vocab.rank_of_pairs(ids[left], ids[after[left]])
     if (ranks >= 0).any():
         add(left[ranks >= 0], ranks[ranks >= 0])
@@ -176,46 +176,26 @@ def replay_merges(pieces: list[bytes], vocab: Vocabulary) -> list[bytes]:
 
 
 class BlockEncoder:
-    """Encodes blocks of texts; remembers chunks and pieces, boundedly, between blocks."""
+    """Encodes blocks of texts; remembers chunks between blocks, within a number of bytes."""
 
     def __init__(self, path: str, pattern: str = public_tokenizers.PATTERN):
         self.vocab, self.find = vocabulary(path), regex.compile(pattern).findall
-        self.chunks: dict[str, bytes | None] = {}
-        self.pieces: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """The ids of each text, as little-endian unsigned 32-bit integers.
-
-        A single space after a character that isn't white space always begins a piece, so chunks that begin there
-        can be encoded apart. A text with any chunk that is empty or ends in white space is split as a whole instead.
-        """
-        if len(self.chunks) + len(self.pieces) > MEMO_ENTRIES:
-            self.chunks.clear()
-            self.pieces.clear()
-        parts = []
-        for text in texts:
-            first, *rest = text.split(" ")
-            parts.append([first, *(" " + x for x in rest)])
-        chunks = self.chunks
-        new = {c for own in parts for c in own if c not in chunks}
-        split = {c: None if c[-1:].isspace() or not c else self.find(c) for c in new}
-        whole = {}
-        for k, own in enumerate(parts):
-            if any(split.get(c, b"") is None or chunks.get(c, b"") is None for c in own):
-                whole[k] = self.find(texts[k])
-        self._learn({p for own in (*split.values(), *whole.values()) if own for p in own})
-        pieces = self.pieces
-        for c, own in split.items():
-            chunks[c] = None if own is None else b"".join([pieces[p] for p in own])
-        return [b"".join([pieces[p] for p in whole[k]]) if k in whole else b"".join([chunks[c] for c in own]) for k, own in enumerate(parts)]
-
-    def _learn(self, found: set[str]) -> None:
-        new = [p for p in found if p not in self.pieces]
-        self.pieces.update(zip(new, replay_merges([p.encode() for p in new], self.vocab), strict=True))
+        self.chunks = Memo(self._encode_chunks)
+
+    def _encode_chunks(self, chunks: list[str]) -> list[bytes]:
+        split = [self.find(c) for c in chunks]
+        pieces = list({p for own in split for p in own})
+        coded = dict(zip(pieces, replay_merges([p.encode() for p in pieces], self.vocab), strict=True))
+        return [coded[own[0]] if len(own) == 1 else b"".join([coded[p] for p in own]) for own in split]
+
+    def encode(self, block: list[Cut]) -> Iterator[list[bytes]]:
+        """For each array of texts of the block, the ids of each text as little-endian unsigned 32-bit integers."""
+        self.chunks.learn({c for own in block for c in own.chunks()})
+        for own in block:
+            yield own.ids(self.chunks.known, np.dtype("<u4"))
 
     def decode(self, ids: bytes) -> bytes:
-        tokens = self.vocab.tokens
-        return b"".join([tokens[i] for i in np.frombuffer(ids, dtype="<u4").tolist()])
+        return b"".join(map(self.vocab.tokens.__getitem__, np.frombuffer(ids, dtype="<u4").tolist()))
 
 
 _encoders: dict[tuple[str, str], BlockEncoder] = {}
@@ -227,30 +207,32 @@ def encoder(path: str, pattern: str) -> BlockEncoder:
     return _encoders[path, pattern]
 
 
-def in_blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[list, list[str]]]:
-    """(doc ids, texts) of blocks of whole rows; a null text counts as empty."""
-    ids, texts, size = [], [], 0
+def in_blocks(batches: Iterator[pa.RecordBatch], chars: int = BLOCK_CHARS) -> Iterator[tuple[list[pa.Array], list[Cut]]]:
+    """(doc ids, texts by chunks) of blocks of batches; a null text counts as empty."""
+    ids, block, size = [], [], 0
     for batch in batches:
-        ids += batch.column("doc_id").to_pylist()
-        new = [t or "" for t in batch.column("text").to_pylist()]
-        texts += new
-        size += sum(map(len, new))
+        texts = batch.column("text")
+        ids.append(batch.column("doc_id"))
+        block.append(Cut(texts))
+        size += pc.sum(pc.binary_length(texts)).as_py() or 0
         if size >= chars:
-            yield ids, texts
-            ids, texts, size = [], [], 0
+            yield ids, block
+            ids, block, size = [], [], 0
     if ids:
-        yield ids, texts
+        yield ids, block
 
 
 def encode_texts(docs: DataFrame, path: str, pattern: str = public_tokenizers.PATTERN) -> DataFrame:
-    """doc_id, ids (array of int) of every row: the encoding itself."""
+    """doc_id, ids (array of int) of every row: the encoding itself.
+
+    A null or empty text has no ids; repeated rows and null doc_ids each give a row; an empty table gives none.
+    """
 
     def run(batches):
         coder = encoder(path, pattern)
-        for ids, texts in in_blocks(batches):
-            coded = [np.frombuffer(x, dtype="<u4").astype(np.int32) for x in coder.encode(texts)]
-            for at in range(0, len(ids), 1024):
-                yield pa.record_batch([pa.array(ids[at : at + 1024], pa.int64()), pa.array(coded[at : at + 1024], pa.list_(pa.int32()))], ["doc_id", "ids"])
+        for ids, block in in_blocks(batches):
+            for own, coded in zip(ids, coder.encode(block), strict=True):
+                yield pa.record_batch([own, pa.array([np.frombuffer(x, dtype="<u4").astype(np.int32) for x in coded], pa.list_(pa.int32()))], ["doc_id", "ids"])
 
     return map_rows(plain_documents(docs, "doc_id", "text"), run, "doc_id bigint, ids array<int>")
 
@@ -271,19 +253,20 @@ def encode_digests(docs: DataFrame, path: str | None = None, pattern: str = publ
     """Encode every whole text, decode the ids again, and return digests of both.
 
     One row for each row of docs, repeated ones and null doc_ids included. A null or empty text has no tokens and
-    the digests of nothing. An empty table gives an empty result. Only doc_id and text are read.
+    the digests of nothing. An empty table gives an empty result. A very long text is one block by itself; its chunks are
+    still encoded apart. Only doc_id and text are read.
     """
     path = path or public_tokenizers.path(RANKS_FILE)
 
     def run(batches):
         coder = encoder(path, pattern)
-        for ids, texts in in_blocks(batches):
-            coded = coder.encode(texts)
-            sha = lambda x: hashlib.sha256(x).hexdigest()
-            yield pa.record_batch(
-                [pa.array(ids, pa.int64()), pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(map(sha, coded), pa.string()), pa.array([sha(coder.decode(x)) for x in coded], pa.string())],
-                ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
-            )
+        sha = lambda x: hashlib.sha256(x).hexdigest()
+        for ids, block in in_blocks(batches):
+            for own, coded in zip(ids, coder.encode(block), strict=True):
+                yield pa.record_batch(
+                    [own, pa.array([len(x) // 4 for x in coded], pa.int64()), pa.array(map(sha, coded), pa.string()), pa.array([sha(coder.decode(x)) for x in coded], pa.string())],
+                    ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                )
 
     return map_rows(plain_documents(docs, "doc_id", "text"), run, SCHEMA)
 

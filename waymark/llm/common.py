@@ -2,44 +2,26 @@
 
 from __future__ import annotations
 
-import atexit
-import shutil
-import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import ship
+from waymark.shared import shared_dir
 
-#: Rows of an Arrow batch that carries whole texts; keeps a worker's memory small when texts are long.
-TEXT_BATCH_ROWS = 256
-#: A table of fewer bytes for each core is dealt over all cores.
-SMALL_BYTES = 4_000_000
+#: Operators get Spark's Arrow batches in slices of at most so many rows, and bytes of strings unless one row has more.
+SLICE_ROWS, SLICE_BYTES = 2048, 4_000_000
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def text_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches small in rows, since one row may be a very long text."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(TEXT_BATCH_ROWS))
-
-
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local tests a new one that is set there."""
-    at = spark.conf.get("spark.checkpoint.dir", None)
-    if not at:
-        at = tempfile.mkdtemp(prefix="spark-waymark-", dir="/tmp")
-        atexit.register(shutil.rmtree, at, ignore_errors=True)
-        at = f"file://{at}"
-        spark.conf.set("spark.checkpoint.dir", at)
-    return at.rstrip("/")
-
-
 def written(df: DataFrame, label: str) -> DataFrame:
     """df as a table in the shared folder: its work is done once, its lineage is cut, and a lost executor can't lose it."""
     spark = df.sparkSession
@@ -48,17 +30,30 @@ def written(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def in_slices(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches in slices bounded in rows and in bytes of strings, so a worker's memory doesn't follow the texts' length."""
+    for batch in batches:
+        sizes = np.zeros(batch.num_rows, dtype=np.int64)
+        for column in batch.columns:
+            if pa.types.is_string(column.type) or pa.types.is_binary(column.type):
+                sizes += pc.fill_null(pc.binary_length(column), 0).to_numpy(zero_copy_only=False)
+        ends, at = np.cumsum(sizes), 0
+        while at < batch.num_rows:
+            full = int(np.searchsorted(ends, (ends[at - 1] if at else 0) + SLICE_BYTES, side="right"))
+            to = max(at + 1, min(at + SLICE_ROWS, full))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
     ship.ensure(df.sparkSession)
-    text_batches(df.sparkSession)
-    return df.mapInArrow(fn, schema)
+    return df.mapInArrow(lambda batches: fn(in_slices(batches)), schema)
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """A small table dealt over all cores, as its one file would else be one task; larger ones are left as they're read."""
+    """A table of fewer files than cores dealt over all cores, as a file of one row group would else be one task."""
     cores = df.sparkSession.sparkContext.defaultParallelism
-    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return df.repartition(cores) if size < cores * SMALL_BYTES else df
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def plain_documents(docs: DataFrame, *columns: str, spread: bool = True) -> DataFrame:

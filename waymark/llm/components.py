@@ -9,9 +9,11 @@ from waymark.llm.common import written
 
 
 def _large_star(links: DataFrame) -> DataFrame:
+    """links: u > v. The table of least neighbours is written, so both sides of the join are plain scans: Spark broadcasts
+    the table while it's small, and splits the links of a hub over tasks when it isn't."""
     both = links.select(F.col("u").alias("a"), F.col("v").alias("b")).union(links.select(F.col("v").alias("a"), F.col("u").alias("b")))
-    least = both.groupBy("a").agg(F.least("a", F.min("b")).alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("u"), F.col("m").alias("v")).distinct()
+    least = written(both.groupBy("a").agg(F.least("a", F.min("b")).alias("m")), "least")
+    return links.join(least, links.v == least.a).select("u", F.col("m").alias("v")).distinct()
 
 
 def _small_star(links: DataFrame) -> DataFrame:

@@ -2,18 +2,21 @@
 
 Base spans come from patterns. The field's nodes are the words of a document that hold a digit or ``@``; all other words
 are fixed to no label, so they enter only through the potentials of their neighbours. Neighbouring words share a chain
-potential; words that are equal, or have equal digits, share a skip potential wherever they stand, so what is labelled
-once is found again. Loopy messages pass over all edges of a batch of documents at once.
-
-The potentials are the field's pieces, each trained by itself on all documents with the base spans as labels: what Spark
-counts are label frequencies by word shape, by neighbouring labels, and by agreement of similar words.
+potential; words that are equal, or have equal digits, share a skip potential with one of them, wherever they stand: a
+labelled one if there is any, else the first. So what is labelled once is found again, two steps away at most. Loopy
+messages pass over all edges of a run of documents at once.
+
+Labels that the field learns from, and holds fixed, are the base spans, and secrets: long words of letters and digits
+that a name such as ``token`` or ``password`` introduces. The potentials are the field's pieces, each trained by itself
+on all documents: what Spark counts are label frequencies by word shape, by neighbouring labels, and by agreement of
+similar words.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
-from collections import Counter
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,12 +26,12 @@ from pyspark.sql import functions as F
 
 from waymark.llm.common import map_rows, plain_documents, read_table
 
+#: Kinds of the base, then the field's own.
 KINDS = ("email", "ip", "card", "phone")
-LABELS = ("", *KINDS)
-#: Shapes are counted up to so many characters, with runs shortened, so there are few of them.
-SHAPE_CHARS = 12
-#: Shapes that reach the driver: those seen most often with some label; all others share one entry.
-SHAPES = 20_000
+LABELS = ("", *KINDS, "secret")
+SECRET = LABELS.index("secret")
+#: Shapes have up to so many characters, with runs shortened, so there are few of them; each counts for one of so many entries.
+SHAPE_CHARS, SHAPES = 12, 1 << 16
 #: Equal digits join two words if there are so many.
 SIMILAR_DIGITS = 6
 ROUNDS, DAMPING = 12, 0.3
@@ -37,16 +40,21 @@ CERTAIN = 0.5
 SMOOTHING = 0.5
 #: Before it's seen, a shape has no label with this probability, which weighs as much as so many words.
 NO_LABEL, PRIOR_WEIGHT = 0.9, 2.0
-SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string"
+#: Documents of about so many words pass their messages together; edges are worked on so many at a time.
+RUN_WORDS, RUN_EDGES = 50_000, 50_000
+SCHEMA = "doc_id bigint, n_email bigint, n_ip bigint, n_card bigint, n_phone bigint, base_sha256 string, spans string, secrets string, n_secret bigint, n_spans bigint"
 _LOCAL = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-"
 _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+)(?:\.[0-9]+)(?:\.[0-9]+)")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
-_DIGIT = re.compile(r"[0-9]")
+_DIGIT, _NOT_DIGIT = re.compile(r"[0-9]"), re.compile(r"[^0-9]+")
 _MARK = re.compile(r"[0-9@]")
 _SPACE = re.compile(r"\s")
 _EDGES = ".,;:!?()[]{}<>\"'"
+#: A name, a sign and a value, as fixed values.
+_SECRET = re.compile(r"""\b(?:token|secret|password|passwd|pwd|api[_-]?key|access[_-]?key|auth|bearer|key)["']?\s{0,3}[:=]\s{0,3}["']?((?=[A-Za-z_+/=-]{0,64}[0-9])(?=[0-9_+/=-]{0,64}[A-Za-z])[A-Za-z0-9_+/=-]{16,512})""", re.IGNORECASE)
+_CUES = ("token", "secret", "passw", "pwd", "key", "auth", "bearer")
 
 
 def emails(text: str) -> Iterator[tuple[int, int]]:
@@ -90,8 +98,16 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return out
 
 
+def secret_spans(text: str) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the values that a name introduces; a value has a digit and a letter."""
+    low = text.lower() if ":" in text or "=" in text else ""
+    if not any(c in low for c in _CUES):
+        return []
+    return [(SECRET - 1, m.start(1), m.end(1)) for m in _SECRET.finditer(text)]
+
+
 def joined(spans: list[tuple[int, int, int]]) -> str:
-    return ",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in spans)
+    return ",".join(f"{LABELS[k + 1]}:{a}:{b}" for k, a, b in spans)
 
 
 def marked_words(text: str) -> list[tuple[int, int]]:
@@ -112,52 +128,71 @@ def marked_words(text: str) -> list[tuple[int, int]]:
 def shape_of(word: str) -> str:
     """Digits as 0, letters as a, other characters as they are; the length of each digit run up to 4, of others 1.
 
-    Of 13 to 19 digits alone the check digit counts too.
+    Of 13 to 19 digits alone the check digit counts too; 16 or more letters and digits alone have one shape.
     """
     word = word.strip(_EDGES.replace("(", "").replace(")", ""))[:64]
+    if len(word) >= 16 and word.isascii() and word.isalnum() and not word.isdigit():
+        return "mixed"
     if 13 <= len(word) <= 19 and word.isascii() and word.isdigit():
         return "card" if luhn(word) else "number"
     classes = re.sub(r"[0-9]", "0", re.sub(r"[^\W\d_]", "a", word))
     return re.sub(r"([^0])\1+", r"\1", re.sub(r"0{4,}", "0000", classes))[:SHAPE_CHARS]
 
 
+_shapes: dict[str, int] = {}
+
+
+def entry_of(word: str) -> int:
+    """The entry of the word's shape; entries of a few shapes are remembered."""
+    shape = shape_of(word)
+    if shape not in _shapes:
+        if len(_shapes) > 10_000:
+            _shapes.clear()
+        _shapes[shape] = zlib.crc32(shape.encode()) % SHAPES
+    return _shapes[shape]
+
+
 class Field:
-    """The graph of one document: its marked words, base labels (0 where none), and the edges."""
-
-    def __init__(self, text: str, base: list[tuple[int, int, int]]):
-        self.words = marked_words(text)
-        self.shapes = [shape_of(text[a:b]) for a, b in self.words]
-        self.labels = [0] * len(self.words)
-        ordered = sorted((a, b, k) for k, a, b in base)
-        at = 0
-        for i, (a, b) in enumerate(self.words):
-            while at < len(ordered) and ordered[at][1] <= a:
-                at += 1
-            j = at
-            while j < len(ordered) and ordered[j][0] < b:
-                if ordered[j][1] > a:
-                    self.labels[i] = self.labels[i] or ordered[j][2] + 1
-                j += 1
-        self.chain = [(i, i + 1) for i in range(len(self.words) - 1) if text[self.words[i][1] : self.words[i + 1][0]].strip() == "" and self.words[i + 1][0] - self.words[i][1] == 1]
-        self.skip: list[tuple[int, int]] = []
-        last: dict[str, int] = {}
-        keys: list[list[str]] = []
-        seen: dict[str, set[int]] = {}
-        for i, (a, b) in enumerate(self.words):
-            word = text[a:b].strip(_EDGES).lower()
-            digits = "".join(_DIGIT.findall(word))
-            keys.append([key for key in {word, "#" + digits if len(digits) >= SIMILAR_DIGITS else word} if len(key) > 3])
-            for key in keys[i]:  # similar words are joined in a row, so edges grow in proportion
-                if key in last:
-                    self.skip.append((last[key], i))
-                last[key] = i
-                seen.setdefault(key, set()).add(self.labels[i])
-        #: For each word the base labels of words like it, anywhere in the document.
-        self.alike = [set().union(*(seen[key] for key in own)) for own in keys]
+    """The graph of one document: its marked words, the labels that are held (0 where none), and the edges."""
+
+    def __init__(self, text: str, held: list[tuple[int, int, int]]):
+        self.words = np.array(marked_words(text), dtype=np.int64).reshape(-1, 2)
+        starts, ends = self.words[:, 0], self.words[:, 1]
+        n = len(self.words)
+        self.labels = np.zeros(n, dtype=np.int64)
+        for k, a, b in sorted(held, key=lambda x: -x[1]):  # of several the first in the text counts
+            self.labels[np.searchsorted(ends, a, side="right") : np.searchsorted(starts, b, side="left")] = k + 1
+        at = np.flatnonzero(starts[1:] - ends[:-1] == 1)
+        self.chain = np.stack([at, at + 1], axis=1)
+        self.shapes = np.zeros(n, dtype=np.int64)
+        keys = np.zeros((n, 2), dtype=np.int64)  # of the word, and of its digits; 0 for none
+        for i, (a, b) in enumerate(self.words.tolist()):
+            word = text[a:b]
+            self.shapes[i] = entry_of(word)
+            word = word.strip(_EDGES).lower()
+            if len(word) > 3:
+                keys[i, 0] = hash(word)
+            if len(digits := _NOT_DIGIT.sub("", word)) >= SIMILAR_DIGITS:
+                keys[i, 1] = hash("#" + digits)
+        self.skip, self.alike = self._similar(keys)
+
+    def _similar(self, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Edges between each word and the hub of its key, and for each word the labels that are held by words like it, as bits."""
+        edges, alike = [np.empty((0, 2), dtype=np.int64)], np.zeros(len(keys), dtype=np.int64)
+        for own in keys.T:
+            rows = np.flatnonzero(own)
+            rows = rows[np.lexsort((self.labels[rows] == 0, own[rows]))]  # by key, labelled ones first, in the text's order
+            first = np.flatnonzero(np.r_[True, own[rows][1:] != own[rows][:-1]]) if len(rows) else rows
+            size = np.diff(np.r_[first, len(rows)])
+            hub = np.repeat(rows[first], size)
+            edges.append(np.stack([hub, rows], axis=1)[hub != rows])
+            if len(rows):
+                alike[rows] |= np.repeat(np.bitwise_or.reduceat(1 << self.labels[rows], first), size)
+        return np.unique(np.concatenate(edges), axis=0), alike
 
 
 class Potentials:
-    def __init__(self, unary: dict[str, np.ndarray], chain: np.ndarray, skip: np.ndarray):
+    def __init__(self, unary: dict, chain: np.ndarray, skip: np.ndarray):
         self.unary, self.chain, self.skip = unary, chain, skip  # logs; unary[""] stands for all other shapes
 
 
@@ -167,12 +202,12 @@ def infer(fields: list[Field], potentials: Potentials) -> np.ndarray:
     offsets = np.r_[0, np.cumsum(sizes)]
     n, k = int(offsets[-1]), len(LABELS)
     other = potentials.unary[""]
-    unary = np.array([potentials.unary.get(s, other) for f in fields for s in f.shapes]).reshape(n, k)
-    fixed = np.array([x for f in fields for x in f.labels], dtype=np.int64)
+    unary = np.array([potentials.unary.get(s, other) for f in fields for s in np.asarray(f.shapes).tolist()]).reshape(n, k)
+    fixed = np.concatenate([np.asarray(f.labels, dtype=np.int64) for f in fields]) if fields else np.empty(0, dtype=np.int64)
     unary[fixed > 0] = -30.0
     unary[fixed > 0, fixed[fixed > 0]] = 0.0
-    chain = np.array([(a + o, b + o) for f, o in zip(fields, offsets, strict=False) for a, b in f.chain], dtype=np.int64).reshape(-1, 2)
-    skip = np.array([(a + o, b + o) for f, o in zip(fields, offsets, strict=False) for a, b in f.skip], dtype=np.int64).reshape(-1, 2)
+    moved = lambda edges: np.concatenate([np.asarray(e, dtype=np.int64).reshape(-1, 2) + o for e, o in zip(edges, offsets, strict=False)] or [np.empty((0, 2), dtype=np.int64)])
+    chain, skip = moved([f.chain for f in fields]), moved([f.skip for f in fields])
     no_left, no_right = np.ones(n, dtype=bool), np.ones(n, dtype=bool)
     no_right[chain[:, 0]] = False
     no_left[chain[:, 1]] = False
@@ -181,113 +216,146 @@ def infer(fields: list[Field], potentials: Potentials) -> np.ndarray:
     source = np.concatenate([chain[:, 0], skip[:, 0], chain[:, 1], skip[:, 1]])
     target = np.concatenate([chain[:, 1], skip[:, 1], chain[:, 0], skip[:, 0]])
     edges = len(chain) + len(skip)
-    tables = np.concatenate([np.broadcast_to(t, (c, k, k)) for t, c in ((potentials.chain, len(chain)), (potentials.skip, len(skip)), (potentials.chain.T, len(chain)), (potentials.skip.T, len(skip)))])
-    messages = np.zeros((2 * edges, k))
-    back = np.r_[np.arange(edges, 2 * edges), np.arange(edges)]
+    cuts = np.cumsum([0, len(chain), len(skip), len(chain), len(skip)]).tolist()
+    runs = [(lo, min(lo + RUN_EDGES, b), t) for a, b, t in zip(cuts, cuts[1:], (potentials.chain, potentials.skip, potentials.chain.T, potentials.skip.T), strict=False) for lo in range(a, b, RUN_EDGES)]
+    messages = np.zeros((2 * edges, k), dtype=np.float32)
 
     def beliefs() -> np.ndarray:
         total = unary.copy()
-        np.add.at(total, target, messages)
+        for j in range(k):
+            total[:, j] += np.bincount(target, weights=messages[:, j], minlength=n)
         return total
 
     for _ in range(ROUNDS if edges else 0):
-        out = beliefs()[source] - messages[back]
-        new = out[:, :, None] + tables
-        top = new.max(axis=1, keepdims=True)
-        new = top[:, 0] + np.log(np.exp(new - top).sum(axis=1))
-        new -= new.max(axis=1, keepdims=True)
-        new = DAMPING * messages + (1 - DAMPING) * new
-        if np.abs(new - messages).max() < 1e-4:
+        now, old, change = beliefs(), messages.copy(), 0.0
+        for lo, hi, table in runs:
+            back = old[lo + edges : hi + edges] if lo < edges else old[lo - edges : hi - edges]
+            new = (now[source[lo:hi]] - back)[:, :, None] + table
+            top = new.max(axis=1, keepdims=True)
+            new = top[:, 0] + np.log(np.exp(new - top).sum(axis=1))
+            new -= new.max(axis=1, keepdims=True)
+            new = DAMPING * old[lo:hi] + (1 - DAMPING) * new
+            change = max(change, float(np.abs(new - old[lo:hi]).max()))
+            messages[lo:hi] = new
+        if change < 1e-4:
             break
-        messages = new
     total = beliefs()
     p = np.exp(total - total.max(axis=1, keepdims=True))
     return p / p.sum(axis=1, keepdims=True)
 
 
-def added_spans(text: str, field: Field, beliefs: np.ndarray, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Runs of words with one label that overlap no base span, without punctuation at their edges.
+def added_spans(text: str, field: Field, beliefs: np.ndarray, held: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Runs of words with one label that overlap no held span, without punctuation at their edges.
 
-    A run needs a word that is like a base-labelled one elsewhere: what only looks like personal data isn't added.
+    A run needs a word that is like a held one elsewhere: what only looks like personal data isn't added.
     """
-    labels = np.where(beliefs.max(axis=1) > CERTAIN, beliefs.argmax(axis=1), 0).tolist() if len(beliefs) else []
-    follows = set(field.chain)
-    taken = sorted((a, b) for _, a, b in base)
-    out, i, at = [], 0, 0
-    while i < len(labels):
+    labels = np.where(beliefs.max(axis=1) > CERTAIN, beliefs.argmax(axis=1), 0) if len(beliefs) else np.empty(0, dtype=np.int64)
+    labels[field.labels > 0] = 0
+    follows = np.zeros(len(labels), dtype=bool)  # goes on from the word before
+    follows[field.chain[:, 1]] = labels[field.chain[:, 0]] == labels[field.chain[:, 1]]
+    starts = np.flatnonzero((labels > 0) & ~follows)
+    taken, at, out = sorted((a, b) for _, a, b in held), 0, []
+    for i in starts.tolist():
         j = i
-        if labels[i] and not field.labels[i]:
-            while j + 1 < len(labels) and labels[j + 1] == labels[i] and not field.labels[j + 1] and (j, j + 1) in follows:
-                j += 1
-            a, b = field.words[i][0], field.words[j][1]
-            a += len(text[a:b]) - len(text[a:b].lstrip(_EDGES.replace("(", "")))
-            b -= len(text[a:b]) - len(text[a:b].rstrip(_EDGES))
-            while at < len(taken) and taken[at][1] <= a:
-                at += 1
-            known = any(labels[i] in field.alike[k] for k in range(i, j + 1))
-            if known and b > a and not (at < len(taken) and taken[at][0] < b):
-                out.append((labels[i] - 1, a, b))
-        i = j + 1
+        while j + 1 < len(labels) and follows[j + 1]:
+            j += 1
+        label = int(labels[i])
+        if not (field.alike[i : j + 1] >> label & 1).any():
+            continue
+        a, b = int(field.words[i, 0]), int(field.words[j, 1])
+        a += len(text[a:b]) - len(text[a:b].lstrip(_EDGES.replace("(", "")))
+        b -= len(text[a:b]) - len(text[a:b].rstrip(_EDGES))
+        while at < len(taken) and taken[at][1] <= a:
+            at += 1
+        if b > a and not (at < len(taken) and taken[at][0] < b):
+            out.append((label - 1, a, b))
     return out
 
 
+def held_spans(text: str) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
+    """The base spans, and the secrets that overlap none of them."""
+    base = base_spans(text)
+    secrets = [s for s in secret_spans(text) if not any(a < s[2] and s[1] < b for _, a, b in base)]
+    return base, secrets
+
+
 def train(docs: DataFrame) -> Potentials:
-    """Potentials from all rows; the driver gets a table of shapes, at most SHAPES, and two small ones."""
+    """Potentials from all rows; the driver gets the counts of SHAPES entries by label, and of pairs of labels."""
 
     def run(batches: Iterator[pa.RecordBatch]):
-        counts: Counter = Counter()
+        k = len(LABELS)
+        counts: dict[int, np.ndarray] = {}  # by entry
+        chain, skip = np.zeros((k, k), dtype=np.int64), np.zeros((k, k), dtype=np.int64)
         for batch in batches:
             for text in batch.column("text").to_pylist():
-                if text and _MARK.search(text):
-                    f = Field(text, base_spans(text))
-                    counts.update(("shape", s, x) for s, x in zip(f.shapes, f.labels, strict=True))
-                    right, left = dict(f.chain), {b: a for a, b in f.chain}
-                    for i, x in enumerate(f.labels):
-                        counts["chain", str(f.labels[right[i]]) if i in right else "0", x] += 1
-                        if i not in left:
-                            counts["chain", str(x), 0] += 1
-                    counts.update(("skip", str(f.labels[a]), f.labels[b]) for a, b in f.skip)
-        columns = list(zip(*((kind, s, x, n) for (kind, s, x), n in counts.items()), strict=True)) or [()] * 4
-        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.string(), pa.int32(), pa.int64()), strict=True)], ["kind", "key", "label", "n"])
-
-    cells = map_rows(docs.select("text"), run, "kind string, key string, label int, n bigint").groupBy("kind", "key", "label").agg(F.sum("n").alias("n"))
+                if not text or not _MARK.search(text):
+                    continue
+                base, secrets = held_spans(text)
+                f = Field(text, base + secrets)
+                for s, x in zip(f.shapes.tolist(), f.labels.tolist(), strict=True):
+                    counts.setdefault(s, np.zeros(k, dtype=np.int64))[x] += 1
+                left, right = np.zeros(len(f.labels), dtype=np.int64), np.zeros(len(f.labels), dtype=np.int64)
+                no_left = np.ones(len(f.labels), dtype=bool)
+                right[f.chain[:, 0]], left[f.chain[:, 1]], no_left[f.chain[:, 1]] = f.labels[f.chain[:, 1]], f.labels[f.chain[:, 0]], False
+                np.add.at(chain, (f.labels, right), 1)
+                np.add.at(chain, (0, f.labels[no_left]), 1)
+                pairs = np.unique(np.stack([f.skip[:, 0], f.labels[f.skip[:, 1]]], axis=1), axis=0)  # a word counts once with each label, however often it's there
+                np.add.at(skip, (f.labels[pairs[:, 0]], pairs[:, 1]), 1)
+        cells = [("shape", s, x, n) for s, own in counts.items() for x, n in enumerate(own.tolist()) if n]
+        cells += [(name, a, b, int(table[a, b])) for name, table in (("chain", chain), ("skip", skip)) for a in range(k) for b in range(k) if table[a, b]]
+        columns = list(zip(*cells, strict=True)) or [()] * 4
+        yield pa.record_batch([pa.array(c, t) for c, t in zip(columns, (pa.string(), pa.int64(), pa.int32(), pa.int64()), strict=True)], ["kind", "key", "label", "n"])
+
+    cells = map_rows(docs.select("text"), run, "kind string, key bigint, label int, n bigint").groupBy("kind", "key", "label").agg(F.sum("n").alias("n"))
     k = len(LABELS)
-    prior = PRIOR_WEIGHT * np.array([NO_LABEL, *[(1 - NO_LABEL) / len(KINDS)] * len(KINDS)])
-    unary, chain, skip = {}, np.full((k, k), SMOOTHING), np.full((k, k), SMOOTHING)
-    for r in cells.orderBy(F.desc("n"), "kind", "key", "label").limit(SHAPES).collect():
+    prior = PRIOR_WEIGHT * np.array([NO_LABEL, *[(1 - NO_LABEL) / (k - 1)] * (k - 1)])
+    unary, pairs = {}, {"chain": np.full((k, k), SMOOTHING), "skip": np.full((k, k), SMOOTHING)}
+    for r in cells.collect():  # (SHAPES + 2 * labels) * labels rows at most
         if r["kind"] == "shape":
             unary.setdefault(r["key"], prior.copy())[r["label"]] += r["n"]
-        elif r["kind"] == "chain":  # (the right word's label, the left word's)
-            chain[r["label"], int(r["key"])] += r["n"]
         else:
-            skip[int(r["key"]), r["label"]] += r["n"]
-            skip[r["label"], int(r["key"])] += r["n"]
+            pairs[r["kind"]][r["key"], r["label"]] += r["n"]
+    skip = pairs["skip"] + pairs["skip"].T - SMOOTHING
     # A piece's potential is how far the pair exceeds what its labels' shares explain, so the pieces add up.
     logs = lambda t: np.log(t / t.sum()) - np.log(np.maximum(t.sum(axis=1, keepdims=True) * t.sum(axis=0, keepdims=True), 1e-12) / t.sum() ** 2)
     unary = {s: np.log(x / x.sum()) for s, x in unary.items()}
     unary[""] = np.log(prior / prior.sum())
-    return Potentials(unary, np.clip(logs(chain), -4, 4), np.clip(logs(skip), -4, 4))
+    return Potentials(unary, np.clip(logs(pairs["chain"]), -4, 4), np.clip(logs(skip), -4, 4))
 
 
 def _found(batches: Iterator[pa.RecordBatch], potentials: Potentials):
     """For each batch: it, its texts, and each text's base spans and all spans."""
     for batch in batches:
         texts = [t or "" for t in batch.column("text").to_pylist()]
-        base = [base_spans(t) for t in texts]
-        fields = [Field(t, b) if _MARK.search(t) else Field("", []) for t, b in zip(texts, base, strict=True)]
-        beliefs, at, spans = infer(fields, potentials), 0, []
-        for text, own, field in zip(texts, base, fields, strict=True):
-            n = len(field.words)
-            spans.append(sorted(own + added_spans(text, field, beliefs[at : at + n], own)))
-            at += n
-        yield batch, texts, base, spans
+        held = [held_spans(t) if _MARK.search(t) else ([], []) for t in texts]
+        spans = [sorted(b + s) for b, s in held]
+        run: list[tuple[int, Field]] = []
+
+        def add(run=run, texts=texts, held=held, spans=spans) -> None:
+            beliefs, at = infer([f for _, f in run], potentials), 0
+            for k, field in run:
+                n = len(field.words)
+                spans[k] = sorted(spans[k] + added_spans(texts[k], field, beliefs[at : at + n], spans[k]))
+                at += n
+            run.clear()
+
+        for k, (base, secrets) in enumerate(held):
+            if base or secrets:  # without a held word none is like one
+                run.append((k, Field(texts[k], base + secrets)))
+                if sum(len(f.words) for _, f in run) > RUN_WORDS:
+                    add()
+        if run:
+            add()
+        yield batch, texts, [b for b, _ in held], spans
 
 
 def find_pii(docs: DataFrame) -> DataFrame:
-    """One row for each row of docs: how many base spans of each kind, their digest, and all spans, the field's too.
+    """One row for each row of docs: how many base spans of each kind, their digest, all spans of these kinds, the field's
+    too, the secrets, and how many secrets and spans there are altogether.
 
     A null text counts as empty and has no spans. Repeated rows and null doc_ids each give a row; an empty table gives
-    none. Offsets are code points, ends exclusive. Only doc_id and text are read.
+    none. Offsets are code points, ends exclusive. Of spans that begin alike all are there. A very long text is one field;
+    its memory is about 150 bytes for each of its words that hold a digit or ``@``. Only doc_id and text are read.
     """
     rows = plain_documents(docs, "doc_id", "text")
     shared = docs.sparkSession.sparkContext.broadcast(train(rows))
@@ -296,7 +364,9 @@ def find_pii(docs: DataFrame) -> DataFrame:
         for batch, _, base, spans in _found(batches, shared.value):
             counts = [pa.array([sum(s[0] == k for s in own) for own in base], pa.int64()) for k in range(len(KINDS))]
             digests = [hashlib.sha256(joined(own).encode()).hexdigest() for own in base]
-            yield pa.record_batch([batch.column("doc_id"), *counts, pa.array(digests, pa.string()), pa.array(map(joined, spans), pa.string())], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans"])
+            listed, secrets = ([[s for s in own if (s[0] == SECRET - 1) is x] for own in spans] for x in (False, True))
+            columns = [*counts, pa.array(digests, pa.string()), pa.array(map(joined, listed), pa.string()), pa.array(map(joined, secrets), pa.string()), pa.array(map(len, secrets), pa.int64()), pa.array(map(len, spans), pa.int64())]
+            yield pa.record_batch([batch.column("doc_id"), *columns], ["doc_id", *(f"n_{k}" for k in KINDS), "base_sha256", "spans", "secrets", "n_secret", "n_spans"])
 
     return map_rows(rows, run, SCHEMA)
 
@@ -306,13 +376,17 @@ def masked(text: str, spans: list[tuple[int, int, int]]) -> str:
     out, at = [], 0
     for a, b, kind in sorted((a, b, k) for k, a, b in spans):
         if a >= at:
-            out += [text[at:a], f"<{KINDS[kind].upper()}>"]
+            out += [text[at:a], f"<{LABELS[kind + 1].upper()}>"]
         at = max(at, b)
     return "".join([*out, text[at:]])
 
 
 def mask_pii(docs: DataFrame) -> DataFrame:
-    """docs with their spans masked in text; n_chars, where docs has it, is the new length. A null text stays null."""
+    """docs with their spans and secrets masked in text; n_chars, where docs has it, is the new length.
+
+    A null text stays null and an empty one empty; every row stays, repeated ones too. Of spans that overlap, the first
+    gives the mask. All other columns stay as they are, whatever their names.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(train(plain_documents(docs, "text")))
 
     def run(batches: Iterator[pa.RecordBatch]):

@@ -1,8 +1,10 @@
-"""Licence scan with a generalised suffix automaton over the words of licence notices and phrases.
+"""Licence scan with a generalised suffix automaton over the words of licence texts, notices and phrases.
 
 Files are streamed through the automaton, which gives each word's matching statistic: the longest run of words ending
-there that stands in some notice. Places of a phrase are read off the automaton's states; long matches are chained, in
-the order of the file and of the notice, into covered spans, and a notice is found where a chain covers enough of it.
+there that stands in some template. Places of a phrase are read off the automaton's states; long matches are chained, in
+the order of the file and of the template, into covered spans, and a template is found where a chain covers enough of it.
+Of templates found in one place the one with most words covered stays, so a licence isn't taken for one that it contains
+or that differs from it in a word.
 """
 
 from __future__ import annotations
@@ -14,6 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from waymark.llm.common import map_rows, plain_documents, read_table
+from waymark.llm.license_texts import NOTICES
 
 #: (phrase, label): fixed values of the contract.
 PHRASES = (
@@ -21,30 +24,13 @@ PHRASES = (
     ("apache license version 2", "apache-2"),
     ("cc by nc", "cc-by-nc"),
 )
-#: (label, notice): the usual short notices, as fixed values.
-NOTICES = (
-    ("agpl-3", "licensed under the gnu affero general public license version 3"),
-    ("apache-2", "licensed under the apache license version 2.0"),
-    ("bsd-3", "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met"),
-    ("cc-by", "licensed under a creative commons attribution 4.0 international license"),
-    ("cc-by-nc", "licensed under a creative commons attribution noncommercial 4.0 international license"),
-    ("cc-by-sa", "licensed under a creative commons attribution sharealike 4.0 international license"),
-    ("cc0", "to the extent possible under law the author has waived all copyright and related or neighboring rights to this work"),
-    ("gpl-3", "licensed under the gnu general public license version 3"),
-    ("isc", "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted"),
-    ("lgpl-3", "licensed under the gnu lesser general public license version 3"),
-    ("mit", "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files"),
-    ("mpl-2", "this source code form is subject to the terms of the mozilla public license v 2.0"),
-    ("proprietary", "all rights reserved"),
-    ("unlicense", "this is free and unencumbered software released into the public domain"),
-)
 #: A match of fewer words isn't chained.
 MIN_MATCH = 3
 #: Words that may lie between two matches of a chain.
 MAX_GAP = 12
-#: The share of a notice's words that a chain must cover.
+#: The share of a template's words that a chain must cover.
 COVERED = 0.7
-SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double"
+SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string"
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
 
@@ -122,6 +108,7 @@ class Scanner:
                 self.phrases[state] += own.get(at, [])
                 at = self.automaton.link[at]
         self.shortest = min([MIN_MATCH, *self.sizes])
+        self.ends: dict[tuple[int, int], list[tuple[int, int]]] = {}  # no more than the automaton has transitions and states
 
     def statistics(self, ids: list[int]) -> Iterator[tuple[int, int]]:
         """(state, matched length) after each word."""
@@ -134,6 +121,13 @@ class Scanner:
                 state, length = to, length + 1
             yield state, length
 
+    def ended(self, state: int, longer: int) -> list[tuple[int, int]]:
+        """Where in templates the words of a state end that don't go on to the state longer (0: none does)."""
+        if (state, longer) not in self.ends:
+            goes_on = self.automaton.ends[longer] if longer else ()
+            self.ends[state, longer] = sorted((s, e) for s, e in self.automaton.ends[state] if s >= self.first_notice and (s, e + 1) not in goes_on)
+        return self.ends[state, longer]
+
     def scan(self, text: str | None) -> tuple:
         words = words_of(text)
         get = self.ids.get
@@ -149,51 +143,62 @@ class Scanner:
                 for size, label in self.phrases[state]:
                     if size <= length:
                         base.append((start + k + 1 - size, label))
-                if length >= MIN_MATCH and (k + 1 == len(found) or found[k + 1][1] != length + 1):
-                    for sequence, end in self.automaton.ends[state]:
-                        if sequence >= self.first_notice:
-                            matches.setdefault(sequence, []).append((start + k + 1, end, length))
-        covered = {s: self._chained(own) / self.sizes[s] for s, own in matches.items()}
-        score = max([1.0 if base else 0.0, *covered.values()])
+                if length >= MIN_MATCH:
+                    longer = found[k + 1][0] if k + 1 < len(found) and found[k + 1][1] == length + 1 else 0
+                    for sequence, end in self.ended(state, longer):
+                        matches.setdefault(sequence, []).append((start + k + 1, end, length))
+        chains = [(*self._chained(own), s) for s, own in matches.items()]  # (words covered, first word, word after the last, template)
+        shares = [n / self.sizes[s] for n, _, _, s in chains]
+        kept: list[tuple[int, int, str]] = []
+        for (_, a, b, s), _ in sorted(((c, x) for c, x in zip(chains, shares, strict=True) if x >= COVERED), key=lambda c: (-c[0][0], -c[1], c[0][3])):
+            if all(2 * (min(b, y) - max(a, x)) <= b - a for x, y, _ in kept):  # at most half of it lies in one that stays
+                kept.append((a, b, self.notices[s - self.first_notice]))
         base_labels = {label for _, label in base}
-        labels = base_labels | {self.notices[s - self.first_notice] for s, share in covered.items() if share >= COVERED}
+        labels = base_labels | {label for *_, label in kept}
         places = [start for start, _ in base]
-        return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), score
+        spans = ",".join(f"{label}:{a}:{b}" for a, b, label in sorted(kept))
+        return len(words), len(base), min(places, default=None), max(places, default=None), ",".join(sorted(base_labels)), ",".join(sorted(labels)), max([1.0 if base else 0.0, *shares]), spans
 
     @staticmethod
-    def _chained(matches: list[tuple[int, int, int]]) -> int:
-        """The most words of the notice that a chain of matches covers. matches: (end in the file, end in the notice, length)."""
-        matches = sorted(matches)
-        best = []
+    def _chained(matches: list[tuple[int, int, int]]) -> tuple[int, int, int]:
+        """The most words of the template that a chain of matches covers, its first word and the one after its last.
+
+        matches: (end in the file, end in the template, length). Of equally good chains the first to end counts.
+        """
+        matches = sorted(set(matches))
+        best: list[tuple[int, int, int]] = []
         for k, (end, of, length) in enumerate(matches):
-            total = length
+            total, first = length, end - length
             for j in range(k - 1, -1, -1):
                 end_j, of_j, length_j = matches[j]
                 if end - length - end_j > MAX_GAP + length_j:  # matches are sorted by their ends
                     break
                 new = min(length, end - end_j, of - of_j)  # words beyond the other match, in both
-                if new > 0 and 0 <= end - new - end_j <= MAX_GAP:
-                    total = max(total, best[j] + new)
-            best.append(total)
-        return max(best, default=0)
+                if new > 0 and 0 <= end - new - end_j <= MAX_GAP and best[j][0] + new > total:
+                    total, first = best[j][0] + new, best[j][1]
+            best.append((total, first, end))
+        return max(best, key=lambda x: (x[0], -x[2]), default=(0, 0, 0))
 
 
 _scanners: dict[tuple, Scanner] = {}
 
 
 def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFrame:
-    """One row for each row of docs: its words, the places of the base phrases, the labels found, and the best cover.
+    """One row for each row of docs: its words, the places of the base phrases, the labels found, the best cover, and the
+    covered spans as label:first word:word after the last.
 
     A null text counts as empty: no words, no places, empty labels and score 0. Repeated rows and null doc_ids each give
-    a row; an empty table gives none. The automaton's size is that of phrases and notices. Only doc_id and text are read.
+    a row; an empty table gives none. A very long text is streamed; each template has its best chain in it. Of templates
+    that cover a place equally well the first of the list stays. The automaton's size is that of phrases and templates.
+    Only doc_id and text are read.
     """
 
     def run(batches: Iterator[pa.RecordBatch]):
         if (phrases, notices) not in _scanners:
             _scanners[phrases, notices] = Scanner(phrases, notices)
         scanner = _scanners[phrases, notices]
-        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
-        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
+        kinds = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64(), pa.string()]
+        names = ["doc_id", "n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score", "spans"]
         for batch in batches:
             rows = [scanner.scan(t) for t in batch.column("text").to_pylist()]
             columns = list(zip(*rows, strict=True)) or [()] * len(kinds)

@@ -3,8 +3,9 @@
 URLs that a rule allows or blocks train one smoothed variable-order Markov model each: counts of characters after
 contexts of 0 to ORDER characters, backed off from the longest context seen by Witten-Bell weights. Counts are exact: a
 gram is a byte with the ORDER bytes before it, and grams are counted in a table of Spark's, which isn't collected. URLs
-are cut into blocks; the distinct grams of a block are joined with the table and meet the block's URLs again. The log-likelihood difference for each character is calibrated: the threshold is the one that errs least,
-in balanced terms, on all labelled URLs.
+are cut into blocks; the distinct grams of a block are joined with the table and meet the block's URLs again. The
+log-likelihood difference for each character is calibrated: the threshold is the one that errs least, in balanced terms,
+on the labelled URLs that the models weren't trained on, one in CALIBRATES by a checksum of the URL.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ RULES = (
     ("block", "net", "/fr/"),
 )
 ORDER = 4
+CALIBRATES = 5
 #: A block of URLs ends beyond so many bytes, and a partition's counts are passed on beyond so many grams.
 BLOCK_BYTES = 200_000
 COUNTED_GRAMS = 500_000
@@ -221,18 +223,26 @@ def threshold(labelled: DataFrame) -> float:
     return float((best[0] + best[-1]) / 2 / BINS * 2 * SPAN - SPAN)
 
 
+def calibrates(url: Column) -> Column:
+    """Whether a labelled URL is left out of training; equal URLs are alike in this."""
+    return F.crc32(F.coalesce(url, F.lit("")).cast("binary")) % CALIBRATES == 0
+
+
 def judge_urls(pages: DataFrame, rules=RULES) -> DataFrame:
     """page_id, host, path, rule, verdict and the models' score of every row of pages.
 
     A URL that is null or without ``://`` has an empty host and path and no rule; a null or empty URL scores 0 and is
-    allowed unless the threshold is above 0. Repeated rows each give a row, and train as often as they are there. Without
-    labelled rows of both classes the models don't judge: the one class's verdict holds, or allow if there's none.
+    allowed unless the threshold is above 0. Repeated rows each give a row, and train as often as they are there. Where the
+    rows left out of training lack a class, all labelled rows calibrate; without labelled rows of both classes the models
+    don't judge: the one class's verdict holds, or allow if there's none. Of equally good thresholds the middle is taken. A
+    very long URL is a block of its own.
     """
     rows = with_rules(pages, rules)
-    labelled = rows.filter("rule IS NOT NULL")
-    models = train(labelled)
+    models = train(rows.filter("rule IS NOT NULL").filter(~calibrates(F.col("url"))))
     judged = written(scored(rows, models), "judged")
-    cut = threshold(judged.filter("rule IS NOT NULL"))
+    labelled = judged.filter("rule IS NOT NULL")
+    apart = labelled.filter(calibrates(F.col("url")))
+    cut = threshold(apart if apart.select("rule_verdict").distinct().count() == 2 else labelled)
     method = F.when(F.col("score") < F.lit(cut), F.lit("block")).otherwise(F.lit("allow"))
     return judged.select("page_id", "host", "path", "rule", F.coalesce("rule_verdict", method).alias("verdict"), F.round("score", 9).alias("score"))
 

@@ -2,8 +2,8 @@
 
 Each language has a codeword; each bit has a binary classifier, a naive Bayes log-odds over hashed byte 2- and 3-grams
 of the lower-cased text. A text's language is the codeword of the least weighted loss, where a bit counts for a language
-as much as its classifier is right on that language's training documents. All training documents are counted, whole, by
-Spark; only tables of languages x buckets reach the driver.
+as much as a classifier of the other training documents is right on a fourth of them. All training documents are counted,
+whole, by Spark; only tables of languages x buckets reach the driver.
 """
 
 from __future__ import annotations
@@ -37,7 +37,8 @@ CONFIDENCE = 2.0
 AMBIGUOUS = 0.6
 #: n-grams are looked up in runs of so many.
 RUN = 1 << 16
-HELD_OUT_OF = 5
+#: The remainder of a doc_id's checksum by HELD_OUT_OF that is held out, and the one whose documents weigh the bits.
+HELD_OUT_OF, HELD_OUT, WEIGHS = 5, 0, 1
 SCHEMA = "doc_id bigint, held_out boolean, lang_pred string, score double, second string, margin double, ambiguous boolean"
 _BLANKED = bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 _LETTER = regex.compile(r"\p{L}")
@@ -112,35 +113,35 @@ def has_letter(text: str | None) -> bool:
 
 
 def train(labelled: DataFrame) -> Model:
-    """A model of all rows (text, lang) that have both."""
+    """A model of all rows (text, lang, weighs) that have a text and a language; bits are weighed by rows that weigh, with classifiers of the others."""
 
     def count(batches: Iterator[pa.RecordBatch]):
-        tables: dict[str, np.ndarray] = {}
+        tables: dict[tuple[str, bool], np.ndarray] = {}
         for batch in batches:
-            for text, lang in zip(batch.column("text").to_pylist(), batch.column("lang").to_pylist(), strict=True):
+            for text, lang, weighs in zip(*(batch.column(c).to_pylist() for c in ("text", "lang", "weighs")), strict=True):
                 if has_letter(text):
                     at = buckets_of(text)
-                    own = tables.setdefault(lang, np.zeros(BUCKETS * len(LENGTHS), dtype=np.int64))
+                    own = tables.setdefault((lang, weighs), np.zeros(BUCKETS * len(LENGTHS), dtype=np.int64))
                     for lo in range(0, len(at), RUN):
                         own += np.bincount(at[lo : lo + RUN], minlength=len(own)) if len(at) > 2048 else 0
                     if len(at) <= 2048:
                         np.add.at(own, at, 1)
-        for lang, own in tables.items():
+        for (lang, weighs), own in tables.items():
             at = np.flatnonzero(own)
-            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array(at), pa.array(own[at])], ["lang", "bucket", "n"])
+            yield pa.record_batch([pa.array([lang] * len(at), pa.string()), pa.array([weighs] * len(at), pa.bool_()), pa.array(at), pa.array(own[at])], ["lang", "weighs", "bucket", "n"])
 
-    rows = labelled.select("text", "lang")
-    summed = map_rows(rows, count, "lang string, bucket bigint, n bigint").groupBy("lang", "bucket").agg(F.sum("n").alias("n"))
+    rows = labelled.select("text", "lang", "weighs")
+    summed = map_rows(rows, count, "lang string, weighs boolean, bucket bigint, n bigint").groupBy("lang", "weighs", "bucket").agg(F.sum("n").alias("n"))
     languages = sorted(r["lang"] for r in rows.select("lang").distinct().limit(MAX_LANGUAGES + 1).collect())
     if len(languages) > MAX_LANGUAGES:
         raise ValueError(f"more than {MAX_LANGUAGES} languages to learn")
-    found = summed.toPandas()  # languages x buckets rows at most
+    found = summed.toPandas()  # 2 * languages x buckets rows at most
     languages = [x for x in languages if x in set(found["lang"])]
-    counts = np.zeros((len(languages), BUCKETS * len(LENGTHS)))
-    counts[found["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(dtype=np.int64), found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
-    model = Model(languages, counts)
+    counts = np.zeros((2, len(languages), BUCKETS * len(LENGTHS)))
+    counts[found["weighs"].to_numpy(dtype=np.int64), found["lang"].map({x: k for k, x in enumerate(languages)}).to_numpy(dtype=np.int64), found["bucket"].to_numpy(dtype=np.int64)] = found["n"].to_numpy(dtype=np.float64)
+    model = Model(languages, counts.sum(axis=0))
     if len(languages) > 1:
-        model.set_accuracy(_accuracy(rows, model))
+        model.set_accuracy(_accuracy(rows.filter("weighs"), Model(languages, counts[0])))
     return model
 
 
@@ -165,8 +166,8 @@ def _accuracy(rows: DataFrame, model: Model) -> np.ndarray:
     return out
 
 
-def held_out(doc_id: Column) -> Column:
-    return F.coalesce(F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_OF == 0, F.lit(False))
+def remainder(doc_id: Column) -> Column:
+    return F.crc32(doc_id.cast("string").cast("binary")) % HELD_OUT_OF
 
 
 def identify(docs: DataFrame) -> DataFrame:
@@ -174,9 +175,11 @@ def identify(docs: DataFrame) -> DataFrame:
 
     Learns from rows that aren't held out and whose lang and doc_id aren't null. A text that is null or has no letter gets
     ``und`` and score 0, as every text does if there is nothing to learn from. Repeated rows each give a row, and count
-    as often in training. Of languages with equal losses the first in the alphabet is taken.
+    as often in training. Of languages with equal losses the first in the alphabet is taken. A very long text is looked up in
+    runs. More than MAX_LANGUAGES learned languages raise an error.
     """
-    rows = plain_documents(docs, "doc_id", "text", "lang").withColumn("held_out", held_out(F.col("doc_id")))
+    rows = plain_documents(docs, "doc_id", "text", "lang")
+    rows = rows.withColumns({"held_out": F.coalesce(remainder(F.col("doc_id")) == HELD_OUT, F.lit(False)), "weighs": F.coalesce(remainder(F.col("doc_id")) == WEIGHS, F.lit(False))})
     model = train(rows.filter("NOT held_out AND doc_id IS NOT NULL AND lang IS NOT NULL"))
     shared = docs.sparkSession.sparkContext.broadcast(model)
 

@@ -51,6 +51,44 @@ def test_language_of_letters_only(odd_docs):
         assert (r.lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
 
 
+def plain_model(rows):
+    """Counts of every bucket by language, by plain loops."""
+    counts = {}
+    for text, lang in rows:
+        own = counts.setdefault(lang, Counter())
+        data = b" " + bytes(c if 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in text.lower().encode()) + b" "
+        for k, n in enumerate((2, 3)):
+            for i in range(len(data) - n + 1):
+                key = 0
+                for c in data[i : i + n]:
+                    key = (key * 257 + c) % 2**32
+                own[(key * 2_654_435_761 % 2**32 >> 18) + k * 2**14] += 1
+    return counts
+
+
+def test_language_counts_and_weights(spark, documents):
+    """Counts, bit accuracies on rows that the bits weren't trained on, and decoding, against plain code; equal languages tie by name."""
+    docs = documents.filter("doc_id < 60")
+    rem = lambda d: zlib.crc32(str(d).encode()) % 5
+    rows = [(r.doc_id, r.text, r.lang) for r in docs.collect() if r.lang and r.text and any(c.isalpha() for c in r.text)]
+    labelled = docs.withColumn("weighs", F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 1)
+    model = language_id.train(labelled.filter("crc32(cast(cast(doc_id AS string) AS binary)) % 5 != 0"))
+    table = lambda own: np.array([[own[x][b] for b in range(2**15)] for x in model.languages], dtype=float)
+    every = language_id.Model(model.languages, table(plain_model([(t, x) for d, t, x in rows if rem(d)])))
+    np.testing.assert_allclose(model.weights, every.weights)
+    others = language_id.Model(model.languages, table(plain_model([(t, x) for d, t, x in rows if rem(d) > 1])))
+    right, n = np.ones(model.code.shape), np.full(len(model.languages), 2)
+    for d, t, x in rows:
+        if rem(d) == 1:
+            k = model.languages.index(x)
+            right[k] += others.margins(t) * model.code[k] > 0
+            n[k] += 1
+    accuracy = right / n[:, None]
+    np.testing.assert_allclose(model.bit_weights, accuracy / accuracy.sum(axis=1, keepdims=True))
+    twins = spark.createDataFrame([(i, "the same words in both", x) for i, x in enumerate(["bb", "aa"] * 20)], "doc_id bigint, text string, lang string")
+    assert {r.lang_pred for r in language_id.identify(twins).collect()} <= {"aa", "bb"}
+
+
 # --- 2 --------------------------------------------------------------------------------------------------------
 
 
@@ -98,6 +136,18 @@ def test_words_of_one_slot_have_their_own_probability(spark):
     assert shares == pytest.approx({often: 0.9, seldom: 0.1})
 
 
+def test_scores_do_not_depend_on_partitions(spark, monkeypatch):
+    """Neither the number of partitions nor blocks of words nor the shards of a task change a score."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    monkeypatch.setattr(masked_lm, "SHARD_TOKENS", 20_000)
+    want = {r.doc_id: r.log_likelihood for r in masked_lm.score_documents(docs.repartition(1)).collect()}
+    monkeypatch.setattr(masked_lm, "BLOCK_WORDS", 2000)
+    monkeypatch.setattr(masked_lm, "LIST_WORDS", 300)
+    got = {r.doc_id: r.log_likelihood for r in masked_lm.score_documents(docs.repartition(5)).collect()}
+    assert got.keys() == want.keys()
+    assert all(got[k] == pytest.approx(want[k], rel=1e-4) for k in want)
+
+
 # --- 3 --------------------------------------------------------------------------------------------------------
 
 
@@ -197,6 +247,57 @@ def test_messages_are_exact_on_a_tree():
     np.testing.assert_allclose(got, [joint.sum(axis=(1, 2)), joint.sum(axis=(0, 2)), joint.sum(axis=(0, 1))], atol=5e-3)
 
 
+def test_pii_caught(spark):
+    """All planted personal data and secrets of a table are caught; what only looks alike is left alone."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    secret = re.compile(r'token = "([0-9a-f]{40})"')
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    got = {r.doc_id: r for r in pii_crf.find_pii(docs).collect()}
+    planted = {d for d, t in texts.items() if plain_spans(t) or secret.search(t)}
+    assert planted == {d for d, r in got.items() if r.n_spans}
+    for d, t in texts.items():
+        spans = [tuple(map(int, x.split(":")[1:])) for x in got[d].secrets.split(",") if x]
+        assert {m.span(1) for m in secret.finditer(t)} == set(spans)
+        assert got[d].n_secret == len(spans)
+
+
+def test_pii_repeats_are_found_at_any_distance(spark, documents):
+    """What a name introduces, or a pattern finds, is found again where nothing does; more repeats than messages have rounds."""
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    text = f'api_key: "{key}" then ' + "some words " * 200 + f"{key} " + "and (017) 555-7713 " * 30 + "+1 (017) 555-7713 end"
+    rows = [(1, text, "en", "s", 0), (2, f"{key} alone and (017) 555-7713", "en", "s", 0)] + [(10 + i, f"token = 'a{i:05d}bcdef0123456789' ok +1 (0{i % 90 + 10}) 555-{1000 + i}", "en", "s", 0) for i in range(40)]
+    rows = [(9000 + d, *rest) for d, *rest in rows]
+    got = {r.doc_id - 9000: r for r in pii_crf.find_pii(documents.unionByName(spark.createDataFrame(rows, documents.schema))).collect()}
+    assert got[1].n_secret == 2 and got[1].spans.count("phone") == 31
+    assert got[2].n_spans == 0
+    assert all(got[10 + i].n_secret == 1 and got[10 + i].n_phone == 1 for i in range(40))
+
+
+def test_pii_counts_are_whole(spark, documents):
+    """More shapes than entries of them: label pairs and labels by entry are still counted to the last one."""
+    rng = np.random.default_rng(8)
+    junk = [(9000 + i, " ".join("".join(rng.choice(list("1a-/.:#%=+~^"), 11)) + "1" for _ in range(300)), "en", "s", 0) for i in range(80)]
+    assert len({pii_crf.shape_of(w) for _, t, *_ in junk for w in t.split()}) > 20_000
+    docs = documents.unionByName(spark.createDataFrame(junk, documents.schema))
+    k = len(pii_crf.LABELS)
+    chain, entries = np.full((k, k), pii_crf.SMOOTHING), Counter()
+    for r in docs.collect():
+        field = pii_crf.Field(r.text or "", [s for own in pii_crf.held_spans(r.text or "") for s in own])
+        labels, follows = field.labels.tolist(), {b for _, b in field.chain.tolist()}
+        entries.update(zip(field.shapes.tolist(), labels))
+        for i, x in enumerate(labels):
+            chain[x, labels[i + 1] if i + 1 in follows else 0] += 1
+            if i not in follows:
+                chain[0, x] += 1
+    got = pii_crf.train(docs)
+    share = chain / chain.sum()
+    np.testing.assert_allclose(got.chain, np.clip(np.log(share / (share.sum(1, keepdims=True) * share.sum(0, keepdims=True))), -4, 4), atol=1e-9)
+    prior = pii_crf.PRIOR_WEIGHT * np.array([pii_crf.NO_LABEL, *[(1 - pii_crf.NO_LABEL) / (k - 1)] * (k - 1)])
+    for entry in {e for e, _ in entries}:
+        own = prior + [entries[entry, x] for x in range(k)]
+        np.testing.assert_allclose(got.unary[entry], np.log(own / own.sum()))
+
+
 # --- 5 --------------------------------------------------------------------------------------------------------
 
 
@@ -354,6 +455,36 @@ def test_leaks_in_odd_tables(spark, odd_docs, no_docs):
     assert [w for p in parts for w in p.words] == decontaminate.words_of(long)
 
 
+def test_long_items_keep_their_answer(spark):
+    """Questions of any length need their answer, or nearly all of both: as short ones do."""
+    rng = np.random.default_rng(6)
+    word = lambda n: " ".join(f"w{k}" for k in rng.integers(0, 10**6, n))
+    items, docs = [], []
+    for i, n in enumerate((40, 240, 300, 1000)):
+        question, answer = word(n), word(5)
+        items.append((i, f"{question}.\n{answer}"))
+        most = question.split()[: 2 * n // 3]
+        for k, text in enumerate((f"{question} {answer}", f"{word(50)} {question} {word(3)}. {answer} {word(30)}", " ".join(most), f"{' '.join(most)} {answer}", word(n))):
+            docs.append((10 * i + k, text))
+    got = decontaminate.leaks(spark.createDataFrame(docs, "doc_id bigint, text string"), spark.createDataFrame(items, "item_id bigint, text string")).collect()
+    assert {(r.doc_id, r.item_id) for r in got} == {(10 * i + k, i) for i in range(4) for k in (0, 1, 3)}
+
+
+def test_many_indexes_are_one(spark, monkeypatch):
+    """Small indexes, one or several to a pass, find what one index finds, with equal scores."""
+    docs, items = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "benchmark"))
+    long = " ".join(f"long{i % 700}" for i in range(900)) + ". the answer of it"
+    items = items.select("item_id", "text").unionByName(spark.createDataFrame([(99_999, long)], "item_id bigint, text string"))
+    docs = docs.select("doc_id", "text").unionByName(spark.createDataFrame([(99_999, f"so {long} and more"), (None, long)], "doc_id bigint, text string"))
+    want = by_rows((r.doc_id, r.item_id, round(r.score, 4), r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(docs, items).collect())
+    assert any(r[0] == 99_999 for r in want)
+    for in_index, in_pass in ((7, 10**9), (30, 1)):
+        monkeypatch.setattr(decontaminate, "INDEX_ITEMS", in_index)
+        monkeypatch.setattr(decontaminate, "PASS_BYTES", in_pass)
+        got = by_rows((r.doc_id, r.item_id, round(r.score, 4), r.question_overlap, r.answer_overlap) for r in decontaminate.leaks(docs, items).collect())
+        assert got == want
+
+
 # --- 9 --------------------------------------------------------------------------------------------------------
 
 
@@ -394,6 +525,53 @@ def test_license_notices():
     assert scan("the public may use this license to run a mile with software")[5] == ""
 
 
+def test_license_bodies():
+    """Whole texts, titles and headers, with names and years put in, and without the parts that only others have."""
+    from waymark.llm import license_texts as texts
+
+    scan = license_scan.Scanner().scan
+    bsd2 = f"{texts.BSD_HEAD}\n\n{texts.BSD_WARRANTY}"
+    cases = {
+        "mit": [texts.MIT, f"MIT License Copyright (c) 2020 A. B.\n{texts.MIT}"],
+        "bsd-2": [bsd2, bsd2.replace("COPYRIGHT HOLDERS AND CONTRIBUTORS", "AUTHOR")],
+        "bsd-3": [f"{texts.BSD_HEAD}\n{texts.BSD_THIRD}\n{texts.BSD_WARRANTY}", f"{texts.BSD_HEAD}\n{texts.BSD_THIRD.replace('copyright holder', 'Example University')}\n{texts.BSD_WARRANTY}"],
+        "apache-2": [texts.APACHE],
+        "zlib": [texts.ZLIB],
+    } | {label: [texts.GNU.format(name=n, version=v), texts.GNU_GRANT.format(name=n, version=v), texts.GNU_TITLE.format(name=n.upper(), version=v, date=d, years=y), f"Licensed under the {n}, version {v}."] for label, n, v, d, y in texts.GNU_LICENSES}
+    for label, own in cases.items():
+        for text in own:
+            row = scan(f"Some words before. {text} And some after it.")
+            assert row[5] == label, (label, row[5], text[:60])
+            name, a, b = row[7].split(":")
+            n = len(license_scan.words_of(text))
+            assert name == label and 3 <= int(a) < int(b) <= 3 + n and int(b) - int(a) > 0.6 * n
+    assert scan(texts.MIT.split("conditions:")[0])[5] == "mit"
+    assert scan("all rights reserved")[5:] == ("", 3 / len(license_scan.words_of(texts.RESERVED)), "")
+    assert scan(f"{texts.MIT}\n{'x ' * 50}\n{texts.ZLIB}")[5] == "mit,zlib"
+
+
+def test_chains_are_the_best_of_all():
+    """Against every chain of small sets of matches."""
+    from itertools import combinations
+
+    rng = np.random.default_rng(12)
+    for _ in range(300):
+        matches = sorted({(int(e) + int(n), int(o) + int(n), int(n)) for e, o, n in zip(rng.integers(0, 40, 6), rng.integers(0, 15, 6), rng.integers(3, 8, 6), strict=True)})
+        want = 0
+        for size in range(1, len(matches) + 1):
+            for own in combinations(matches, size):
+                total = own[0][2]
+                for (e0, o0, _), (e1, o1, n1) in zip(own, own[1:], strict=False):
+                    new = min(n1, e1 - e0, o1 - o0)
+                    if new <= 0 or not 0 <= e1 - new - e0 <= license_scan.MAX_GAP:
+                        break
+                    total += new
+                else:
+                    want = max(want, total)
+        got, first, end = license_scan.Scanner._chained(matches)
+        assert got == want and first < end
+
+
 # --- 10 -------------------------------------------------------------------------------------------------------
 
 URLS = [None, "", "no scheme", "http://", "HTTP://A.Example.COM", "https://a.com/x?y#z", "https://www.example.com/en/1", "https://m.example.com/en/1", "https://example.com/en", "http://notexample.com/en/x", "http://a.net/es/", "http://a.net/de/", "x://b.org/a://c", "https://éx.COM/É?", "http://net/fr/1#2?3", "https://com"]
@@ -429,6 +607,22 @@ def test_url_models_tell_classes_apart(spark):
     assert sum((r.score < cut) == (r.rule_verdict == "block") for r in got) / len(got) > 0.9
 
 
+def test_url_threshold_is_of_rows_left_out(spark):
+    """Calibrated on URLs that weren't trained on: the threshold equals that of their scores, by plain code."""
+    pages = spark.read.parquet("/root/testdata/sf0.01/pages.parquet")
+    rows = url_filter.with_rules(pages)
+    models = url_filter.train(rows.filter("rule IS NOT NULL").filter(~url_filter.calibrates(F.col("url"))))
+    scores = [(r.score, r.rule_verdict == "block") for r in url_filter.scored(rows, models).filter("rule IS NOT NULL").collect() if zlib.crc32((r.url or "").encode()) % 5 == 0]
+    blocked = np.array([s for s, b in scores if b])
+    allowed = np.array([s for s, b in scores if not b])
+    error = lambda cut: (allowed < cut).mean() + (blocked >= cut).mean()
+    judged = {r.page_id: r for r in url_filter.judge_urls(pages).collect()}
+    free = [r for r in judged.values() if r.rule is None]
+    cut = max((r.score for r in free if r.verdict == "block"), default=-np.inf)
+    grid = np.arange(-4, 4 + 1e-9, 0.02)
+    assert len(blocked) and len(allowed) and (not free or error(cut + 1e-9) <= min(map(error, grid)) + 0.1)
+
+
 def test_url_model_is_a_distribution(spark):
     labelled = spark.createDataFrame([("http://a.com/en/1", "allow"), ("http://b.net/es/2", "block")] * 3, "url string, rule_verdict string")
     models = url_filter.train(labelled)

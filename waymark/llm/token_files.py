@@ -1,7 +1,8 @@
 """Token ids as flat unsigned integer files with 64-bit document offsets, written and memory-mapped by Spark tasks.
 
-Documents are dealt by ranges of doc_id, so that the files in order hold the documents in ascending doc_id order. Each
-task writes one file set; the tasks return only their token counts, whose prefix sums are the files' bases.
+Documents are dealt by ranges of doc_id (and, among equal ones, of how their texts begin), so that the files in order
+hold the documents in ascending doc_id order. Each task writes one file set of about FILE_TEXT_BYTES of text; the tasks
+return a row each, the token count, and the rows' prefix sums are the files' bases: 400,000 rows for 100 TB.
 
 Format, for each partition k: ``k.ids`` (unsigned integers, little-endian, 16 bits if the vocabulary allows, else 32),
 ``k.offsets`` (n_docs + 1 64-bit offsets, in tokens from the file's start), ``k.docs`` (64-bit doc_ids) and ``k.nulls``
@@ -19,30 +20,32 @@ from urllib.parse import urlparse
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from waymark.llm.chunks import Cut, Memo
 from waymark.llm.common import map_rows, plain_documents, read_table, shared_dir
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 2
-#: Distinct chunks of text whose ids a worker remembers.
-MEMO_ENTRIES = 500_000
-#: Texts are encoded in blocks of about so many characters.
-BLOCK_CHARS = 8_000_000
-#: Input bytes for each file.
-FILE_TEXT_BYTES = 24_000_000
+#: Bytes of text for each file.
+FILE_TEXT_BYTES = 256_000_000
+#: Chunks in one call of the library.
+LINE_CHUNKS = 1000
+#: Texts are encoded in blocks of about so many bytes.
+BLOCK_BYTES = 8_000_000
+#: Rows of equal doc_id are dealt by so many first characters of their texts.
+PREFIX_CHARS = 64
 SCHEMA = "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint"
 
 
 class ChunkEncoder:
-    """Ids of whole texts by the tokenizers library, called once for each distinct chunk.
+    """Ids of whole texts by the tokenizers library, called once for each distinct chunk (see chunks).
 
-    With a byte-level pre-tokenizer, a single space after a character that isn't white space always begins a piece, and
-    pieces are encoded apart; so chunks that begin there can be. A text that holds an added token's string, or a chunk
-    that is empty or ends in white space, goes to the library as a whole.
+    A text that holds an added token's string goes to the library as a whole, as all do under another pre-tokenizer.
     """
 
     def __init__(self, path: str):
@@ -54,38 +57,42 @@ class ChunkEncoder:
         self.chunked = self.tokenizer.normalizer is None and kind is not None and "ByteLevel(add_prefix_space=False" in repr(kind)
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.type = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
-        self.memo: dict[str, bytes | None] = {}
+        #: A byte-level token has a character for each of its bytes.
+        self.token_bytes = np.array([len(self.tokenizer.id_to_token(k) or "") for k in range(self.tokenizer.get_vocab_size())])
+        self.memo = Memo(self._chunks)
 
     def _library(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, dtype=self.type).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.memo) > MEMO_ENTRIES:
-            self.memo.clear()
-        memo, parts, whole = self.memo, {}, []  # memo and parts hold chunks without the space that begins them
-        for k, text in enumerate(texts):
-            if not self.chunked or any(t in text for t in self.added):
-                whole.append(k)
-            else:
-                parts[k] = text.split(" ")
-        starts = {k: own.pop(0) for k, own in parts.items()}
-        new = list({c for own in parts.values() for c in own if c not in memo})
-        good = [c for c in new if c and not c[-1].isspace()]
-        memo.update(dict.fromkeys(new))
-        for at in range(0, len(good), 50_000):
-            part = good[at : at + 50_000]
-            memo.update(zip(part, self._library([" " + c for c in part]), strict=True))
-        plain = list({c for c in starts.values() if c and not c[-1].isspace()})
-        first = dict(zip(plain, self._library(plain), strict=True))
-        out: dict[int, bytes] = {}
-        for k, own in parts.items():
-            try:
-                out[k] = b"".join([first.get(starts[k]), *[memo[c] for c in own]])
-            except TypeError:  # a chunk that can't be encoded apart
-                whole.append(k)
-        for k in whole:
-            out[k] = self._library([texts[k]])[0]
-        return [out[k] for k in range(len(texts))]
+    def _chunks(self, chunks: list[str]) -> list[bytes]:
+        """Chunks that begin with a space and don't end in one are put one after the other, many to a call; their tokens' bytes tell them apart."""
+        apart = [c[:1] == " " and not c[-1:].isspace() for c in chunks]
+        lined = [c for c, x in zip(chunks, apart, strict=True) if x]
+        out: list[bytes] = []
+        for lo in range(0, len(lined), LINE_CHUNKS):
+            own = lined[lo : lo + LINE_CHUNKS]
+            ids = np.array(self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)[0].ids, dtype=self.type)
+            wanted = np.cumsum(np.fromiter(map(len, map(str.encode, own)), dtype=np.int64, count=len(own)))
+            ends = np.cumsum(self.token_bytes[ids])
+            cuts = np.searchsorted(ends, wanted)
+            if cuts[-1] >= len(ends) or (ends[cuts] != wanted).any():  # some token has no plain bytes
+                out += self._library(own)
+                continue
+            data, cuts = ids.tobytes(), ((cuts + 1) * self.type.itemsize).tolist()
+            out += [data[a:b] for a, b in zip([0, *cuts], cuts, strict=False)]
+        lined_ids, rest = iter(out), iter(self._library([c for c, x in zip(chunks, apart, strict=True) if not x]))
+        return [next(lined_ids) if x else next(rest) for x in apart]
+
+    def encode(self, texts: pa.Array) -> list[bytes]:
+        whole = np.full(len(texts), not self.chunked)
+        for t in self.added:
+            whole |= pc.fill_null(pc.match_substring(texts, t), False).to_numpy(zero_copy_only=False)
+        parts = Cut(pc.if_else(pa.array(whole), "", texts))
+        self.memo.learn(parts.chunks())
+        out = parts.ids(self.memo.known, self.type)
+        for k in np.flatnonzero(whole).tolist():
+            out[k] = self._library([texts[k].as_py() or ""])[0]
+        return out
 
 
 _encoders: dict[str, ChunkEncoder] = {}
@@ -97,6 +104,20 @@ def encoder(path: str) -> ChunkEncoder:
     return _encoders[path]
 
 
+def in_blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.Array, pa.Array]]:
+    """(doc ids, texts) of about BLOCK_BYTES."""
+    own: list[pa.RecordBatch] = []
+    size = 0
+    for batch in batches:
+        own.append(batch)
+        size += pc.sum(pc.binary_length(batch.column("text"))).as_py() or 0
+        if size >= BLOCK_BYTES:
+            yield pa.concat_arrays([b.column("doc_id") for b in own]), pa.concat_arrays([b.column("text") for b in own])
+            own, size = [], 0
+    if own:
+        yield pa.concat_arrays([b.column("doc_id") for b in own]), pa.concat_arrays([b.column("text") for b in own])
+
+
 def _store(folder: str) -> tuple[fs.FileSystem, str]:
     return fs.FileSystem.from_uri(folder)
 
@@ -122,45 +143,40 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
         ):
             offsets_file.write(np.array([0], dtype="<u8").tobytes())
 
-            def put(ids: list, texts: list[str]) -> None:
-                nonlocal offset, n
-                coded = [x + end for x in coder.encode(texts)]
-                ends = offset + np.cumsum([len(x) // coder.type.itemsize for x in coded])
-                ids_file.write(b"".join(coded))
+            for doc_ids, texts in in_blocks(batches):
+                coded = coder.encode(texts)
+                ends = offset + np.cumsum([len(x) // coder.type.itemsize + 1 for x in coded])
+                ids_file.write(end.join([*coded, b""]))
                 offsets_file.write(ends.astype("<u8").tobytes())
-                docs_file.write(np.array([i or 0 for i in ids], dtype="<i8").tobytes())
-                nulls_file.write(bytes(i is None for i in ids))
-                offset, n = int(ends[-1]), n + len(ids)
-
-            ids, texts, size = [], [], 0
-            for batch in batches:
-                ids += batch.column("doc_id").to_pylist()
-                new = [t or "" for t in batch.column("text").to_pylist()]
-                texts, size = texts + new, size + sum(map(len, new))
-                if size >= BLOCK_CHARS:
-                    put(ids, texts)
-                    ids, texts, size = [], [], 0
-            if ids:
-                put(ids, texts)
+                docs_file.write(pc.fill_null(doc_ids, 0).to_numpy().astype("<i8").tobytes())
+                nulls_file.write(doc_ids.is_null().to_numpy(zero_copy_only=False).astype(np.uint8).tobytes())
+                offset, n = int(ends[-1]), n + len(texts)
         yield pa.record_batch([pa.array([part], pa.int32()), pa.array([name]), pa.array([n], pa.int64()), pa.array([offset], pa.int64()), pa.array([coder.type.itemsize], pa.int32())], ["part", "name", "n", "tokens", "width"])
 
     store, at = _store(folder)
     store.create_dir(at, recursive=True)
-    ordered = plain_documents(docs, "doc_id", "text", spread=False).repartitionByRange(partitions, "doc_id").sortWithinPartitions("doc_id", "text")
+    rows = plain_documents(docs, "doc_id", "text", spread=False)
+    ordered = rows.repartitionByRange(partitions, "doc_id", F.substring("text", 1, PREFIX_CHARS)).sortWithinPartitions("doc_id", "text")
     found = sorted(map(tuple, map_rows(ordered, run, "part int, name string, n bigint, tokens bigint, width int").collect()))  # a row for each file
     bases = np.r_[0, np.cumsum([tokens for *_, tokens, _ in found])].tolist()
     sets = [(name, n, base, width) for (_, name, n, _, width), base in zip(found, bases, strict=False) if n]
     with store.open_output_stream(f"{at}/bases") as f:
         f.write("".join(f"{name} {n} {base} {width}\n" for name, n, base, width in sets).encode())
+    kept = {name for name, *_ in sets} | {"bases"}
+    for info in store.get_file_info(fs.FileSelector(at)):  # of attempts that failed or were run twice, and of tasks without rows
+        if info.base_name.startswith(token) and info.base_name.rsplit(".", 1)[0] not in kept:
+            store.delete_file(info.path)
     return sets
 
 
-def _mapped(store: fs.FileSystem, path: str, kind: str) -> np.ndarray:
-    """A file's numbers: memory-mapped where it's a local file, else read."""
+def _numbers(store: fs.FileSystem, path: str, kind: str, lo: int, hi: int) -> np.ndarray:
+    """Numbers lo to hi of a file: memory-mapped where it's a local file, else read by range."""
     if isinstance(store, fs.LocalFileSystem):
-        return np.memmap(path, dtype=kind, mode="r")
+        return np.memmap(path, dtype=kind, mode="r")[lo:hi] if hi > lo else np.empty(0, kind)
+    size = np.dtype(kind).itemsize
     with store.open_input_file(path) as f:
-        return np.frombuffer(f.read(), dtype=kind)
+        f.seek(lo * size)
+        return np.frombuffer(f.read((hi - lo) * size), dtype=kind)
 
 
 def read_token_files(spark: SparkSession, folder: str, sets: list[tuple[str, int, int, int]]) -> DataFrame:
@@ -170,13 +186,13 @@ def read_token_files(spark: SparkSession, folder: str, sets: list[tuple[str, int
         store, at = _store(folder)
         for batch in batches:
             for name, n, base, width in zip(*(batch.column(c).to_pylist() for c in ("name", "n", "base", "width")), strict=True):
-                offsets = _mapped(store, f"{at}/{name}.offsets", "<u8").astype(np.int64)
-                doc_ids, nulls = _mapped(store, f"{at}/{name}.docs", "<i8"), _mapped(store, f"{at}/{name}.nulls", "u1").astype(bool)
-                ids = _mapped(store, f"{at}/{name}.ids", f"<u{width}")
-                for lo in range(0, n, 4096):
-                    hi = min(lo + 4096, n)
-                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(offsets[lo:hi].tolist(), offsets[lo + 1 : hi + 1].tolist(), strict=True)]
-                    yield pa.record_batch([pa.array(doc_ids[lo:hi], mask=nulls[lo:hi]), pa.array(base + offsets[lo:hi]), pa.array(np.diff(offsets[lo : hi + 1])), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
+                for lo in range(0, n, 1024):
+                    hi = min(lo + 1024, n)
+                    offsets = _numbers(store, f"{at}/{name}.offsets", "<u8", lo, hi + 1).astype(np.int64)
+                    doc_ids, nulls = _numbers(store, f"{at}/{name}.docs", "<i8", lo, hi), _numbers(store, f"{at}/{name}.nulls", "u1", lo, hi).astype(bool)
+                    ids, own = _numbers(store, f"{at}/{name}.ids", f"<u{width}", int(offsets[0]), int(offsets[-1])), (offsets - offsets[0]).tolist()
+                    crc = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(own, own[1:], strict=False)]
+                    yield pa.record_batch([pa.array(doc_ids, mask=nulls), pa.array(base + offsets[:-1]), pa.array(np.diff(offsets)), pa.array(crc, pa.int64())], ["doc_id", "start", "n_tokens", "ids_crc32"])
 
     frame = spark.createDataFrame(sets, "name string, n bigint, base bigint, width int").repartition(max(1, len(sets)))
     return map_rows(frame, run, SCHEMA)
@@ -186,8 +202,8 @@ def token_output(docs: DataFrame, folder: str | None = None, tokenizer: str | No
     """Write docs as token files and return one row per document as read back from them.
 
     Every row of docs gives a row. A null text counts as empty and has the end id alone. Rows with a null doc_id come
-    first; rows of the same doc_id follow each other, by text. An empty table gives empty files and no rows. Only
-    doc_id and text are read, so other columns don't matter.
+    first; rows of the same doc_id follow each other, by text. An empty table gives no rows. A very long text is encoded
+    by chunks like others; one that holds an added token's string goes to the library whole. Only doc_id and text are read.
     """
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens-{uuid.uuid4().hex}"

@@ -86,13 +86,19 @@ def test_smoother_in_spark_is_the_same_fold(spark):
         np.testing.assert_allclose(got.loc[got["session_id"] == s, "anchor_east"], want)
 
 
-def test_complementary_filters_agree(spark):
+def test_complementary_filter_of_long_sessions(spark):
     rng = np.random.default_rng(3)
-    rows = pd.DataFrame({"session_id": np.repeat([1, 2], 40), "row_idx": list(range(40)) * 2, "w": rng.normal(0, 0.3, 80), "dt": 0.1, "m": rng.uniform(0, 6.28, 80)})
-    df = spark.createDataFrame(rows)
-    a = fusion.complementary_filter(df, "w", "dt", "m", F.lit(0.95), ["session_id"], "row_idx").orderBy("session_id", "row_idx").toPandas()
-    b = fusion.complementary_by_group(df, "w", "dt", "m", 0.95, "session_id", "row_idx").orderBy("session_id", "row_idx").toPandas()
-    np.testing.assert_allclose(a["heading"], b["heading"], atol=1e-12)
+    n = 3000
+    rows = pd.DataFrame({"session_id": np.repeat([1, 2], n), "row_idx": list(range(n)) * 2, "w": rng.normal(0, 0.3, 2 * n), "dt": 0.1, "m": rng.uniform(0, 6.28, 2 * n)})
+    got = fusion.complementary_by_group(spark.createDataFrame(rows), "w", "dt", "m", 0.95, "session_id", "row_idx").orderBy("session_id", "row_idx").toPandas()
+    for session, own in rows.groupby("session_id"):
+        z = complex(math.cos(own["m"].iloc[0]), math.sin(own["m"].iloc[0]))
+        want = [z]
+        for w, m in own[["w", "m"]].iloc[1:].itertuples(index=False):
+            z = 0.95 * z / abs(z) * complex(math.cos(w * 0.1), math.sin(w * 0.1)) + 0.05 * complex(math.cos(m), math.sin(m))
+            want.append(z)
+        psi = got.loc[got["session_id"] == session, "heading"]
+        np.testing.assert_allclose(np.exp(1j * psi.to_numpy()), np.array(want) / np.abs(want), atol=1e-9)
 
 
 def test_alpha_sweep_takes_whole_sessions(spark):

@@ -19,10 +19,12 @@ from waymark.operators.windows import clamped_integral, integrate, zupt_v1
 WINDOW_ROWS = 91
 #: A window is stationary if at least half its rows are, or so many in a row, and it hardly moved.
 STILL_RUN, STILL_M = 8, 0.10
+#: A row is quiet under these, as in the stationary mask.
+ACC_LIMIT, GYRO_LIMIT = 5.389, 0.753
 
 
 def window_physics(samples: DataFrame, rows: int = WINDOW_ROWS, mask: str | None = None, start_v: float = 0.0, start_psi: float = 0.0) -> DataFrame:
-    """For each window: de, dn, ds_imu, the end row, speed and heading, and how many rows were still.
+    """For each window: de, dn, ds_imu, the end row, speed and heading, how many rows were still, and how many quiet rows end it.
 
     samples: session_id, row_idx and the edge columns. The stationary mask is found within each window, so it starts anew with
     it, unless a column of the session's own mask is given.
@@ -31,7 +33,9 @@ def window_physics(samples: DataFrame, rows: int = WINDOW_ROWS, mask: str | None
     acc = magnitude(*(F.col(c) for c in ("acc_lin_x", "acc_lin_y", "acc_lin_z")))
     gyro = magnitude(*(F.col(c) for c in ("gyro_x", "gyro_y", "gyro_z")))
     still = F.col(mask) if mask else zupt_v1(acc, gyro, by=["session_id", "window_idx"])
-    spread = spread.withColumn("_still", still)
+    quiet = F.coalesce((acc < ACC_LIMIT) & (gyro < GYRO_LIMIT), F.lit(False))
+    spread = spread.withColumns({"_still": still, "_quiet": quiet})
+    tails = spread.groupBy("session_id", "window_idx").agg((F.max("row_idx") - F.coalesce(F.max(F.when(~F.col("_quiet"), F.col("row_idx"))), F.min("row_idx") - 1)).alias("n_tail"))
     steps = spread.filter((F.col("row_idx") == 0) | (F.floor((F.col("row_idx") - 1) / (rows - 1)) == F.col("window_idx")))  # each row once
     steps = steps.withColumns({"_inc": F.col("acc_veh_fwd") * F.col("dt_sec"), "_v0": F.lit(start_v)})
     steps = clamped_integral(steps, "_inc", "velocity", start="_v0", reset="_still")
@@ -41,6 +45,7 @@ def window_physics(samples: DataFrame, rows: int = WINDOW_ROWS, mask: str | None
         F.sum(moved * F.sin("heading")).alias("de"), F.sum(moved * F.cos("heading")).alias("dn"), F.max("row_idx").alias("t_idx"), F.max_by("velocity", "row_idx").alias("velocity"),
         F.max_by("heading", "row_idx").alias("heading"), F.count("*").alias("n_rows"), F.sum(F.col("_still").cast("bigint")).alias("n_still"),
     )
+    sums = sums.join(tails, ["session_id", "window_idx"])
     return sums.withColumn("ds_imu", F.sqrt(F.col("de") * F.col("de") + F.col("dn") * F.col("dn")))
 
 
@@ -50,8 +55,8 @@ def no_correction(features: DataFrame) -> DataFrame:
 
 
 def is_stationary() -> Column:
-    """The rule for a whole window: enough still rows, hardly any displacement, and no speed left."""
-    return ((2 * F.col("n_still") >= F.col("n_rows")) | (F.col("n_still") >= STILL_RUN)) & (F.col("ds_imu") < STILL_M) & (F.col("velocity") == 0)
+    """The rule for a whole window: enough still rows, or quiet ones at its end, hardly any displacement, and no speed left."""
+    return ((F.col("n_still") >= F.floor(F.col("n_rows") / 2)) | (F.col("n_tail") >= STILL_RUN)) & (F.col("ds_imu") < STILL_M) & (F.col("velocity") == 0)
 
 
 def run_engine(samples: DataFrame, model: Callable[[DataFrame], DataFrame] = no_correction, rows: int = WINDOW_ROWS, skip_still: bool = False) -> DataFrame:

@@ -155,44 +155,25 @@ def fuse_outages(samples: DataFrame, speed_sigma: float = 1.8) -> DataFrame:
     return dealt(samples, "session_id").groupBy("session_id").applyInPandas(run, schema)
 
 
-def complementary_filter(rows: DataFrame, yaw: str, dt: str, reference: str, alpha: Column, by: Sequence[str], order: str, start: str | None = None) -> DataFrame:
-    """For each group the headings, in order, of psi = atan2 of alpha * (psi + yaw dt) and (1 - alpha) * reference, in [0, 2 pi).
-
-    A fold over the group's ordered rows inside the JVM; a group's rows must fit one array. Returns one row for each row.
-    """
-    packed = rows.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.col(order).alias("o"), F.col(yaw).alias("w"), F.col(dt).alias("dt"), F.col(reference).alias("m"), alpha.alias("a"), F.col(start or reference).alias("s")))).alias("z"))
-
-    def step(track: Column, x: Column) -> Column:
-        last = F.element_at(track, -1)["psi"]
-        moved = last + x["w"] * x["dt"]
-        a = x["a"]
-        psi = F.atan2(a * F.sin(moved) + (1 - a) * F.sin(x["m"]), a * F.cos(moved) + (1 - a) * F.cos(x["m"]))
-        psi = F.when(psi < 0, psi + 2 * math.pi).otherwise(psi)
-        return F.concat(track, F.array(F.struct(x["o"].alias("o"), psi.alias("psi"))))
-
-    first = F.array(F.struct(F.get("z", 0)["o"].alias("o"), F.pmod(F.get("z", 0)["s"], F.lit(2 * math.pi)).alias("psi")))
-    track = F.aggregate(F.slice("z", F.lit(2), F.size("z")), first, step)
-    return packed.select(*by, F.explode(track).alias("p")).select(*by, F.col("p.o").alias(order), F.col("p.psi").alias("heading"))
+def _headings(w: np.ndarray, dt: np.ndarray, m: np.ndarray, alpha: float) -> np.ndarray:
+    """psi of each row, in [0, 2 pi): atan2 of alpha * (psi + yaw dt) and (1 - alpha) * reference; the first row has the reference."""
+    out = np.empty(len(m))
+    psi = out[0] = m[0] % (2 * math.pi)
+    for k, (turn, ref) in enumerate(zip((w * dt)[1:].tolist(), m[1:].tolist(), strict=True), 1):
+        moved = psi + turn
+        psi = math.atan2(alpha * math.sin(moved) + (1 - alpha) * math.sin(ref), alpha * math.cos(moved) + (1 - alpha) * math.cos(ref)) % (2 * math.pi)
+        out[k] = psi
+    return out
 
 
 def complementary_by_group(rows: DataFrame, yaw: str, dt: str, reference: str, alpha: float | str, by: str | Sequence[str], order: str) -> DataFrame:
-    """The same filter for long sessions, where an array that is copied at each step would cost too much.
-
-    alpha is a number or the name of a column of by.
-    """
+    """The complementary filter's headings, a group of by at a time. alpha is a number or the name of a column of by."""
     keys = [by] if isinstance(by, str) else list(by)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
         group = group.sort_values(order, kind="stable")
         own = float(group[alpha].iloc[0]) if isinstance(alpha, str) else alpha
-        w, d, m = (group[c].to_numpy(dtype=float) for c in (yaw, dt, reference))
-        out = np.empty(len(group))
-        psi = m[0] % (2 * math.pi)
-        out[0] = psi
-        for k in range(1, len(group)):
-            moved = psi + w[k] * d[k]
-            psi = math.atan2(own * math.sin(moved) + (1 - own) * math.sin(m[k]), own * math.cos(moved) + (1 - own) * math.cos(m[k])) % (2 * math.pi)
-            out[k] = psi
+        out = _headings(*(group[c].to_numpy(dtype=float) for c in (yaw, dt, reference)), own)
         return pd.DataFrame({**{c: group[c] for c in keys}, order: group[order], "heading": out})
 
     kinds = dict(rows.dtypes)
@@ -200,6 +181,18 @@ def complementary_by_group(rows: DataFrame, yaw: str, dt: str, reference: str, a
     return dealt(rows.select(*keys, order, yaw, dt, reference), keys[0]).groupBy(*keys).applyInPandas(run, f"{schema}, heading double")
 
 
+def alpha_sweep(rows: DataFrame, yaw: str, dt: str, reference: str, alphas: Sequence[float], by: str, order: str) -> DataFrame:
+    """(alpha, by, mean_heading): the mean of the filter's headings for each weight. A group is read once for all weights."""
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values(order, kind="stable")
+        signals = [group[c].to_numpy(dtype=float) for c in (yaw, dt, reference)]
+        return pd.DataFrame({"alpha": list(alphas), by: group[by].iloc[0], "mean_heading": [_headings(*signals, a).mean() for a in alphas]})
+
+    kind = dict(rows.dtypes)[by]
+    return dealt(rows.select(by, order, yaw, dt, reference), by).groupBy(by).applyInPandas(run, f"alpha double, {by} {kind}, mean_heading double")
+
+
 #: Of the display smoother, as fixed values: least dead-band and default accuracy in metres, fixes that must agree, and how near.
 SMOOTHER = {"least": 4.0, "default": 5.0, "agree": 4, "reach": 3.0}
 

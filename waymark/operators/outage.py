@@ -14,12 +14,23 @@ from waymark.operators.windows import clamped_integral, dealt, ordered
 
 
 def outage_candidates(samples: DataFrame, time: str, speed: str, flag: str, durations: list[float], by: str = "session_id", order: str = "row_idx", least_speed: float = 2.0, margin: float = 0.1) -> DataFrame:
-    """Moving fixes from which an outage of a duration fits between the margins of the session: (session, duration_s, start, end)."""
+    """Moving fixes from which an outage of a duration fits between the margins of the session: (session, duration_s, start, end).
+
+    Rows of the duration and of the margin are cut to whole ones. An outage ends at the first fix at or after its duration,
+    or at the session's last fix if there's none. One window over fixes and ends finds it.
+    """
     spans = samples.groupBy(by).agg(F.count("*").alias("n"), F.median("dt").alias("dt_med"))
-    fixes = samples.filter(F.col(flag) & (F.col(speed) > least_speed)).select(by, F.col(order).alias("start_row"))
-    rows = fixes.join(spans, by).withColumn("duration_s", F.explode(F.array(*(F.lit(float(d)) for d in durations))))
-    rows = rows.withColumn("end_row", F.col("start_row") + F.round(F.col("duration_s") / F.col("dt_med")).cast("bigint"))
-    return rows.filter((F.col("start_row") >= margin * F.col("n")) & (F.col("end_row") <= (1 - margin) * F.col("n"))).select(by, "duration_s", "start_row", "end_row")
+    fixes = samples.filter(F.col(flag)).select(by, F.col(order).alias("start_row"), (F.col(speed) > least_speed).alias("moving"))
+    rows = fixes.filter("moving").join(spans, by).withColumn("duration_s", F.explode(F.array(*(F.lit(float(d)) for d in durations))))
+    rows = rows.withColumns({"dur": F.floor(F.col("duration_s") / F.col("dt_med")), "edge": F.floor(margin * F.col("n"))})
+    rows = rows.filter("start_row >= edge AND start_row <= n - dur - edge AND start_row + dur < n")
+    none = F.lit(None).cast("bigint")
+    ends = rows.select(by, (F.col("start_row") + F.col("dur")).alias("at"), none.alias("fix"), "start_row", "duration_s")
+    line = ends.unionByName(fixes.select(by, F.col("start_row").alias("at"), F.col("start_row").alias("fix"), none.alias("start_row"), F.lit(None).cast("double").alias("duration_s")))
+    session = Window.partitionBy(by).orderBy("at")
+    next_fix = F.min("fix").over(session.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    last_fix = F.max("fix").over(session.rangeBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    return line.withColumn("end_row", F.coalesce(next_fix, last_fix)).filter("duration_s IS NOT NULL").select(by, "duration_s", "start_row", "end_row")
 
 
 def choose_apart(candidates: DataFrame, most: int = 8, seed: int = 42, by: str = "session_id") -> DataFrame:

@@ -436,7 +436,7 @@ def q_yaw_align(spark, sf_dir):
 
 
 @query(f"""WITH {SAMPLES_SQL}, pt AS (SELECT session_id, row_idx, value AS x, k AS y, radians(k * 3) AS hd FROM s),
-sg AS (SELECT s_suppkey AS way_id, (s_suppkey * 37 % 490)::DOUBLE AS e1, (s_suppkey * 11 % 100)::DOUBLE AS n1, (s_suppkey * 37 % 490 + 20 + s_suppkey % 30)::DOUBLE AS e2, (s_suppkey * 17 % 100)::DOUBLE AS n2 FROM supplier WHERE s_suppkey % 3 = 0),
+sg AS (SELECT s_suppkey AS way_id, (s_suppkey * 37 % 490)::DOUBLE AS e1, (s_suppkey * 11 % 100)::DOUBLE AS n1, (s_suppkey * 37 % 490 + 20 + s_suppkey % 30)::DOUBLE AS e2, (s_suppkey * 17 % 100)::DOUBLE AS n2 FROM supplier),
 sh AS (SELECT *, atan2(e2 - e1, n2 - n1) AS rh FROM sg),
 m AS (SELECT *, least(1.0, greatest(0.0, ((x - e1) * (e2 - e1) + (y - n1) * (n2 - n1)) / ((e2 - e1) * (e2 - e1) + (n2 - n1) * (n2 - n1)))) AS f FROM pt, sh),
 d AS (SELECT *, sqrt(pow(x - e1 - f * (e2 - e1), 2) + pow(y - n1 - f * (n2 - n1), 2)) AS dist, hd - rh AS df FROM m),
@@ -444,16 +444,13 @@ t AS (SELECT *, least(abs(df + pi() - 2 * pi() * floor((df + pi()) / (2 * pi()))
 b AS (SELECT *, row_number() OVER (PARTITION BY session_id, row_idx ORDER BY dist * (1 + turn / radians(30.0)), way_id) AS i FROM t WHERE dist <= 25 AND turn <= radians(30.0))
 SELECT pt.session_id, pt.row_idx, way_id, round(dist, 6) AS dist, round(rh, 6) AS road_heading FROM pt LEFT JOIN (SELECT * FROM b WHERE i = 1) b ON pt.session_id = b.session_id AND pt.row_idx = b.row_idx""")
 def q_map_match(spark, sf_dir):
-    """Roads of every third supplier, as in its SQL; q_map_match_whole takes all."""
-    return _map_matched(spark, sf_dir, table(spark, sf_dir, "supplier").filter("s_suppkey % 3 = 0"))
-
-
-@query()
-def q_map_match_whole(spark, sf_dir):
     """All suppliers are roads."""
     return _map_matched(spark, sf_dir, table(spark, sf_dir, "supplier"))
 
 
+QUERIES["q_map_match_whole"], ORACLE_SQL["q_map_match_whole"] = q_map_match, ORACLE_SQL["q_map_match"]  # its former name
+
+
 def _map_matched(spark: SparkSession, sf_dir: str, suppliers: DataFrame) -> DataFrame:
     points = samples(spark, sf_dir).select("session_id", "row_idx", F.col("value").alias("x"), F.col("k").alias("y"), F.radians(F.col("k") * 3).alias("heading"))
     key = F.col("s_suppkey")
@@ -511,6 +508,17 @@ def q_overlapped_windows(spark, sf_dir):
     return rows.groupBy("session_id", "window_idx").agg(F.count("*").alias("n_rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"), F.round(F.avg("acc_veh_fwd"), R).alias("mean_fwd"))
 
 
+@query(f"""WITH {SAMPLES_SQL}, f AS (SELECT session_id, row_idx, value / 10 > 2 AS moving FROM s WHERE event_type IN ('click', 'view')),
+n AS (SELECT session_id, count(*) AS n, median(dt) AS dt_med, floor(0.1 * count(*)) AS edge FROM s GROUP BY session_id),
+c AS (SELECT f.session_id, duration_s, row_idx AS start_row, row_idx + floor(duration_s / dt_med) AS approx, n, edge FROM f JOIN n ON f.session_id = n.session_id, (VALUES (1.0::DOUBLE), (5.0), (20.0)) v(duration_s) WHERE moving),
+k AS (SELECT * FROM c WHERE start_row >= edge AND approx <= n - edge AND approx < n)
+SELECT session_id, duration_s, start_row, coalesce((SELECT min(row_idx) FROM f WHERE f.session_id = k.session_id AND row_idx >= k.approx), (SELECT max(row_idx) FROM f WHERE f.session_id = k.session_id)) AS end_row FROM k""")
+def q_outage_candidates(spark, sf_dir):
+    """All candidates, with their ends at the next fix; durations are in the unit of dt."""
+    rows = samples(spark, sf_dir).withColumns({"fix": F.col("event_type").isin("click", "view"), "v": F.col("value") / 10})
+    return outage.outage_candidates(rows, "t", "v", "fix", [1.0, 5.0, 20.0])
+
+
 @query()
 def q_outage_windows(spark, sf_dir):
     """Outage windows that don't overlap, chosen in a seeded order by session and duration."""

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from waymark import ship
-from waymark.llm.common import map_rows, plain_documents, read_table, written
+from waymark.llm.common import map_rows, plain_documents, read_table, small_batches, written
 
 #: Slots of one word each, and slots that all other words share by hash. Together CLASSES * PER_CLASS.
 KNOWN, HASHED = 768, 256
@@ -110,7 +110,8 @@ def code_texts(docs: DataFrame) -> DataFrame:
         yield from listed()
 
     rows = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
-    return written(map_rows(rows, run, "block bigint, doc_id bigint, text_hash bigint, codes binary, first int, words array<string>, counts array<bigint>"), "coded")
+    with small_batches(docs.sparkSession):
+        return written(map_rows(rows, run, "block bigint, doc_id bigint, text_hash bigint, codes binary, first int, words array<string>, counts array<bigint>"), "coded")
 
 
 CODED = ["block", "doc_id", "text_hash", "codes", "first", "words", "counts"]

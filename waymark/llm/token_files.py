@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark.llm.chunks import Cut, Memo
-from waymark.llm.common import map_rows, plain_documents, read_table, shared_dir
+from waymark.llm.common import map_rows, plain_documents, read_table, shared_dir, small_batches
 
 TOKENIZER_FILE = "byte_bpe_50k.json"
 END_ID = 2
@@ -157,7 +157,8 @@ def write_token_files(docs: DataFrame, folder: str, tokenizer: str, end_id: int
     store.create_dir(at, recursive=True)
     rows = plain_documents(docs, "doc_id", "text", spread=False)
     ordered = rows.repartitionByRange(partitions, "doc_id", F.substring("text", 1, PREFIX_CHARS)).sortWithinPartitions("doc_id", "text")
-    found = sorted(map(tuple, map_rows(ordered, run, "part int, name string, n bigint, tokens bigint, width int").collect()))  # a row for each file
+    with small_batches(docs.sparkSession):
+        found = sorted(map(tuple, map_rows(ordered, run, "part int, name string, n bigint, tokens bigint, width int").collect()))  # a row for each file
     bases = np.r_[0, np.cumsum([tokens for *_, tokens, _ in found])].tolist()
     sets = [(name, n, base, width) for (_, name, n, _, width), base in zip(found, bases, strict=False) if n]
     with store.open_output_stream(f"{at}/bases") as f:

@@ -7,7 +7,7 @@ State: east, north, their velocities, heading, biases of forward and lateral acc
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -108,23 +108,53 @@ class Navigator:
         self.correct(np.eye(8)[[VE, VN]], -self.x[[VE, VN]], (sigma, sigma))
 
 
-def run_outage(rows: pd.DataFrame, speed_sigma: float = 1.8, noise: Noise | None = None) -> Navigator:
-    """The filter over one outage's rows, in order.
-
-    Columns: fwd, lat, yaw, dt, still, road_heading and speed (NaN where there's no road or prediction), and on the first row
-    e0, n0, v0, psi0, b_fwd, b_lat, b_yaw. Each row predicts and forbids side slip; every 5th takes the road's heading; a still
-    row stops the vehicle unless the speed model says that it moves; every 10th from the 20th takes the model's speed.
+#: Of roads matched at the filter's own state, as fixed values: nearer than this, and within this turn either way.
+ROAD_GATE_M, ROAD_GATE_RAD = 50.0, math.radians(45.0)
+#: Standard deviations of biases (forward, lateral, yaw rate) that were measured before the outage, as fixed values.
+CALIBRATED_SIGMA = (0.15, 0.15, math.radians(0.2))
+SIGNALS = ("fwd", "lat", "yaw", "dt", "still", "road_heading", "speed")
+START = ("e0", "n0", "v0", "psi0", "b_fwd", "b_lat", "b_yaw", "calibrated")
+ROADS = ("e1", "n1", "e2", "n2", "heading")
+
+
+def matched_heading(east: float, north: float, psi: float, roads: np.ndarray) -> float:
+    """The heading, either way along it, of the nearest of the roads (rows of ROADS) within both gates; NaN if there's none."""
+    if not len(roads):
+        return math.nan
+    e1, n1, e2, n2, along = roads.T
+    de, dn = e2 - e1, n2 - n1
+    square = de * de + dn * dn
+    part = np.clip(((east - e1) * de + (north - n1) * dn) / np.where(square > 0, square, 1.0), 0.0, 1.0)
+    away = np.hypot(east - e1 - part * de, north - n1 - part * dn)
+    off = wrap(psi - along)  # works on arrays too
+    back = np.abs(off) > math.pi / 2
+    turn = np.where(back, math.pi - np.abs(off), np.abs(off))
+    away[(turn > ROAD_GATE_RAD) | (away >= ROAD_GATE_M) | (square < 1e-6)] = np.inf
+    k = int(np.argmin(away))
+    return math.nan if np.isinf(away[k]) else float((along[k] + math.pi) % (2 * math.pi) if back[k] else along[k])
+
+
+def run_outage(signals: Sequence[np.ndarray], start: Sequence[float], roads: np.ndarray | None = None, speed_sigma: float = 1.8, noise: Noise | None = None) -> Navigator:
+    """The filter over one outage's rows, in order: an array for each of SIGNALS (NaN where there's no road or predicted speed).
+
+    start has the values of START. Each row predicts and forbids side slip; every 5th takes a road's heading: that of its own
+    column or, with roads, of the road that matches the filter's state there; a still row stops the vehicle unless the speed
+    model says that it moves; every 10th from the 20th takes the model's speed. Calibrated biases start with their own spread.
     """
-    first = rows.iloc[0]
-    v0, psi0 = float(first["v0"]), float(first["psi0"])
-    nav = Navigator.at(first["e0"], first["n0"], v0 * math.sin(psi0), v0 * math.cos(psi0), wrap(psi0), (first["b_fwd"], first["b_lat"], first["b_yaw"]), noise)
+    e0, n0, v0, psi0, *biases, calibrated = start
+    nav = Navigator.at(e0, n0, v0 * math.sin(psi0), v0 * math.cos(psi0), wrap(psi0), biases, noise)
+    if calibrated:
+        nav.p[(BF, BL, BW), (BF, BL, BW)] = np.square(CALIBRATED_SIGMA)
     said = v0
-    columns = (rows[c].to_numpy() for c in ("fwd", "lat", "yaw", "dt", "still", "road_heading", "speed"))
+    columns = (np.asarray(c, dtype=float).tolist() for c in signals)
     for k, (fwd, lat, yaw, dt, still, road, speed) in enumerate(zip(*columns, strict=True), start=1):
         nav.predict(fwd, lat, yaw, dt if 0 < dt <= 1.0 else 0.1)
         nav.no_side_slip()
-        if k % 5 == 0 and not math.isnan(road):
-            nav.heading(road)
+        if k % 5 == 0:
+            if roads is not None:
+                road = matched_heading(nav.x[E], nav.x[N], nav.x[PSI], roads)
+            if not math.isnan(road):
+                nav.heading(road)
         if still and said < VETO_SPEED:
             nav.stand_still()
         if k % 10 == 0 and k >= 20 and not math.isnan(speed):
@@ -133,26 +163,38 @@ def run_outage(rows: pd.DataFrame, speed_sigma: float = 1.8, noise: Noise | None
     return nav
 
 
-def fuse_outages(samples: DataFrame, speed_sigma: float = 1.8) -> DataFrame:
-    """The filter's end state of each outage. samples: session_id, outage_id, row_idx and the columns of run_outage.
+def fuse_outages(samples: DataFrame, roads: DataFrame | None = None, speed_sigma: float = 1.8) -> DataFrame:
+    """The filter's end state of each outage. samples: session_id, outage_id, row_idx and the columns SIGNALS and START.
 
-    A group holds the outages of one session: a group for each outage would cost more in transfers than in filtering.
+    roads: (session_id, outage_id, roads: array of ROADS) from joins.roads_near; with it, road_heading isn't needed. An outage is
+    a row of arrays, so a session's outages run apart, whatever share of all rows it holds. Null signals count as NaN; a null
+    still or calibrated is false.
     """
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(["outage_id", "row_idx"], kind="stable").reset_index(drop=True)
-        names = ("east", "north", "ve", "vn", "psi", "b_fwd", "b_lat", "b_yaw")
-        ids = group["outage_id"].to_numpy()
-        bounds = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1], True])
-        out = []
-        for a, b in zip(bounds[:-1].tolist(), bounds[1:].tolist(), strict=True):
-            nav = run_outage(group.iloc[a:b], speed_sigma)
-            out.append({"session_id": group["session_id"].iloc[0], "outage_id": ids[a], "n_rows": b - a, **dict(zip(names, nav.x.tolist(), strict=True))})
-        return pd.DataFrame(out)
-
+    keys = ["session_id", "outage_id"]
+    given = samples.columns
+    value = lambda c: F.col(c).cast("double") if c in given else F.lit(0.0 if c == "calibrated" else math.nan)
+    flat = samples.select(*keys, "row_idx", *(F.coalesce(value(c), F.lit(0.0 if c in ("still", "calibrated") else math.nan)).alias(c) for c in (*SIGNALS, *START)))
+    rows = flat.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row_idx", *SIGNALS))).alias("_rows"), F.min_by(F.array(*START), "row_idx").alias("start"))
+    rows = rows.select(*keys, "start", *(F.col(f"_rows.{c}").alias(c) for c in SIGNALS))
+    if roads is not None:
+        own = roads.select(*keys, *(F.col(f"roads.{c}").alias(f"_{c}") for c in ROADS))
+        none = F.array().cast("array<double>")
+        rows = rows.join(own, keys, "left").withColumns({f"_{c}": F.coalesce(f"_{c}", none) for c in ROADS})
+    names = ("east", "north", "ve", "vn", "psi", "b_fwd", "b_lat", "b_yaw")
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.to_dict("records"):
+                near = None if not roads_given else np.array([r[f"_{c}"] for c in ROADS], dtype=float).T
+                out.append(run_outage([r[c] for c in SIGNALS], list(r["start"]), near, speed_sigma).x)
+            states = np.array(out).reshape(-1, len(names))
+            yield pd.DataFrame({"session_id": batch["session_id"], "outage_id": batch["outage_id"], "n_rows": batch["fwd"].map(len), **dict(zip(names, states.T, strict=True))})
+
+    roads_given = roads is not None
     kinds = dict(samples.dtypes)
-    schema = f"session_id {kinds['session_id']}, outage_id {kinds['outage_id']}, n_rows bigint, east double, north double, ve double, vn double, psi double, b_fwd double, b_lat double, b_yaw double"
-    return dealt(samples, "session_id").groupBy("session_id").applyInPandas(run, schema)
+    schema = f"session_id {kinds['session_id']}, outage_id {kinds['outage_id']}, n_rows bigint, " + ", ".join(f"{c} double" for c in names)
+    return rows.mapInPandas(run, schema)
 
 
 def _headings(w: np.ndarray, dt: np.ndarray, m: np.ndarray, alpha: float) -> np.ndarray:

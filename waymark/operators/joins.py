@@ -98,6 +98,28 @@ def map_match(points: DataFrame, segments: DataFrame, point_id: Sequence[str], g
     return points.join(best, list(point_id), "left").select(*points.columns, *(F.col(f"_hit.{c}").alias(c) for c in ("way_id", "seg_idx", "snap_x", "snap_y", "dist", "road_heading")))
 
 
+def roads_near(boxes: DataFrame, segments: DataFrame, key: Sequence[str], margin_m: float = 1000.0, cell_m: float = 1000.0) -> DataFrame:
+    """(*key, roads: array of (e1, n1, e2, n2, heading) by way_id, seg_idx): all segments of each way that meets a box grown by the margin.
+
+    boxes: key, e_lo, e_hi, n_lo, n_hi. Boxes and segments are entered in all cells of a grid that they meet; a pair counts in
+    the lowest cell that both have, so it is found once. Boxes without roads have no row.
+    """
+    cell = lambda c: F.floor(c / cell_m)
+
+    def entered(df: DataFrame, e_lo: Column, e_hi: Column, n_lo: Column, n_hi: Column, tag: str) -> DataFrame:
+        df = df.withColumns({f"_e{tag}": e_lo, f"_f{tag}": e_hi, f"_n{tag}": n_lo, f"_o{tag}": n_hi})
+        df = df.withColumn("_cx", F.explode(F.sequence(cell(F.col(f"_e{tag}")), cell(F.col(f"_f{tag}")))))
+        return df.withColumn("_cy", F.explode(F.sequence(cell(F.col(f"_n{tag}")), cell(F.col(f"_o{tag}")))))
+
+    b = entered(boxes.select(*key, "e_lo", "e_hi", "n_lo", "n_hi"), F.col("e_lo") - margin_m, F.col("e_hi") + margin_m, F.col("n_lo") - margin_m, F.col("n_hi") + margin_m, "b")
+    s = entered(segments.select("way_id", "e1", "n1", "e2", "n2"), F.least("e1", "e2"), F.greatest("e1", "e2"), F.least("n1", "n2"), F.greatest("n1", "n2"), "s")
+    met = b.join(s, ["_cx", "_cy"]).filter("_es <= _fb AND _fs >= _eb AND _ns <= _ob AND _os >= _nb")
+    met = met.filter((F.col("_cx") == cell(F.greatest("_eb", "_es"))) & (F.col("_cy") == cell(F.greatest("_nb", "_ns"))))
+    ways = met.select(*key, "way_id").distinct()
+    road = F.struct("way_id", "seg_idx", "e1", "n1", "e2", "n2", "heading")
+    return ways.join(segments, "way_id").groupBy(*key).agg(F.sort_array(F.collect_list(road)).alias("roads"))
+
+
 def merge_new(existing: DataFrame, fresh: DataFrame, key: str) -> DataFrame:
     """existing and those of fresh whose key it lacks."""
     return existing.unionByName(fresh.join(existing.select(key), key, "left_anti").select(*existing.columns))

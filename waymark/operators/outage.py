@@ -83,6 +83,25 @@ def simulate_physics(samples: DataFrame, outages: DataFrame, fwd: str = "acc_veh
     return rows.withColumns({"east": F.sum(step * F.sin("psi")).over(running), "north": F.sum(step * F.cos("psi")).over(running)}).drop("_inc", "_start")
 
 
+def biases_before(samples: DataFrame, outages: DataFrame, time: str, still: str, window: float = 60.0, least: int = 50, most_acc: float = 1.0, most_turn: float = 0.1) -> DataFrame:
+    """outages with b_fwd, b_lat, b_yaw and calibrated: the means of the signals (fwd, lat, yaw) over the still samples of the
+    window that ends with each outage's start, both ends included, clipped; 0 and false with fewer than `least` of them.
+
+    outages: session_id, outage_id and t_start, in the unit of time. The windows are cut at multiples of their length, so it's an
+    equi-join of two buckets an outage, and neither side need be small. Null and NaN signals of a still sample don't count.
+    """
+    keys = list(OUTAGE)
+    bucket = lambda c: F.floor(c / window)
+    quiet = samples.filter(F.col(still)).select("session_id", F.col(time).alias("_t"), "fwd", "lat", "yaw").withColumn("_bucket", bucket(F.col("_t")))
+    spans = outages.select(*keys, "t_start").withColumn("_bucket", F.explode(F.sequence(bucket(F.col("t_start") - window), bucket(F.col("t_start")))))
+    own = quiet.join(spans, ["session_id", "_bucket"]).filter((F.col("_t") >= F.col("t_start") - window) & (F.col("_t") <= F.col("t_start")))
+    means = own.groupBy(*keys).agg(F.count("*").alias("_n"), *(F.coalesce(F.avg(F.nanvl(c, F.lit(None).cast("double"))), F.lit(0.0)).alias(f"b_{c}") for c in ("fwd", "lat", "yaw")))
+    enough = F.coalesce(F.col("_n") >= least, F.lit(False))
+    clipped = lambda c, most: F.when(enough, F.greatest(F.lit(-most), F.least(F.lit(most), c))).otherwise(0.0)
+    found = outages.join(means, keys, "left").withColumns({"b_fwd": clipped("b_fwd", most_acc), "b_lat": clipped("b_lat", most_acc), "b_yaw": clipped("b_yaw", most_turn), "calibrated": enough})
+    return found.drop("_n")
+
+
 def outage_errors(path: DataFrame, truth: DataFrame) -> DataFrame:
     """Errors at each outage's last row. truth: session_id, outage_id, true_east, true_north (from its start), true_v, true_psi."""
     last = path.groupBy(*OUTAGE).agg(F.max(F.struct("row_idx", "east", "north", "velocity", "psi")).alias("z"), F.sum("dt").alias("actual_dur_s"))

@@ -8,9 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from waymark.operators import edge, features, fusion, joins, models
+from waymark.operators import edge, features, fusion, joins, models, outage
 from waymark.operators import windows as win
-from waymark.plans.motion import _outages, _signals
+from waymark.plans.motion import _OUT, _ROADS, _outages, _roads, _signals
 from waymark.plans.samples import SAMPLES_SQL, samples, table
 from waymark.shared import shared_dir
 from waymark.streaming import live
@@ -59,18 +59,73 @@ def q_alpha_sweep(spark, sf_dir):
 QUERIES["q_alpha_sweep_whole"], ORACLE_SQL["q_alpha_sweep_whole"] = q_alpha_sweep, ORACLE_SQL["q_alpha_sweep"]  # its former name
 
 
+def _filter_rows(rows: DataFrame, outages: DataFrame) -> DataFrame:
+    """The samples of each outage with the filter's inputs, a speed in place of a trained model."""
+    own = joins.range_join(rows, outages, "session_id", "row_idx", "start_row", "end_row", 64)
+    given = {"fwd": F.col("a"), "lat": F.col("w") / 2, "yaw": F.col("w"), "dt": F.lit(0.1), "still": F.col("event_type") == "error", "speed": F.col("value") / 50}
+    return own.withColumns(given)
+
+
+def _rounded_states(found: DataFrame) -> DataFrame:
+    return found.select("session_id", "outage_id", "n_rows", *(F.round(c, R).alias(c) for c in ("east", "north", "ve", "vn", "psi")))
+
+
 @query()
 def q_ekf_outage(spark, sf_dir):
-    """The filter through each outage, with road headings from its samples and a speed in place of a trained model."""
+    """The filter through each outage, with road headings from its samples."""
     rows = samples(spark, sf_dir)
-    own = joins.range_join(rows, _outages(rows), "session_id", "row_idx", "start_row", "end_row", 64)
-    own = own.select(
-        "session_id", "outage_id", "row_idx", F.col("a").alias("fwd"), (F.col("w") / 2).alias("lat"), F.col("w").alias("yaw"), F.lit(0.1).alias("dt"), (F.col("event_type") == "error").alias("still"),
-        F.when(F.col("k") > 70, F.radians("k")).otherwise(F.lit(math.nan)).alias("road_heading"), (F.col("value") / 50).alias("speed"), F.lit(0.0).alias("e0"), F.lit(0.0).alias("n0"), "v0", "psi0",
-        *(F.lit(0.0).alias(f"b_{c}") for c in ("fwd", "lat", "yaw")),
-    )
-    found = fusion.fuse_outages(own)
-    return found.select("session_id", "outage_id", "n_rows", *(F.round(c, R).alias(c) for c in ("east", "north", "ve", "vn", "psi")))
+    road = F.when(F.col("k") > 70, F.radians("k")).otherwise(F.lit(math.nan))
+    own = _filter_rows(rows, _outages(rows)).withColumns({"road_heading": road, **{c: F.lit(0.0) for c in ("e0", "n0", "b_fwd", "b_lat", "b_yaw")}})
+    return _rounded_states(fusion.fuse_outages(own))
+
+
+WINDOW_S, LEAST_STILL = 1_000_000.0, 3
+
+
+def _calibrated(rows: DataFrame) -> DataFrame:
+    """Outages with the biases before them. Events are hours apart, so the window is longer than that of samples at 10 Hz."""
+    starts = rows.select("session_id", F.col("row_idx").alias("outage_id"), F.col("t").alias("t_start"), F.col("value").alias("e0"), F.col("k").alias("n0"))
+    signals = rows.withColumns({"still": F.col("event_type") == "error", "fwd": F.col("a"), "lat": F.col("w") / 2, "yaw": F.col("w")})
+    return outage.biases_before(signals, _outages(rows).join(starts, ["session_id", "outage_id"]), "t", "still", WINDOW_S, LEAST_STILL, 0.1, 0.05)
+
+
+_STILL = f"""q AS (SELECT o.session_id, o.outage_id, count(*) AS n, avg(x.a) AS f, avg(x.w / 2) AS l, avg(x.w) AS y FROM o JOIN s AS g ON g.session_id = o.session_id AND g.row_idx = o.outage_id
+JOIN s AS x ON x.session_id = o.session_id AND x.event_type = 'error' AND x.t BETWEEN g.t - {WINDOW_S} AND g.t GROUP BY 1, 2)"""
+
+
+@query(f"""WITH {SAMPLES_SQL}, {_OUT}, {_STILL} SELECT o.session_id, o.outage_id, coalesce(n >= {LEAST_STILL}, false) AS calibrated,
+round(CASE WHEN n >= {LEAST_STILL} THEN greatest(-0.1, least(0.1, f)) ELSE 0 END * 0.7310585786, 6) + 0.0 AS b_fwd, round(CASE WHEN n >= {LEAST_STILL} THEN greatest(-0.1, least(0.1, l)) ELSE 0 END * 0.7310585786, 6) + 0.0 AS b_lat,
+round(CASE WHEN n >= {LEAST_STILL} THEN greatest(-0.05, least(0.05, y)) ELSE 0 END * 0.7310585786, 6) + 0.0 AS b_yaw FROM o LEFT JOIN q ON q.session_id = o.session_id AND q.outage_id = o.outage_id""")
+def q_biases_before_outage(spark, sf_dir):
+    """Biases from the still samples in the window before each outage."""
+    found = _calibrated(samples(spark, sf_dir))
+    return found.select("session_id", "outage_id", "calibrated", *((F.round(F.col(c) * 0.7310585786, R) + F.lit(0.0)).alias(c) for c in ("b_fwd", "b_lat", "b_yaw")))
+
+
+MARGIN_M, CELL_M = 25.0, 50.0
+
+
+def _near(spark, sf_dir, outages: DataFrame) -> DataFrame:
+    boxes = outages.select("session_id", "outage_id", F.col("e0").alias("e_lo"), F.col("e0").alias("e_hi"), F.col("n0").alias("n_lo"), F.col("n0").alias("n_hi"))
+    return joins.roads_near(boxes, _roads(table(spark, sf_dir, "supplier")), ["session_id", "outage_id"], MARGIN_M, CELL_M)
+
+
+@query(f"""WITH {SAMPLES_SQL}, {_ROADS} SELECT session_id, row_idx AS outage_id, count(*) AS n_roads, CAST(sum(way_id) AS BIGINT) AS way_sum, round(sum(rh), 6) AS heading_sum FROM s JOIN sh
+ON least(e1, e2) <= value + {MARGIN_M} AND greatest(e1, e2) >= value - {MARGIN_M} AND least(n1, n2) <= k + {MARGIN_M} AND greatest(n1, n2) >= k - {MARGIN_M} WHERE event_type = 'click' GROUP BY 1, 2""")
+def q_roads_near(spark, sf_dir):
+    """The roads about each outage's start."""
+    rows = samples(spark, sf_dir).filter("event_type = 'click'")
+    found = _near(spark, sf_dir, rows.select("session_id", F.col("row_idx").alias("outage_id"), F.col("value").alias("e0"), F.col("k").alias("n0")))
+    total = lambda c, zero: F.aggregate(f"roads.{c}", F.lit(zero), lambda a, x: a + x)
+    return found.select("session_id", "outage_id", F.size("roads").cast("bigint").alias("n_roads"), F.aggregate("roads.way_id", F.lit(0).cast("bigint"), lambda a, x: a + x).alias("way_sum"), F.round(total("heading", 0.0), R).alias("heading_sum"))
+
+
+@query()
+def q_ekf_matched_outage(spark, sf_dir):
+    """The filter through each outage, started with the biases before it, its heading held to the road that its own state is on."""
+    rows = samples(spark, sf_dir)
+    outages = _calibrated(rows)
+    return _rounded_states(fusion.fuse_outages(_filter_rows(rows, outages), _near(spark, sf_dir, outages)))
 
 
 @query()

@@ -287,10 +287,15 @@ def q_middle_moving_row(spark, sf_dir):
     return win.middle_moving_row(samples(spark, sf_dir), "value", 30)
 
 
-@query(f"WITH {SAMPLES_SQL} SELECT session_id, row_idx, CASE WHEN abs(a) < 0.15 THEN 0 ELSE a END AS banded, least(greatest(a, -0.3), 0.3) AS clamped, round(CASE WHEN dt <= 0 OR dt > 10 THEN 0.1 ELSE dt END, 6) AS dt_ok FROM s WHERE row_idx % 10 = 0")
+@query(f"WITH {SAMPLES_SQL} SELECT session_id, row_idx, CASE WHEN abs(a) < 0.15 THEN 0 ELSE a END AS banded, least(greatest(a, -0.3), 0.3) AS clamped, round(CASE WHEN dt <= 0 OR dt > 10 THEN 0.1 ELSE dt END, 6) AS dt_ok FROM s")
 def q_signal_guards(spark, sf_dir):
-    rows = win.decimate(samples(spark, sf_dir), 10)
-    return rows.select("session_id", "row_idx", sig.deadband(F.col("a"), 0.15).alias("banded"), sig.clamp(F.col("a"), -0.3, 0.3).alias("clamped"), F.round(sig.sane_dt(F.col("dt"), 10.0), R).alias("dt_ok"))
+    return samples(spark, sf_dir).select("session_id", "row_idx", sig.deadband(F.col("a"), 0.15).alias("banded"), sig.clamp(F.col("a"), -0.3, 0.3).alias("clamped"), F.round(sig.sane_dt(F.col("dt"), 10.0), R).alias("dt_ok"))
+
+
+@query(f"WITH {SAMPLES_SQL} SELECT session_id, row_idx, value FROM s WHERE row_idx % 10 = 0")
+def q_decimate(spark, sf_dir):
+    """Every tenth row of each session: decimation is the feature."""
+    return win.decimate(samples(spark, sf_dir), 10).select("session_id", "row_idx", "value")
 
 
 # --- alignment ------------------------------------------------------------------------------------------------
@@ -330,12 +335,12 @@ def q_snap(spark, sf_dir):
     return samples(spark, sf_dir).select("session_id", "row_idx", before.alias("snap_before"), after.alias("snap_after"))
 
 
-_OUT = f"o AS (SELECT session_id, row_idx AS outage_id, row_idx AS start_row, row_idx + 12 AS end_row, value / 50 AS v0, radians(k) AS psi0 FROM s WHERE event_type = 'click' AND row_idx % 7 = 0)"
+_OUT = f"o AS (SELECT session_id, row_idx AS outage_id, row_idx AS start_row, row_idx + 12 AS end_row, value / 50 AS v0, radians(k) AS psi0 FROM s WHERE event_type = 'click')"
 
 
 def _outages(rows: DataFrame) -> DataFrame:
-    own = rows.filter("event_type = 'click' AND row_idx % 7 = 0")
-    return own.select("session_id", F.col("row_idx").alias("outage_id"), F.col("row_idx").alias("start_row"), (F.col("row_idx") + 12).alias("end_row"), (F.col("value") / 50).alias("v0"), F.radians("k").alias("psi0"))
+    """An outage of 12 rows from each click."""
+    return rows.filter("event_type = 'click'").select("session_id", F.col("row_idx").alias("outage_id"), F.col("row_idx").alias("start_row"), (F.col("row_idx") + 12).alias("end_row"), (F.col("value") / 50).alias("v0"), F.radians("k").alias("psi0"))
 
 
 @query(f"WITH {SAMPLES_SQL}, {_OUT} SELECT o.session_id, outage_id, count(*) AS n_rows, round(sum(value), 4) AS total FROM s JOIN o ON s.session_id = o.session_id AND row_idx > start_row AND row_idx <= end_row GROUP BY 1, 2")
@@ -435,9 +440,12 @@ def q_yaw_align(spark, sf_dir):
     return found.withColumn("alignment_corr", F.round("alignment_corr", R))
 
 
+_ROADS = """sg AS (SELECT s_suppkey AS way_id, (s_suppkey * 37 % 490)::DOUBLE AS e1, (s_suppkey * 11 % 100)::DOUBLE AS n1, (s_suppkey * 37 % 490 + 20 + s_suppkey % 30)::DOUBLE AS e2, (s_suppkey * 17 % 100)::DOUBLE AS n2 FROM supplier),
+sh AS (SELECT *, atan2(e2 - e1, n2 - n1) AS rh FROM sg)"""
+
+
 @query(f"""WITH {SAMPLES_SQL}, pt AS (SELECT session_id, row_idx, value AS x, k AS y, radians(k * 3) AS hd FROM s),
-sg AS (SELECT s_suppkey AS way_id, (s_suppkey * 37 % 490)::DOUBLE AS e1, (s_suppkey * 11 % 100)::DOUBLE AS n1, (s_suppkey * 37 % 490 + 20 + s_suppkey % 30)::DOUBLE AS e2, (s_suppkey * 17 % 100)::DOUBLE AS n2 FROM supplier),
-sh AS (SELECT *, atan2(e2 - e1, n2 - n1) AS rh FROM sg),
+{_ROADS},
 m AS (SELECT *, least(1.0, greatest(0.0, ((x - e1) * (e2 - e1) + (y - n1) * (n2 - n1)) / ((e2 - e1) * (e2 - e1) + (n2 - n1) * (n2 - n1)))) AS f FROM pt, sh),
 d AS (SELECT *, sqrt(pow(x - e1 - f * (e2 - e1), 2) + pow(y - n1 - f * (n2 - n1), 2)) AS dist, hd - rh AS df FROM m),
 t AS (SELECT *, least(abs(df + pi() - 2 * pi() * floor((df + pi()) / (2 * pi())) - pi()), abs(df + 2 * pi() - 2 * pi() * floor((df + 2 * pi()) / (2 * pi())) - pi())) AS turn FROM d),
@@ -451,11 +459,15 @@ def q_map_match(spark, sf_dir):
 QUERIES["q_map_match_whole"], ORACLE_SQL["q_map_match_whole"] = q_map_match, ORACLE_SQL["q_map_match"]  # its former name
 
 
-def _map_matched(spark: SparkSession, sf_dir: str, suppliers: DataFrame) -> DataFrame:
-    points = samples(spark, sf_dir).select("session_id", "row_idx", F.col("value").alias("x"), F.col("k").alias("y"), F.radians(F.col("k") * 3).alias("heading"))
+def _roads(suppliers: DataFrame) -> DataFrame:
     key = F.col("s_suppkey")
     roads = suppliers.select(key.alias("way_id"), F.lit(0).alias("seg_idx"), (key * 37 % 490).cast("double").alias("e1"), (key * 11 % 100).cast("double").alias("n1"), (key * 37 % 490 + 20 + key % 30).cast("double").alias("e2"), (key * 17 % 100).cast("double").alias("n2"))
-    roads = roads.withColumn("heading", F.atan2(F.col("e2") - F.col("e1"), F.col("n2") - F.col("n1")))
+    return roads.withColumn("heading", F.atan2(F.col("e2") - F.col("e1"), F.col("n2") - F.col("n1")))
+
+
+def _map_matched(spark: SparkSession, sf_dir: str, suppliers: DataFrame) -> DataFrame:
+    points = samples(spark, sf_dir).select("session_id", "row_idx", F.col("value").alias("x"), F.col("k").alias("y"), F.radians(F.col("k") * 3).alias("heading"))
+    roads = _roads(suppliers)
     found = joins.map_match(points, roads, ["session_id", "row_idx"], 25.0, math.radians(30.0))
     return found.select("session_id", "row_idx", "way_id", F.round("dist", R).alias("dist"), F.round("road_heading", R).alias("road_heading"))
 

@@ -74,3 +74,18 @@ def plain_documents(docs: DataFrame, *columns: str, spread: bool = True) -> Data
     kinds = {"doc_id": "bigint", "text": "string", "lang": "string", "source": "string"}
     docs = spread_out(docs) if spread else docs
     return docs.select(*(F.col(f"`{c}`").cast(kinds[c]).alias(c) for c in columns))
+
+
+@contextmanager
+def co_located(df: DataFrame, key: str, buckets: int, label: str) -> Iterator[DataFrame]:
+    """df as a table in the shared folder, dealt by key to so many buckets, so that joins on key move only the other side.
+
+    The catalog's entry goes when the block ends; read what is made of the table inside it.
+    """
+    spark = df.sparkSession
+    name = f"waymark_{label}_{uuid.uuid4().hex}"
+    df.write.format("parquet").bucketBy(max(1, buckets), key).sortBy(key).option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    try:
+        yield spark.table(name)
+    finally:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")

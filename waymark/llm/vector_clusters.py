@@ -1,11 +1,13 @@
 """Centroid clustering with a vector approximation file.
 
-Each vector is approximated by a cell of 4 bits for each component, cut at quantiles of a normal distribution with the
-component's mean and deviation. A cell's distance to a centroid lies between bounds, one sum each of table entries; a
-table has a row for each pair of components' cells, so the 32 bytes of an approximation are its 32 look-ups. A round reads
-the approximations only. Where one centroid's greatest distance is below all others' least, the vector is assigned; full
-vectors are fetched for the rest, by a join, and only the centroids whose bounds overlap are measured. Sums change by what
-has moved: a vector that keeps its cluster isn't fetched. The last step fetches all, as the result holds distances.
+Each vector is approximated by a cell of 6 bits for each component, cut at quantiles of a normal distribution with the
+component's mean and deviation; 48 bytes in place of 256. What a centroid's squared distance exceeds the vector's own
+square by, the sum of c (c - 2 x), is linear in x, so a cell gives it bounds, by a look-up in a table for each component:
+the own square is the same for all centroids and needn't be bounded. A round reads the approximations only. Where these
+intervals overlap, those of the differences to the most likely centroid are looked up, which are narrower as what two
+centroids have in common drops out. Where they overlap still, the full vector is fetched, by a join, and only the
+centroids that remain are measured. Sums change by what has moved: a vector that keeps its cluster isn't fetched for them.
+The last step fetches all, as the result holds distances.
 
 Components are integers and all sums exact, so the result doesn't depend on the partitions. Approximations and their
 assignments are one written table a round; vectors are dealt to buckets once and stay there.
@@ -27,8 +29,8 @@ from waymark.llm.common import co_located, map_rows, read_table, written
 DIMENSIONS, CENTROIDS, ROUNDS = 64, 40, 5
 #: Components are floor(SCALE * x). Beyond LARGEST they are taken as LARGEST, as squared distances have 64 bits.
 SCALE, LARGEST = 256, 1 << 27
-#: Bits of a component's cell; a byte holds two.
-BITS = 4
+#: Bits of a component's cell.
+BITS = 6
 #: Starting centroids are those of the smallest sha256 of this and the vec_id.
 SEED = "2:"
 #: Squared sums below this are exact in floating point.
@@ -61,21 +63,46 @@ class Cells:
         self.high = np.concatenate([np.maximum(self.cuts - 1, low[:, None]), high[:, None]], axis=1)
 
     def approximate(self, vectors: np.ndarray) -> np.ndarray:
+        """Packed cells, a row of bytes for each vector."""
         cells = np.stack([np.searchsorted(self.cuts[d], vectors[:, d], side="right") for d in range(vectors.shape[1])], axis=1).astype(np.uint8)
-        return cells[:, ::2] | cells[:, 1::2] << BITS
-
-    def tables(self, centroids: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Least and greatest squared distances by byte of the approximation, its value, and centroid."""
-        below, above = self.low[:, :, None] - centroids.T[:, None, :], centroids.T[:, None, :] - self.high[:, :, None]
-        least, most = np.maximum(np.maximum(below, above), 0) ** 2, np.maximum(np.abs(below), np.abs(above)) ** 2
-        paired = lambda t: (t[::2, None, :, :] + t[1::2, :, None, :]).reshape(t.shape[0] // 2, -1, t.shape[2])  # noqa: E731  the second of two is the high half
-        return paired(least), paired(most)
-
-
-def possible(cells: np.ndarray, tables: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
-    """Which centroids may be each vector's nearest: those whose least distance isn't above the smallest greatest one."""
-    least, most = (sum(t[d][cells[:, d]] for d in range(cells.shape[1])) for t in tables)
-    return least <= most.min(axis=1)[:, None]
+        return np.packbits(np.unpackbits(cells[:, :, None], axis=2)[:, :, 8 - BITS :].reshape(len(cells), -1), axis=1)
+
+    def unpacked(self, packed: np.ndarray) -> np.ndarray:
+        bits = np.unpackbits(packed, axis=1, count=len(self.cuts) * BITS).reshape(len(packed), -1, BITS)
+        return (bits * (1 << np.arange(BITS)[::-1]).astype(np.uint8)).sum(axis=2, dtype=np.uint8)
+
+    def tables(self, centroids: np.ndarray, reference: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """Least and greatest values by component, cell and centroid of the squared distance, less that to the reference (without one: to the origin)."""
+        r = np.zeros(centroids.shape[1], np.int64) if reference is None else reference
+        square, slope = (centroids**2 - r**2).T[:, None, :], 2 * (centroids - r).T[:, None, :]
+        a, b = square - slope * self.low[:, :, None], square - slope * self.high[:, :, None]
+        return np.minimum(a, b), np.maximum(a, b)
+
+
+class Bounds:
+    """Which centroids may be the nearest of approximated vectors."""
+
+    def __init__(self, grid: Cells, centroids: np.ndarray):
+        self.grid, self.centroids = grid, centroids
+        self.least, self.most = grid.tables(centroids)
+        self.by_reference: dict[int, np.ndarray] = {}
+
+    def _looked_up(self, table: np.ndarray, cells: np.ndarray) -> np.ndarray:
+        return sum(table[d][cells[:, d]] for d in range(cells.shape[1]))
+
+    def possible(self, packed: np.ndarray) -> np.ndarray:
+        """Those whose least distance isn't above another's greatest one."""
+        cells = self.grid.unpacked(packed)
+        least, most = self._looked_up(self.least, cells), self._looked_up(self.most, cells)
+        may = least <= most.min(axis=1)[:, None]
+        open_ones = np.flatnonzero(may.sum(axis=1) > 1)
+        likely = np.where(may, least + most, np.iinfo(np.int64).max).argmin(axis=1)
+        for r in np.unique(likely[open_ones]).tolist():
+            if r not in self.by_reference:
+                self.by_reference[r] = self.grid.tables(self.centroids, self.centroids[r])[0]
+            own = open_ones[likely[open_ones] == r]
+            may[own] &= self._looked_up(self.by_reference[r], cells[own]) <= 0
+        return may
 
 
 def _grid(vectors: DataFrame) -> Cells:
@@ -103,14 +130,15 @@ def _first_centroids(vectors: DataFrame, n: int) -> np.ndarray:
     return np.array([np.frombuffer(r.vec, dtype="<i4") for r in rows], dtype=np.int64).reshape(-1, DIMENSIONS)
 
 
-def _bounded(state: DataFrame, tables: tuple[np.ndarray, np.ndarray]) -> DataFrame:
+def _bounded(state: DataFrame, grid: Cells, centroids: np.ndarray) -> DataFrame:
     """state with each vector's new cluster, -1 where bounds overlap, and the centroids that are possible, as bits of bytes."""
 
     def run(batches: Iterator[pa.RecordBatch]):
+        bounds = Bounds(grid, centroids)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            may = possible(np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(batch.num_rows, -1), tables)
+            may = bounds.possible(np.frombuffer(b"".join(batch.column("cells").to_pylist()), np.uint8).reshape(batch.num_rows, -1))
             new = np.where(may.sum(axis=1) == 1, may.argmax(axis=1), -1).astype(np.int32)
             bits = [row.tobytes() for row in np.packbits(may, axis=1)]
             yield pa.record_batch([*(batch.column(c) for c in ("rid", "cells", "cluster")), pa.array(new), pa.array(bits, pa.binary())], ["rid", "cells", "cluster", "new", "may"])
@@ -194,7 +222,7 @@ def cluster_vectors(embeddings: DataFrame, n_centroids: int = CENTROIDS, rounds:
     sums, counts = [[0] * DIMENSIONS for _ in centroids], [0] * len(centroids)
     with co_located(vectors, "rid", vectors.rdd.getNumPartitions(), "vectors") as stored:
         for _ in range(rounds):
-            bounded = written(_bounded(state, grid.tables(centroids)), "bounds")
+            bounded = written(_bounded(state, grid, centroids), "bounds")
             settled = written(_settled(bounded.filter("new = -1 OR new != cluster").join(stored.select("rid", "vec"), "rid"), centroids), "settled")
             if report is not None:
                 report.append((settled.filter("rid IS NOT NULL").count(), bounded.count()))
@@ -204,7 +232,7 @@ def cluster_vectors(embeddings: DataFrame, n_centroids: int = CENTROIDS, rounds:
                 counts[c] += n if d == 0 else 0
             centroids = np.array([[x // n for x in own] if n else old for own, n, old in zip(sums, counts, centroids.tolist(), strict=True)], dtype=np.int64)
             state = bounded.filter("new >= 0 AND new = cluster").select("rid", "cells", "cluster").unionByName(settled.filter("rid IS NOT NULL").select("rid", "cells", "cluster"))
-        bounded = written(_bounded(state, grid.tables(centroids)), "bounds")
+        bounded = written(_bounded(state, grid, centroids), "bounds")
         rows = written(_last(bounded.select("rid", "may").join(stored, "rid"), centroids), "clusters")
     sha = [hashlib.sha256(",".join(map(str, c)).encode()).hexdigest() for c in centroids.tolist()]
     by_cluster = rows.groupBy("cluster").agg(F.sum(F.col("distance").cast("decimal(38,0)")).alias("s")).collect()  # a row for each centroid

@@ -13,7 +13,7 @@ from waymark.operators import windows as win
 from waymark.plans.motion import _OUT, _ROADS, _outages, _roads, _signals
 from waymark.plans.samples import SAMPLES_SQL, samples, table
 from waymark.shared import shared_dir
-from waymark.streaming import live
+from waymark.streaming import live, machine
 
 QUERIES, ORACLE_SQL = {}, {}
 R = 6
@@ -174,25 +174,34 @@ def q_stream_windows(spark, sf_dir):
     return found.select("event_type", F.floor(F.unix_micros("window.start") / 2.16e10).alias("window_no"), "n", F.round(F.col("mean_value") * 0.7310585786, R).alias("mean_value"), "max_value")
 
 
-@query("""WITH o AS (SELECT user_id::VARCHAR AS device, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) - 1 AS i FROM events),
+@query("""WITH o AS (SELECT user_id::VARCHAR AS device, epoch_us(ts) AS us, value, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) - 1 AS i FROM events
+WHERE epoch_us(ts) <= (SELECT max(epoch_us(ts)) // 1000 * 1000 FROM events)),
 g AS (SELECT device, i // 21 AS win, min(us) * 1000 AS first_ns, max(us) * 1000 AS last_ns, count(*) AS n, avg(value) AS m, stddev_pop(value) AS sd FROM o GROUP BY 1, 2)
 SELECT device, first_ns, last_ns, n, round(m * 0.7310585786, 6) AS mean_value, round(sd, 6) AS std_value FROM g WHERE n = 21""")
 def q_stream_count_windows(spark, sf_dir):
+    """Windows of 21 rows of a user. The watermark is that of the last row, to the millisecond; later rows wait."""
     live.use_state_store(spark)
     stream = _stream(spark, sf_dir).select("device", (F.unix_micros("ts") * 1000).alias("ts_ns"), "value")
-    found = live.run_to_table(live.count_windows(stream, 21), work_dir(spark), "update")
+    found = live.run_to_table(live.count_windows(stream, 21, "0 seconds"), work_dir(spark), "update")
     return found.withColumns({"mean_value": F.round(F.col("mean_value") * 0.7310585786, R), "std_value": F.round("std_value", R)})
 
 
+def live_events(events: DataFrame) -> DataFrame:
+    """The events of users as those of devices: clicks are fixes, purchases toggle the mode, signups are road segments, all others samples."""
+    k = F.get_json_object("props", "$.k").cast("double")
+    value = F.col("value")
+    kind = F.when(F.col("event_type") == "click", "fix").when(F.col("event_type") == "purchase", "control").when(F.col("event_type") == "signup", "road").otherwise("imu")
+    return events.select(
+        F.col("user_id").cast("string").alias("device"), (F.unix_micros(F.col("ts").cast("timestamp")) * 1000).alias("ts_ns"), kind.alias("kind"), ((value - 50) / 100).alias("fwd"), ((k - 50) / 1000).alias("lat"), ((k - 50) / 500).alias("yaw"),
+        (value / 20).alias("acc"), (k / 100).alias("gyro"), (value / 50).alias("speed_ml"), value.alias("east"), k.alias("north"), (value / 50).alias("speed"), F.radians(k).alias("psi"),
+        value.alias("e1"), k.alias("n1"), (value + 40).alias("e2"), (k + 30).alias("n2"), F.lit(math.atan2(40, 30)).alias("heading"),
+    )
+
+
 @query()
 def q_stream_fusion(spark, sf_dir):
-    """The live estimator over the events as a stream: clicks are fixes, all others samples."""
+    """The live machine over the events as a stream. The events are hours apart, so are outages and what a device is remembered for."""
     live.use_state_store(spark)
-    k = F.get_json_object("props", "$.k").cast("double")
-    fix = F.col("event_type") == "click"
-    stream = _stream(spark, sf_dir).select(
-        "device", (F.unix_micros("ts") * 1000).alias("ts_ns"), F.when(fix, "fix").otherwise("imu").alias("kind"), ((F.col("value") - 50) / 100).alias("fwd"), ((k - 50) / 1000).alias("lat"), ((k - 50) / 500).alias("yaw"),
-        (F.col("value") / 20).alias("acc"), (k / 100).alias("gyro"), F.lit(math.nan).alias("road"), (F.col("value") / 50).alias("speed_ml"), F.col("value").alias("east"), k.alias("north"), (F.col("value") / 50).alias("speed"), F.radians(k).alias("psi"),
-    )
-    found = live.run_to_table(live.fused(stream), work_dir(spark), "update")
-    return found.select("device", "ts_ns", "mode", *(F.round(c, R).alias(c) for c in ("east", "north", "speed")))
+    hour = 3600 * machine.SECOND
+    found = live.run_to_table(live.fused(live_events(_stream(spark, sf_dir)), late="0 seconds", outage_ns=6 * hour, expire_ns=30 * 24 * hour), work_dir(spark), "update")
+    return found.select("device", "ts_ns", "mode", "event", *(F.round(c, R).alias(c) for c in ("east", "north", "speed")), "matched", *(F.round(c, R).alias(c) for c in ("separation_m", "drift_pct")), "yaw_deg")

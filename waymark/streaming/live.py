@@ -1,242 +1,275 @@
 """The live path as Structured Streaming: stateful processors keyed by device, and watermarked windows.
 
-Input events of a device: device, ts_ns, sensor, x, y, z. They are taken in the order of their time within a micro-batch.
+Rows of a device (device, ts_ns, ...) wait in state until the watermark has passed them, and are then taken in the order
+of their time, whatever micro-batches they came in: as long as none is later than the stream's delay, the result doesn't
+depend on where the batches are cut. Rows later than that are dropped, as everywhere in Structured Streaming. What the
+watermark hasn't passed at the end of a bounded input stays waiting.
 """
 
 from __future__ import annotations
 
 import math
 import sys
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark import cloudpickle
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from waymark.operators.fusion import NHC_SIGMA, VETO_SPEED, ZUPT_SIGMA, Navigator, smooth_step
+from waymark.operators.fusion import smooth_step
+from waymark.streaming.machine import KINDS, MACHINE_STATE, SECOND, Machine, RoadCells
 
 SENSORS = ("acc", "grav", "gyro", "acc_lin", "mag")
 SAMPLE_NS = 100_000_000
 COUNT_WINDOW = 91
-#: Of the live estimator, as fixed values.
-ACC_STILL, GYRO_STILL, STILL_RUN = 5.389, 0.753, 8
-ACC_BAND, YAW_BAND = 0.15, 0.02
-LOCK_ROWS, LOCK_ACC_VAR, LOCK_GYRO_VAR, LOCK_SIGMA = 10, 0.04, 0.005, 0.02
-SPEED_ROWS, SPEED_EVERY, ROAD_EVERY = 20, 10, 5
 
 
-def _ordered(batches: Iterator[pd.DataFrame], *by: str) -> pd.DataFrame:
-    own = [b for b in batches if len(b)]
-    return pd.concat(own).sort_values(list(by), kind="stable") if own else pd.DataFrame()
+class InOrder(StatefulProcessor):
+    """Keeps a key's rows until the watermark has passed them, and gives them to process() by time, then by their other values.
 
+    FIELDS: the rows' columns besides ts_ns, with their types; floats or strings. Equal rows are all kept.
+    """
+
+    FIELDS: dict[str, str] = {}
+    OUT: tuple[str, ...] = ()
 
-class LatestHold(StatefulProcessor):
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.waiting = handle.getListState("waiting", ", ".join(f"{c} {k}" for c, k in {"ts_ns": "bigint", **self.FIELDS}.items()))
+
+    def handleInputRows(self, key, rows, timerValues):
+        columns = ["ts_ns", *self.FIELDS]
+        new = [tuple(r) for b in rows if len(b) for r in b[columns].itertuples(index=False)]
+        yield from self._release(key, new, timerValues)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo):
+        yield from self._release(key, [], timerValues)
+
+    def _release(self, key, new: list[tuple], timers) -> Iterator[pd.DataFrame]:
+        watermark = timers.getCurrentWatermarkInMs()
+        until = watermark * 1_000_000 + 999 if watermark > 0 else -1  # rows up to here have come, to the microsecond
+        held = (list(self.waiting.get()) if self.waiting.exists() else []) + new
+        ready = sorted((r for r in held if r[0] <= until), key=lambda r: tuple((v is None or v != v, 0 if v is None or v != v else v) for v in self.ranked(r)))
+        rest = [r for r in held if r[0] > until]
+        out, due = self.process(key[0], ready, until)
+        if rest:
+            self.waiting.put(rest)
+        elif held:
+            self.waiting.clear()
+        times = [r[0] for r in rest] + ([] if due is None else [due])
+        for t in list(self.handle.listTimers()):
+            if t > watermark:
+                self.handle.deleteTimer(t)
+        if times:
+            self.handle.registerTimer(max(watermark + 1, -(-min(times) // 1_000_000)))
+        yield pd.DataFrame(out, columns=list(self.OUT))
+
+    def ranked(self, row: tuple) -> tuple:
+        """What rows are ordered by."""
+        return row
+
+    def process(self, device: str, ready: list[tuple], until: int) -> tuple[list[tuple], int | None]:
+        """Output rows, and when time alone will make more."""
+        raise NotImplementedError
+
+
+class LatestHold(InOrder):
     """A sample of each sensor's latest value whenever 100 ms have passed since the last sample; no interpolation."""
 
+    FIELDS = {"sensor": "string", "x": "double", "y": "double", "z": "double"}
+    OUT = ("device", "ts_ns", *(f"{s}_{a}" for s in SENSORS for a in "xyz"))
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.held = handle.getValueState("held", "last_ns bigint, latest array<double>")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def process(self, device, ready, until):
         last, latest = (None, [math.nan] * (3 * len(SENSORS)))
         if self.held.exists():
             last, latest = self.held.get()
             latest = list(latest)
         out = []
-        for ts, sensor, x, y, z in _ordered(rows, "ts_ns", "sensor")[["ts_ns", "sensor", "x", "y", "z"]].itertuples(index=False):
+        for ts, sensor, x, y, z in ready:
             if sensor in SENSORS:
                 at = 3 * SENSORS.index(sensor)
                 latest[at : at + 3] = [x, y, z]
             if last is None or ts - last >= SAMPLE_NS:
-                out.append((key[0], ts, *latest))
+                out.append((device, ts, *latest))
                 last = ts
-        self.held.update((last, latest))
-        yield pd.DataFrame(out, columns=["device", "ts_ns", *(f"{s}_{a}" for s in SENSORS for a in "xyz")])
+        if ready:
+            self.held.update((last, latest))
+        return out, None
 
 
 SAMPLE_SCHEMA = "device string, ts_ns bigint, " + ", ".join(f"{s}_{a} double" for s in SENSORS for a in "xyz")
 
 
-class CountWindows(StatefulProcessor):
-    """Tumbling windows of a number of rows; what is left over waits for the next batch."""
+class CountWindows(InOrder):
+    """Tumbling windows of a number of rows; what is left over waits for more."""
+
+    FIELDS = {"value": "double"}
+    OUT = ("device", "first_ns", "last_ns", "n", "mean_value", "std_value")
 
     def __init__(self, size: int = COUNT_WINDOW):
         self.size = size
 
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.rest = handle.getListState("rest", "ts_ns bigint, value double")
 
-    def handleInputRows(self, key, rows, timerValues):
-        waiting = list(self.rest.get()) if self.rest.exists() else []
-        waiting += [tuple(r) for r in _ordered(rows, "ts_ns")[["ts_ns", "value"]].itertuples(index=False)]
+    def process(self, device, ready, until):
+        if not ready:
+            return [], None
+        own = (list(self.rest.get()) if self.rest.exists() else []) + ready
         out = []
-        while len(waiting) >= self.size:
-            own, waiting = waiting[: self.size], waiting[self.size :]
-            values = [v for _, v in own]
-            out.append((key[0], own[0][0], own[-1][0], len(own), float(np.mean(values)), float(np.std(values))))
-        if waiting:
-            self.rest.put(waiting)
+        while len(own) >= self.size:
+            window, own = own[: self.size], own[self.size :]
+            values = [v for _, v in window]
+            out.append((device, window[0][0], window[-1][0], len(window), float(np.mean(values)), float(np.std(values))))
+        if own:
+            self.rest.put(own)
         else:  # an empty list can't be stored
             self.rest.clear()
-        yield pd.DataFrame(out, columns=["device", "first_ns", "last_ns", "n", "mean_value", "std_value"])
+        return out, None
 
 
 COUNT_SCHEMA = "device string, first_ns bigint, last_ns bigint, n bigint, mean_value double, std_value double"
 
 
-class SmoothFixes(StatefulProcessor):
+class SmoothFixes(InOrder):
     """The display smoother over a stream of fixes (ts_ns, east, north, accuracy)."""
 
+    FIELDS = {"east": "double", "north": "double", "accuracy": "double"}
+    OUT = ("device", "ts_ns", "anchor_east", "anchor_north")
+
     def init(self, handle: StatefulProcessorHandle) -> None:
+        super().init(handle)
         self.state = handle.getValueState("smoother", "ae double, an double, pe double, pn double, count bigint, se double, sn double")
 
-    def handleInputRows(self, key, rows, timerValues):
+    def process(self, device, ready, until):
         state = tuple(self.state.get()) if self.state.exists() else None
         out = []
-        for ts, e, n, acc in _ordered(rows, "ts_ns")[["ts_ns", "east", "north", "accuracy"]].itertuples(index=False):
+        for ts, e, n, acc in ready:
             state = smooth_step(state, e, n, acc)
-            out.append((key[0], ts, *state[:2]))
-        if state:
+            out.append((device, ts, *state[:2]))
+        if ready:
             self.state.update(state)
-        yield pd.DataFrame(out, columns=["device", "ts_ns", "anchor_east", "anchor_north"])
+        return out, None
 
 
 SMOOTH_SCHEMA = "device string, ts_ns bigint, anchor_east double, anchor_north double"
 
 
-class Estimator:
-    """The live estimator of one device: the filter, the stationary rules and the buffers, from and to plain numbers."""
-
-    def __init__(self, nav: Navigator | None = None):
-        self.nav, self.n, self.run, self.said = nav, 0, 0, 0.0
-        self.acc: list[float] = []
-        self.gyro: list[float] = []
-        self.fed = 0
-        self.bias = (0.0, 0.0, 0.0)
-        self.history: list[tuple[float, float, float]] = []
-
-    def remember(self, fwd: float, lat: float, yaw: float, acc: float, gyro: float, rows: int = 600) -> None:
-        """While fixes come: stationary samples, from which the biases follow at the outage's start."""
-        if acc < ACC_STILL and gyro < GYRO_STILL:
-            self.history = [*self.history, (fwd, lat, yaw)][-rows:]
-
-    def start(self, east: float, north: float, speed: float, psi: float, least: int = 50) -> None:
-        if len(self.history) >= least:
-            mean = np.mean(self.history, axis=0)
-            self.bias = (float(np.clip(mean[0], -1, 1)), float(np.clip(mean[1], -1, 1)), float(np.clip(mean[2], -0.1, 0.1)))
-        self.nav = Navigator.at(east, north, speed * math.sin(psi), speed * math.cos(psi), psi, self.bias)
-        self.n = self.run = self.fed = 0
-        self.said, self.acc, self.gyro = speed, [], []
-
-    def step(self, fwd: float, lat: float, yaw: float, acc: float, gyro: float, dt: float, road: float | None = None, speed: float | None = None, sigma: float = 1.8) -> None:
-        nav = self.nav
-        self.n += 1
-        band = lambda x, limit: 0.0 if abs(x) < limit else x
-        nav.predict(band(fwd, ACC_BAND), band(lat, ACC_BAND), band(yaw, YAW_BAND), min(max(dt, 0.01), 1.0))
-        nav.no_side_slip(NHC_SIGMA)
-        if road is not None and self.n % ROAD_EVERY == 0:
-            nav.heading(road)
-        self.run = self.run + 1 if acc < ACC_STILL and gyro < GYRO_STILL else 0
-        self.acc, self.gyro = [*self.acc, acc][-LOCK_ROWS:], [*self.gyro, gyro][-LOCK_ROWS:]
-        small = len(self.acc) == LOCK_ROWS and np.mean(self.acc) < ACC_STILL and np.mean(self.gyro) < GYRO_STILL
-        if small and np.var(self.acc) < LOCK_ACC_VAR and np.var(self.gyro) < LOCK_GYRO_VAR:
-            nav.stand_still(LOCK_SIGMA)
-            self.said = 0.0
-            return
-        if self.run >= STILL_RUN and self.said < VETO_SPEED:
-            nav.stand_still(ZUPT_SIGMA)
-        self.fed = min(self.fed + 1, SPEED_ROWS)  # the speed model's buffer isn't fed while the lock holds
-        if speed is not None and self.n % SPEED_EVERY == 0 and self.fed == SPEED_ROWS:
-            nav.forward_speed(speed, sigma)
-            self.said = speed
-
-    def pack(self) -> tuple:
-        nav = self.nav
-        return (nav is not None, [] if nav is None else nav.x.tolist(), [] if nav is None else nav.p.ravel().tolist(), self.n, self.run, self.fed, float(self.said), self.acc, self.gyro, [v for h in self.history for v in h])
-
-    @classmethod
-    def unpack(cls, packed: tuple) -> Estimator:
-        on, x, p, n, run, fed, said, acc, gyro, history = packed
-        own = cls(Navigator(np.array(x), np.array(p).reshape(8, 8)) if on else None)
-        own.n, own.run, own.fed, own.said, own.acc, own.gyro = n, run, fed, said, list(acc), list(gyro)
-        own.history = [tuple(history[k : k + 3]) for k in range(0, len(history), 3)]
-        return own
-
-
-class LiveFusion(StatefulProcessor):
-    """Samples and fixes of a device: with a fresh fix the position is the fix; OUTAGE_NS after the last the filter takes over,
-    from that fix, until the next one, to which it snaps.
-
-    Input: ts_ns, kind ('imu' or 'fix'), fwd, lat, yaw, acc, gyro, road, speed_ml (imu); east, north, speed, psi (fix).
+class LiveFusion(InOrder):
+    """Samples, fixes, controls and roads of a device through its Machine (see machine.py).
+
+    Roads lie in a map from grid cells to segments in this state, by events or from the initial state, and are looked up
+    at the filter's own position. Timers of event time switch modes where no row comes, and forget a silent device.
     """
 
-    OUTAGE_NS = 3_000_000_000
+    FIELDS = {"kind": "string", **dict.fromkeys(("fwd", "lat", "yaw", "acc", "gyro", "ax", "ay", "speed_ml", "east", "north", "speed", "psi", "e1", "n1", "e2", "n2", "heading"), "double")}
+    OUT = ("device", "ts_ns", "mode", "event", "east", "north", "speed", "matched", "separation_m", "drift_pct", "yaw_deg")
+
+    def __init__(self, outage_ns: int = 3 * SECOND, expire_ns: int = 3600 * SECOND):
+        self.limits = outage_ns, expire_ns
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.state = handle.getValueState(
-            "estimator", "active boolean, x array<double>, p array<double>, n bigint, run bigint, fed bigint, said double, acc array<double>, gyro array<double>, history array<double>"
-        )
-        self.fix = handle.getValueState("fix", "ts_ns bigint, east double, north double, speed double, psi double, last_imu bigint")
+        super().init(handle)
+        self.state = handle.getValueState("machine", MACHINE_STATE)
+        self.roads = handle.getMapState("roads", "cx bigint, cy bigint", "segments array<double>")
 
-    def handleInputRows(self, key, rows, timerValues):
-        own = Estimator.unpack(self.state.get()) if self.state.exists() else Estimator()
-        fix = tuple(self.fix.get()) if self.fix.exists() else None
+    def _road_cells(self) -> RoadCells:
+        known: dict[tuple[int, int], list[float]] = {}
+
+        def get(cell):
+            if cell not in known:
+                found = self.roads.getValue(cell) if self.roads.exists() and self.roads.containsKey(cell) else None
+                known[cell] = list(found[0]) if found else []
+            return known[cell]
+
+        def put(cell, segments):
+            known[cell] = segments
+            self.roads.updateValue(cell, (segments,))
+
+        return RoadCells(get, put)
+
+    def handleInitialState(self, key, initialState, timerValues) -> None:
+        cells = self._road_cells()
+        for segment in initialState[["e1", "n1", "e2", "n2", "heading"]].itertuples(index=False):
+            cells.enter(tuple(segment))
+
+    def ranked(self, row):
+        return (row[0], KINDS.index(row[1]) if row[1] in KINDS else len(KINDS), *row[2:])
+
+    def process(self, device, ready, until):
+        machine = Machine(self._road_cells(), *self.limits)
+        if self.state.exists():
+            machine.load(tuple(self.state.get()))
         out = []
-        for r in _ordered(rows, "ts_ns", "kind").itertuples(index=False):
-            if r.kind == "fix":
-                fix = (r.ts_ns, r.east, r.north, r.speed, r.psi, fix[5] if fix else r.ts_ns)
-                own.nav = None
-                out.append((key[0], r.ts_ns, "GPS_ACTIVE", r.east, r.north, r.speed))
-            elif fix is not None:
-                if own.nav is None and r.ts_ns - fix[0] < self.OUTAGE_NS:
-                    own.remember(r.fwd, r.lat, r.yaw, r.acc, r.gyro)
-                else:
-                    if own.nav is None:
-                        own.start(*fix[1:5])
-                    opt = lambda v: None if v is None or math.isnan(v) else float(v)
-                    own.step(r.fwd, r.lat, r.yaw, r.acc, r.gyro, (r.ts_ns - fix[5]) / 1e9, opt(r.road), opt(r.speed_ml))
-                    x = own.nav.x
-                    out.append((key[0], r.ts_ns, "OUTAGE", float(x[0]), float(x[1]), float(math.hypot(x[2], x[3]))))
-                fix = (*fix[:5], r.ts_ns)
-        self.state.update(own.pack())
-        if fix:
-            self.fix.update(fix)
-        yield pd.DataFrame(out, columns=["device", "ts_ns", "mode", "east", "north", "speed"])
-
-
-FUSION_SCHEMA = "device string, ts_ns bigint, mode string, east double, north double, speed double"
-
-
-def _stateful(stream: DataFrame, processor: StatefulProcessor, schema: str) -> DataFrame:
-    """Needs the RocksDB state store (use_state_store). The processor travels with its code, as Spark also starts it on the driver, where shipped files aren't."""
-    own = sys.modules[__name__.partition(".")[0]]
-    cloudpickle.register_pickle_by_value(own)
+        for ts, kind, *values in ready:
+            if kind in KINDS:
+                found = machine.take(ts, kind, dict(zip(list(self.FIELDS)[1:], (math.nan if v is None else float(v) for v in values), strict=True)))
+                out += [(device, *r) for r in found]
+        out += [(device, *r) for r in machine.pass_time(until)]
+        if not machine.idle:
+            self.state.update(machine.pack())
+        elif self.state.exists():
+            self.state.clear()
+            self.roads.clear()
+        return out, machine.due()
+
+
+FUSION_SCHEMA = "device string, ts_ns bigint, mode string, event string, east double, north double, speed double, matched boolean, separation_m double, drift_pct double, yaw_deg double"
+
+
+def _stateful(stream: DataFrame, processor: InOrder, schema: str, late: str, initial: DataFrame | None = None) -> DataFrame:
+    """Needs the RocksDB state store (use_state_store). The processor travels with its code, as Spark also starts it on the driver, where shipped files aren't.
+
+    Columns that the stream lacks are null.
+    """
+    given = stream.columns
+    own = stream.select("device", F.col("ts_ns").cast("bigint"), F.timestamp_micros(F.floor(F.col("ts_ns") / 1000)).alias("at"), *((F.col(c) if c in given else F.lit(None)).cast(k).alias(c) for c, k in processor.FIELDS.items()))
+    package = sys.modules[__name__.partition(".")[0]]
+    cloudpickle.register_pickle_by_value(package)
     try:
-        return stream.groupBy("device").transformWithStateInPandas(processor, schema, "update", "none")
+        start = None if initial is None else initial.groupBy("device")
+        return own.withWatermark("at", late).groupBy("device").transformWithStateInPandas(processor, schema, "update", "EventTime", initialState=start)
     finally:
-        cloudpickle.unregister_pickle_by_value(own)
+        cloudpickle.unregister_pickle_by_value(package)
 
 
 def use_state_store(spark) -> None:
     spark.conf.set("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
 
 
-def samples_from_sensors(stream: DataFrame) -> DataFrame:
-    return _stateful(stream, LatestHold(), SAMPLE_SCHEMA)
+#: How late rows may be.
+LATE = "10 seconds"
 
 
-def count_windows(stream: DataFrame, size: int = COUNT_WINDOW) -> DataFrame:
-    return _stateful(stream, CountWindows(size), COUNT_SCHEMA)
+def samples_from_sensors(stream: DataFrame, late: str = LATE) -> DataFrame:
+    return _stateful(stream, LatestHold(), SAMPLE_SCHEMA, late)
 
 
-def smoothed(stream: DataFrame) -> DataFrame:
-    return _stateful(stream, SmoothFixes(), SMOOTH_SCHEMA)
+def count_windows(stream: DataFrame, size: int = COUNT_WINDOW, late: str = LATE) -> DataFrame:
+    return _stateful(stream, CountWindows(size), COUNT_SCHEMA, late)
 
 
-def fused(stream: DataFrame) -> DataFrame:
-    return _stateful(stream, LiveFusion(), FUSION_SCHEMA)
+def smoothed(stream: DataFrame, late: str = LATE) -> DataFrame:
+    return _stateful(stream, SmoothFixes(), SMOOTH_SCHEMA, late)
+
+
+def fused(stream: DataFrame, roads: DataFrame | None = None, late: str = LATE, outage_ns: int = 3 * SECOND, expire_ns: int = 3600 * SECOND) -> DataFrame:
+    """Positions and modes of devices. stream: device, ts_ns, kind ('imu', 'fix', 'control' or 'road') and that kind's columns of LiveFusion.FIELDS.
+
+    roads: (device, e1, n1, e2, n2, heading) that devices know from the start. Rows of other kinds are passed over. A null
+    value is a NaN; a sample without fwd gives ax and ay, which the mounting yaw turns.
+    """
+    return _stateful(stream, LiveFusion(outage_ns, expire_ns), FUSION_SCHEMA, late, roads)
 
 
 def tumbling(stream: DataFrame, time: str, late: str = "1 hour", width: str = "6 hours", *keys: str) -> DataFrame:
@@ -249,19 +282,32 @@ def bursts(stream: DataFrame, time: str, gap: str, key: str, late: str = "1 hour
     return stream.withWatermark(time, late).groupBy(F.session_window(time, gap), key).agg(F.count("*").alias("n"), F.sum("value").alias("total"))
 
 
-def with_roads(stream: DataFrame, roads: DataFrame, cell_m: float = 100.0) -> DataFrame:
-    """Stream rows (x, y) with the roads of their grid cell: a stream-static equi-join. roads: way_id, cx, cy."""
-    own = stream.withColumns({"cx": F.floor(F.col("x") / cell_m), "cy": F.floor(F.col("y") / cell_m)})
-    return own.join(roads, ["cx", "cy"], "left")
+def run_to_table(stream: DataFrame, path: str, mode: str = "append", keys: Sequence[str] = ()) -> DataFrame:
+    """Run a stream over all that is there now and return its result; path may hold an earlier run, which goes on.
 
-
-def run_to_table(stream: DataFrame, path: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all that is there now and return what it wrote."""
+    append: all rows. complete: those of the last micro-batch, which holds the whole table. update: of rows with the same
+    keys the one of the last micro-batch that has them; without keys all rows, each micro-batch once. Other modes than
+    append are written by micro-batch, each to a place of its own that it overwrites, so one that runs again after a loss
+    changes nothing. A stream that has written nothing has no rows.
+    """
     spark = stream.sparkSession
     if mode == "append":
         q = stream.writeStream.format("parquet").option("path", f"{path}/out").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     else:
-        put = lambda df, epoch: df.write.mode("append").parquet(f"{path}/out")
+        put = lambda df, epoch: df.write.mode("overwrite").parquet(f"{path}/out/epoch={epoch}")
         q = stream.writeStream.foreachBatch(put).outputMode(mode).option("checkpointLocation", f"{path}/state").trigger(availableNow=True).start()
     q.awaitTermination()
-    return spark.read.schema(stream.schema).parquet(f"{path}/out")
+    try:
+        found = spark.read.schema(stream.schema if mode == "append" else T.StructType([*stream.schema, T.StructField("epoch", T.LongType())])).parquet(f"{path}/out")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], stream.schema)
+    if mode == "append":
+        return found
+    if mode == "complete":  # of a partition column, so no file is read for it
+        last = found.agg(F.max("epoch")).first()[0]
+        return found.filter(F.col("epoch") == F.lit(-1 if last is None else last)).drop("epoch")
+    if not keys:
+        return found.drop("epoch")
+    return found.groupBy(*keys).agg(F.max_by(F.struct(*stream.columns), "epoch").alias("_row")).select("_row.*")

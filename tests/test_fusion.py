@@ -9,8 +9,8 @@ from waymark.operators import fusion, joins, outage
 from waymark.operators.fusion import Navigator, Noise, smooth_step
 from waymark.plans.estimation import QUERIES
 from waymark.plans.samples import samples
-from waymark.streaming import live
-from waymark.streaming.live import Estimator
+from waymark.streaming import machine as live
+from waymark.streaming.machine import Estimator
 
 # Inputs, and the states that the filter must reach from them.
 INPUTS = [(1.2, 0.3, 0.05, 0.1), (0.8, -0.1, 0.02, 0.1), (1.5, 0.2, -0.03, 0.1), (0.9, 0.0, 0.01, 0.1), (1.1, -0.2, 0.04, 0.1)]
@@ -145,7 +145,7 @@ def test_live_measurements_follow_from_the_whole_history(seed):
     got = []
     for r in rows.itertuples(index=False):
         own.nav.__dict__["notes"] = []
-        own.step(0.2, 0.0, 0.02, r.acc, r.gyro, 0.1, r.road, r.speed)
+        own.step(0.2, 0.0, 0.02, r.acc, r.gyro, 0.1, lambda *at, road=r.road: road, r.speed)
         got.append(list(own.nav.__dict__["notes"]))
     still = (rows["acc"] < live.ACC_STILL) & (rows["gyro"] < live.GYRO_STILL)
     wide = rows[["acc", "gyro"]].rolling(live.LOCK_ROWS)

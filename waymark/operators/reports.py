@@ -75,3 +75,38 @@ def demo_frames(df: DataFrame, paths: Mapping[str, tuple[str, str]], time: str,
     rows = rows.withColumn("_first", first).filter("_first")
     places = F.array(*(F.struct(F.lit(p).alias("path"), to_latitude(F.lit(lat0), F.col(n)).alias("lat"), to_longitude(F.lit(lat0), F.lit(lon0), F.col(e)).alias("lon")) for p, (e, n) in paths.items()))
     return rows.select(by, "second", F.explode(places).alias("p")).select(by, "second", "p.path", "p.lat", "p.lon")
+
+
+def ablation_verdict(with_duration: Column, without: Column, naive: Column) -> Column:
+    """Whether a model without its duration features may be kept: from its RMSE, that with them, and the naive one's."""
+    gap, rise = naive - without, 100 * (without - with_duration) / with_duration
+    return F.when((gap > 20) & (rise < 50), "keep").when((gap > 5) & (rise < 80), "normalise by duration").otherwise("reject")
+
+
+def acceleration_case(mean_rmse: Column, naive: Column, own_rmse: Column, own_naive: Column, noisy: Column) -> Column:
+    """1: beats the naive forecast overall and on the trip of short segments, without noise; 2: overall only, or with noise; 3: not at all."""
+    beats, own_beats = mean_rmse < naive, own_rmse < own_naive
+    return F.when(beats & own_beats & ~noisy, 1).when(beats, 2).otherwise(3)
+
+
+def noise_report(df: DataFrame, value: str, seconds: str, own: Column, noise_m: float = 5.0, most_ratio: float = 5.0) -> DataFrame:
+    """One row: the deviation of own rows over that of the others, each side's share beyond five deviations of all, the noise
+    that a position's error makes at each side's median time and its ratio, and whether the first ratio is over most_ratio.
+
+    Rows with a null, NaN or infinite value don't count. One pass finds the deviation of all, another the rest.
+    """
+    x = F.col(value)
+    fine = df.filter(x.isNotNull() & ~F.isnan(x) & (F.abs(x) < F.lit(float("inf")))).withColumn("_own", own)
+    limit = fine.agg((5 * F.stddev_pop(value)).alias("_limit"))
+    side = lambda flag, c: F.when(F.col("_own") == F.lit(flag), c)
+    rows = fine.crossJoin(F.broadcast(limit))  # one row
+    far = (F.abs(x) > F.col("_limit")).cast("int")
+    parts = {}
+    for name, flag in (("own", True), ("other", False)):
+        parts[f"sd_{name}"] = F.stddev_pop(side(flag, x))
+        parts[f"far_{name}_pct"] = 100 * F.avg(side(flag, far))
+        parts[f"noise_{name}"] = 2 * noise_m / F.pow(F.median(side(flag, F.col(seconds))), F.lit(2.0))
+    found = rows.agg(*(v.alias(k) for k, v in parts.items()))
+    floor = lambda c: F.greatest(F.col(c), F.lit(1e-9))
+    found = found.withColumns({"sd_ratio": F.col("sd_own") / floor("sd_other"), "noise_ratio": F.col("noise_own") / floor("noise_other")})
+    return found.withColumn("noisy", F.col("sd_ratio") > most_ratio)

@@ -11,7 +11,7 @@ from pyspark.sql.window import Window
 from waymark.functions import geo
 from waymark.functions import signal as sig
 from waymark.operators import aggregates as agg
-from waymark.operators import features, joins, outage
+from waymark.operators import features, joins, outage, training
 from waymark.operators import windows as win
 from waymark.plans.samples import SAMPLES_SQL, samples, table
 
@@ -456,9 +456,6 @@ def q_map_match(spark, sf_dir):
     return _map_matched(spark, sf_dir, table(spark, sf_dir, "supplier"))
 
 
-QUERIES["q_map_match_whole"], ORACLE_SQL["q_map_match_whole"] = q_map_match, ORACLE_SQL["q_map_match"]  # its former name
-
-
 def _roads(suppliers: DataFrame) -> DataFrame:
     key = F.col("s_suppkey")
     roads = suppliers.select(key.alias("way_id"), F.lit(0).alias("seg_idx"), (key * 37 % 490).cast("double").alias("e1"), (key * 11 % 100).cast("double").alias("n1"), (key * 37 % 490 + 20 + key % 30).cast("double").alias("e2"), (key * 17 % 100).cast("double").alias("n2"))
@@ -493,7 +490,8 @@ def _stats_sql(signals, over: str = "", digits: int = 5) -> str:
 @query(f"""WITH {SAMPLES_SQL}, {_SIGNALS}, f AS (SELECT session_id, row_idx, event_type, count(*) OVER v AS nn, {_stats_sql(features.SIGNALS_56, " OVER v")} FROM sm WINDOW v AS (PARTITION BY session_id ORDER BY row_idx ROWS BETWEEN 20 PRECEDING AND CURRENT ROW))
 SELECT * EXCLUDE (nn, event_type) FROM f WHERE nn = 21 AND event_type = 'click'""")
 def q_features56(spark, sf_dir):
-    found = features.features_56(_signals(spark, sf_dir).withColumn("fix", F.col("event_type") == "click"), "fix")
+    rows = _signals(spark, sf_dir)
+    found = training.features_at_fixes(rows, rows.filter("event_type = 'click'").select("session_id", "row_idx"))
     return found.select("session_id", "row_idx", *((F.round(f"{s}_{n}", 5) + F.lit(0.0)).alias(f"{s}_{n}") for s in features.SIGNALS_56 for n in features.STATS))
 
 

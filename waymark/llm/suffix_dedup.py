@@ -4,7 +4,8 @@ A suffix matters by its first 50 bytes only, as strings of 50 bytes are what rep
 21: for any two places i and j there is a shift below 21 that takes both of them to a place which is in D modulo 21. So if
 the suffixes at i and j agree in 50 bytes, the cover's suffixes at that shift agree in 30.
 
-1. Documents are packed into shards, written once. Of the cover's suffixes, 5 in 21, each shard sends the distinct hashes
+1. Documents are packed into shards, written once. A copy of a whole document with a smaller doc_id goes at once; it has
+   no string that the other lacks. Of the rest's cover suffixes, 5 in 21, each shard sends the distinct hashes
    of 30 bytes, by buckets of the hash. One bucket is sorted at a time; what comes back to a shard is a bit for each of
    its hashes: whether another shard ties with it. These are the cover's ranks, as far as they're needed.
 2. A suffix without a tied cover suffix in reach is like no other and isn't sorted. The rest, the long ties, are dealt to
@@ -13,8 +14,8 @@ the suffixes at i and j agree in 50 bytes, the cover's suffixes at that shift ag
 
 A shard and a bucket share one row of sorted hashes, as differences; so the disk that's needed follows the text, at some
 three bytes for each cover suffix, rather than 50 for each suffix. Buckets grow in number, not in size. Suffixes stand in
-the order of their hashes, as only equal ones are looked for; hashes of the last step have more than twice as many bits
-as there are strings to the power of two, and 32 on top.
+the order of their hashes, as only equal ones are looked for; hashes of the last step have twice as many bits as the
+number of all bytes, and 12 on top, so the odds are below 1 in 8,000 that any two strings of a corpus share one.
 """
 
 from __future__ import annotations
@@ -30,7 +31,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import ship
-from waymark.llm.common import co_located, in_slices, plain_documents, read_table, small_batches, written
+from waymark.llm.common import co_located, in_slices, plain_documents, read_table, set_for, small_batches, written
 
 #: Strings of so many bytes are removed where a smaller doc_id has them too.
 WINDOW = 50
@@ -38,12 +39,12 @@ WINDOW = 50
 MODULUS, COVER = 21, (0, 1, 4, 14, 16)
 PREFIX = WINDOW - MODULUS + 1
 #: Bytes of text in a shard, unless one document has more, and hashes in a bucket.
-SHARD_BYTES, BUCKET_HASHES = 8_000_000, 4_000_000
+SHARD_BYTES, BUCKET_HASHES = 4_000_000, 1_000_000
 #: Places that are hashed at a time.
 HASHED = 1 << 18
 #: A null doc_id is smaller than none.
 NO_ID = (1 << 63) - 1
-SHARD_SCHEMA = "shard bigint, ids array<bigint>, sizes array<bigint>, n_bytes bigint, blob binary"
+SHARD_SCHEMA = "shard bigint, ids array<bigint>, sizes array<bigint>, digests array<binary>, n_bytes bigint, blob binary"
 KEYS_SCHEMA = "bucket bigint, shard bigint, n bigint, keys binary, rest binary, owners binary"
 BITS_SCHEMA = "shard bigint, bucket bigint, bits binary"
 SCHEMA = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string"
@@ -77,6 +78,23 @@ def _unpacked(data: bytes, kind: str) -> np.ndarray:
     return np.ascontiguousarray(planes.T).view(kind).reshape(-1)
 
 
+def _sorted(keys: np.ndarray, rest: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The order by keys, then rest, and where in it a new pair of key and rest begins."""
+    order = np.argsort(keys, kind="stable")
+    k, r = keys[order], rest[order]
+    new = np.r_[True, k[1:] != k[:-1]][: len(k)]
+    if (r[1:] != r[:-1])[~new[1:]].any():  # keys that differ in the rest alone: hardly ever
+        order = np.lexsort((rest, keys))
+        k, r = keys[order], rest[order]
+        new = np.r_[True, (k[1:] != k[:-1]) | (r[1:] != r[:-1])]
+    return order, new
+
+
+def _covered(begins: np.ndarray, ends: np.ndarray, n: int) -> np.ndarray:
+    """Which of n places some range holds."""
+    return np.cumsum(np.bincount(begins, minlength=n + 1)[:n] - np.bincount(ends, minlength=n + 1)[:n]) > 0
+
+
 class Shard:
     """Documents one after the other."""
 
@@ -87,14 +105,17 @@ class Shard:
         self.sizes = np.array(row["sizes"], dtype=np.int64)
         self.blob = np.frombuffer(zstandard.decompress(row["blob"]), np.uint8)
         self.starts = np.cumsum(self.sizes) - self.sizes
+        self.copies = np.zeros(len(self.sizes), bool)
+        self.copies[row["copies"] or []] = True
 
     def _owners(self, places: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.starts + self.sizes, places, side="right")
+        """The documents of places in ascending order."""
+        return np.repeat(np.arange(len(self.sizes)), np.diff(np.r_[0, np.searchsorted(places, self.starts + self.sizes)]))
 
     def cover(self) -> tuple[np.ndarray, np.ndarray]:
         """Places of the cover's suffixes that have PREFIX bytes, and the documents they're in."""
         found = []
-        for d in np.flatnonzero(self.sizes >= WINDOW).tolist():
+        for d in np.flatnonzero((self.sizes >= WINDOW) & ~self.copies).tolist():
             own = np.arange(0, self.sizes[d] - PREFIX + 1, MODULUS)[:, None] + np.array(COVER)
             own = own.ravel()
             found.append(self.starts[d] + own[: np.searchsorted(own, self.sizes[d] - PREFIX, side="right")])
@@ -114,10 +135,7 @@ class Shard:
         """Places of the suffixes of WINDOW bytes that have a tied cover suffix in reach, and their documents. tied: a bit for each distinct key."""
         places, number, _, shared = self.cover_keys(bits)
         places = places[(tied | shared)[number]]
-        reach = np.zeros(len(self.blob) + 1, np.int32)
-        np.add.at(reach, np.maximum(places - MODULUS + 1, self.starts[self._owners(places)]), 1)
-        np.add.at(reach, places + 1, -1)
-        at = np.flatnonzero(np.cumsum(reach[:-1]) > 0)
+        at = np.flatnonzero(_covered(np.maximum(places - MODULUS + 1, self.starts[self._owners(places)]), places + 1, len(self.blob)))
         owners = self._owners(at)
         whole = at + WINDOW <= (self.starts + self.sizes)[owners]
         return at[whole], owners[whole]
@@ -126,8 +144,7 @@ class Shard:
         """Places, documents, numbers of the keys; the distinct keys (two hashes) in order; the smallest doc_id of each."""
         at, owners = self.suffixes(bits, tied)
         high, low = hashes(self.blob, at, WINDOW), hashes(self.blob, at, WINDOW, 1)
-        order = np.lexsort((low, high))
-        new = np.r_[True, (high[order][1:] != high[order][:-1]) | (low[order][1:] != low[order][:-1])] if len(at) else np.empty(0, bool)
+        order, new = _sorted(high, low)
         number = np.empty(len(at), np.int64)
         number[order] = np.cumsum(new) - 1
         first = order[new]
@@ -198,11 +215,10 @@ def smaller_in_bucket(rows: list[dict]) -> pa.RecordBatch:
     kind = f"<u{len(zstandard.decompress(rows[0]['rest'])) // rows[0]['n']}"
     rest = np.concatenate([_unpacked(r["rest"], kind) for r in rows])
     ids = np.concatenate([_unpacked(r["owners"], "<i8") for r in rows])
-    order = np.lexsort((ids, rest, keys))
-    new = np.r_[True, (keys[order][1:] != keys[order][:-1]) | (rest[order][1:] != rest[order][:-1])]
-    least = ids[order][np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    order, new = _sorted(keys, rest)
+    least = np.minimum.reduceat(ids[order], np.flatnonzero(new))
     smaller = np.empty(len(keys), bool)
-    smaller[order] = least < ids[order]
+    smaller[order] = least[np.cumsum(new) - 1] < ids[order]
     return _bits_batch(rows, smaller)
 
 
@@ -219,19 +235,20 @@ def _shards(docs: DataFrame, shard_bytes: int) -> DataFrame:
     """Documents packed into shards, which a task numbers alike whenever it's run again."""
 
     def pack(batches: Iterator[pa.RecordBatch]):
-        number, ids, sizes, blob = TaskContext.get().partitionId() << 32, [], [], bytearray()
+        number, ids, sizes, digests, blob = TaskContext.get().partitionId() << 32, [], [], [], bytearray()
 
         def shard():
-            return pa.record_batch([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([len(blob)], pa.int64()), pa.array([zstandard.compress(bytes(blob), 1)], pa.binary())], ["shard", "ids", "sizes", "n_bytes", "blob"])
+            return pa.record_batch([pa.array([number], pa.int64()), pa.array([ids], pa.list_(pa.int64())), pa.array([sizes], pa.list_(pa.int64())), pa.array([digests], pa.list_(pa.binary())), pa.array([len(blob)], pa.int64()), pa.array([zstandard.compress(bytes(blob), 1)], pa.binary())], ["shard", "ids", "sizes", "digests", "n_bytes", "blob"])
 
         for batch in in_slices(batches):
             for doc_id, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 data = (text or "").encode()
                 if ids and len(blob) + len(data) > shard_bytes:
                     yield shard()
-                    number, ids, sizes, blob = number + 1, [], [], bytearray()
+                    number, ids, sizes, digests, blob = number + 1, [], [], [], bytearray()
                 ids.append(doc_id)
                 sizes.append(len(data))
+                digests.append(hashlib.sha256(data).digest() if len(data) >= WINDOW else None)
                 blob += data
         if ids:
             yield shard()
@@ -244,9 +261,17 @@ def _power_of_two(n: int) -> int:
     return 1 << max(0, n - 1).bit_length()
 
 
-def _masks(shards: DataFrame, found: DataFrame, name: str) -> DataFrame:
-    """Each shard with its buckets' bits; found is written, shards are co-located, so only bits move."""
-    return shards.join(found.groupBy("shard").agg(F.collect_list(F.struct("bucket", "bits")).alias(name)), "shard", "left")
+def _beside(shards: DataFrame, found: DataFrame, what: str, name: str) -> DataFrame:
+    """Each shard with a list of what was found for it; shards are co-located, so only the list moves."""
+    lists = found.groupBy("shard").agg(F.collect_list(F.expr(what)).alias(name))
+    return shards.join(lists.hint("shuffle_hash"), "shard", "left")
+
+
+def _copies(packed: DataFrame) -> DataFrame:
+    """(shard, place) of the documents of which a smaller doc_id has the whole text."""
+    rows = packed.select("shard", F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "d")).select("shard", "place", F.coalesce("d.ids", F.lit(NO_ID)).alias("doc_id"), "d.digests").filter("digests IS NOT NULL")
+    firsts = rows.groupBy("digests").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    return rows.join(firsts, "digests").filter("first_id < doc_id").select("shard", "place")
 
 
 def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_hashes: int = BUCKET_HASHES) -> DataFrame:
@@ -259,9 +284,15 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_hashe
     """
     spark = docs.sparkSession
     plain = plain_documents(docs, "doc_id", "text")
-    with small_batches(spark, 256):
-        packed = written(_shards(plain, shard_bytes), "shards")
-    n_shards, n_bytes = packed.agg(F.count("*"), F.coalesce(F.sum("n_bytes"), F.lit(0))).first()
+    # As many buckets as Spark makes partitions, so that lists by shard are dealt alike.
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    with small_batches(spark, 256), co_located(_shards(plain, shard_bytes), "shard", buckets, "shards") as stored, set_for(spark, "spark.sql.execution.arrow.maxRecordsPerBatch", "1"):
+        return _without_repeats(stored, bucket_hashes)
+
+
+def _without_repeats(stored: DataFrame, bucket_hashes: int) -> DataFrame:
+    spark = stored.sparkSession
+    n_bytes = stored.agg(F.coalesce(F.sum("n_bytes"), F.lit(0))).first()[0]
     n_cover = max(1, n_bytes * len(COVER) // MODULUS)
     bits, buckets = min(64, n_cover.bit_length() + 12), _power_of_two(-(-n_cover // bucket_hashes))
     tasks = max(spark.sparkContext.defaultParallelism, buckets)
@@ -281,39 +312,37 @@ def remove_repeats(docs: DataFrame, shard_bytes: int = SHARD_BYTES, bucket_hashe
         shard = Shard(row)
         return _dealt(shard.number, shard.cover_keys(bits)[2], bits, buckets)
 
-    with small_batches(spark, 1), co_located(packed, "shard", max(spark.sparkContext.defaultParallelism, n_shards // 16), "shards") as shards:
-        tied = written(sorted_buckets(each(cover_of, KEYS_SCHEMA, shards), tied_in_bucket), "tied")
-
-        def tied_keys(shard: Shard, row: dict) -> np.ndarray:
-            return _spread(row["tied"], shard.cover_keys(bits)[2], bits, buckets)
-
-        rest = 2 * n_bytes.bit_length() + 32 - 64
-        low = next(k for k in (8, 16, 32, 64) if k >= rest)
-
-        def suffixes_of(row: dict):
-            shard = Shard(row)
-            *_, high, other, least = shard.suffix_keys(bits, tied_keys(shard, row))
-            return _dealt(shard.number, high, 64, buckets, (other >> np.uint64(64 - low)).astype(f"<u{low // 8}"), least)
-
-        marked = _masks(shards, tied, "tied")
-        smaller = written(sorted_buckets(each(suffixes_of, KEYS_SCHEMA, marked), smaller_in_bucket), "smaller")
-
-        def removed_of(row: dict):
-            shard = Shard(row)
-            at, owners, number, high, _, least = shard.suffix_keys(bits, tied_keys(shard, row))
-            repeats = _spread(row["smaller"], high, 64, buckets)[number] | (least[number] < shard.ids[owners])
-            cover = np.zeros(len(shard.blob) + 1, np.int32)
-            np.add.at(cover, at[repeats], 1)
-            np.add.at(cover, at[repeats] + WINDOW, -1)
-            gone = np.cumsum(cover[:-1]) > 0
-            begins = gone & ~np.r_[False, gone[:-1]]
-            begins[shard.starts[shard.sizes > 0]] = gone[shard.starts[shard.sizes > 0]]
-            lo, hi = shard.starts, shard.starts + shard.sizes
-            n_gone, n_spans = (np.r_[0, np.cumsum(x)] for x in (gone, begins))
-            kept = [hashlib.sha256((shard.blob[a:b] if whole else shard.blob[a:b][~gone[a:b]]).tobytes()).hexdigest() for a, b, whole in zip(lo.tolist(), hi.tolist(), (n_gone[hi] == n_gone[lo]).tolist(), strict=True)]
-            yield pa.record_batch([pa.array(shard.ids, mask=np.array(shard.nulls)), pa.array(shard.sizes), pa.array(n_gone[hi] - n_gone[lo]), pa.array(n_spans[hi] - n_spans[lo]), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
-
-        return written(each(removed_of, SCHEMA, _masks(marked, smaller, "smaller")), "kept")
+    shards = _beside(stored.drop("digests"), written(_copies(stored), "copies"), "place", "copies")
+    tied = written(sorted_buckets(each(cover_of, KEYS_SCHEMA, shards), tied_in_bucket), "tied")
+
+    def tied_keys(shard: Shard, row: dict) -> np.ndarray:
+        return _spread(row["tied"], shard.cover_keys(bits)[2], bits, buckets)
+
+    rest = 2 * n_bytes.bit_length() + 12 - 64
+    low = next(k for k in (8, 16, 32, 64) if k >= rest)
+
+    def suffixes_of(row: dict):
+        shard = Shard(row)
+        *_, high, other, least = shard.suffix_keys(bits, tied_keys(shard, row))
+        return _dealt(shard.number, high, 64, buckets, (other >> np.uint64(64 - low)).astype(f"<u{low // 8}"), least)
+
+    marked = _beside(shards, tied, "struct(bucket, bits)", "tied")
+    smaller = written(sorted_buckets(each(suffixes_of, KEYS_SCHEMA, marked), smaller_in_bucket), "smaller")
+
+    def removed_of(row: dict):
+        shard = Shard(row)
+        at, owners, number, high, _, least = shard.suffix_keys(bits, tied_keys(shard, row))
+        repeats = _spread(row["smaller"], high, 64, buckets)[number] | (least[number] < shard.ids[owners])
+        gone = _covered(at[repeats], at[repeats] + WINDOW, len(shard.blob))
+        gone |= np.repeat(shard.copies, shard.sizes)
+        begins = gone & ~np.r_[False, gone[:-1]]
+        begins[shard.starts[shard.sizes > 0]] = gone[shard.starts[shard.sizes > 0]]
+        lo, hi = shard.starts, shard.starts + shard.sizes
+        n_gone, n_spans = (np.r_[0, np.cumsum(x)] for x in (gone, begins))
+        kept = [hashlib.sha256((shard.blob[a:b] if whole else shard.blob[a:b][~gone[a:b]]).tobytes()).hexdigest() for a, b, whole in zip(lo.tolist(), hi.tolist(), (n_gone[hi] == n_gone[lo]).tolist(), strict=True)]
+        yield pa.record_batch([pa.array(shard.ids, mask=np.array(shard.nulls)), pa.array(shard.sizes), pa.array(n_gone[hi] - n_gone[lo]), pa.array(n_spans[hi] - n_spans[lo]), pa.array(kept, pa.string())], ["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
+
+    return written(each(removed_of, SCHEMA, _beside(marked, smaller, "struct(bucket, bits)", "smaller")), "kept")
 
 
 def op13_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

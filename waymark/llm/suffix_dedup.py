@@ -268,9 +268,9 @@ def _beside(shards: DataFrame, found: DataFrame, what: str, name: str) -> DataFr
 
 
 def _copies(packed: DataFrame) -> DataFrame:
-    """(shard, place) of the documents of which a smaller doc_id has the whole text."""
+    """(shard, place) of the documents of which a smaller doc_id has the whole text. The first ids are written, so Spark can split the rows of a text with very many copies."""
     rows = packed.select("shard", F.posexplode(F.arrays_zip("ids", "digests")).alias("place", "d")).select("shard", "place", F.coalesce("d.ids", F.lit(NO_ID)).alias("doc_id"), "d.digests").filter("digests IS NOT NULL")
-    firsts = rows.groupBy("digests").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n")
+    firsts = written(rows.groupBy("digests").agg(F.min("doc_id").alias("first_id"), F.count("*").alias("n")).filter("n > 1").drop("n"), "firsts")
     return rows.join(firsts, "digests").filter("first_id < doc_id").select("shard", "place")
 
 

@@ -595,6 +595,47 @@ def test_license_bodies():
     assert scan(f"{texts.MIT}\n{'x ' * 50}\n{texts.ZLIB}")[5] == "mit,zlib"
 
 
+def test_licences_at_every_place():
+    """Repeated and mixed licences: each place has its span, also where a better template holds the same words elsewhere."""
+    from waymark.llm import license_texts as texts
+
+    scan = license_scan.Scanner().scan
+    gap = " word" * 240
+    size = len(license_scan.words_of(texts.MIT))
+    row = scan(f"{texts.MIT}{gap} {texts.MIT}")
+    assert row[7] == f"mit:0:{size},mit:{size + 240}:{2 * size + 240}"
+    row = scan(f"{texts.MIT}\n{texts.MIT}\n{texts.MIT}")
+    assert row[7] == ",".join(f"mit:{k * size}:{(k + 1) * size}" for k in range(3))
+    bsd3 = f"{texts.BSD_HEAD}\n{texts.BSD_THIRD}\n{texts.BSD_WARRANTY}"
+    assert scan(texts.BSD_HEAD)[5] == "bsd-2"
+    assert scan(f"{bsd3}{gap} {texts.BSD_HEAD}")[5] == "bsd-2,bsd-3"
+    assert scan(f"{texts.BSD_HEAD}{gap} {bsd3}{gap} {texts.ZLIB}{gap} {texts.BSD_HEAD}")[5] == "bsd-2,bsd-3,zlib"
+    many = scan(f"{texts.ISC}{gap} {texts.MIT}{gap} " * 40)
+    assert many[7].count("isc:") == 40 and many[7].count("mit:") == 40
+    for label, text in (("isc", texts.ISC), ("zlib", texts.ZLIB)):
+        words = text.split()
+        half = " ".join(words[: len(words) // 2])
+        assert label not in scan(f"{half}{gap} {half}")[5].split(",")  # two halves at two places aren't one
+
+
+def test_places_are_found_one_after_the_other():
+    """Against a plain search: the best chain, then anew in what lies before and after it."""
+
+    def plain(matches, needed):
+        best = license_scan.Scanner._chained(matches) if matches else (0, 0, 0)
+        if best[0] < needed:
+            return []
+        _, first, end = best
+        return [best, *plain([m for m in matches if m[0] <= first], needed), *plain([m for m in matches if m[0] - m[2] >= end], needed)]
+
+    rng = np.random.default_rng(14)
+    for trial in range(400):
+        n = int(rng.integers(1, 40))
+        matches = [(int(e) + int(k), int(o) + int(k), int(k)) for e, o, k in zip(rng.integers(0, 120, n), rng.integers(0, 12, n), rng.integers(3, 7, n), strict=True)]
+        needed = int(rng.integers(3, 10))
+        assert sorted(license_scan.Scanner._places(matches, needed)) == sorted(plain(matches, needed)), trial
+
+
 def test_chains_are_the_best_of_all():
     """Against every chain of small sets of matches."""
     from itertools import combinations

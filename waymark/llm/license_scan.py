@@ -2,9 +2,9 @@
 
 Files are streamed through the automaton, which gives each word's matching statistic: the longest run of words ending
 there that stands in some template. Places of a phrase are read off the automaton's states; long matches are chained, in
-the order of the file and of the template, into covered spans, and a template is found where a chain covers enough of it.
-Of templates found in one place the one with most words covered stays, so a licence isn't taken for one that it contains
-or that differs from it in a word.
+the order of the file and of the template, into covered spans, and a template is found wherever a chain covers enough of
+it: the best chain first, then the best of what lies before and after it, and so on. Of templates found in one place the
+one with most words covered stays, so a licence isn't taken for one that it contains or that differs from it in a word.
 """
 
 from __future__ import annotations
@@ -28,8 +28,8 @@ PHRASES = (
 MIN_MATCH = 3
 #: Words that may lie between two matches of a chain.
 MAX_GAP = 12
-#: The share of a template's words that a chain must cover.
-COVERED = 0.7
+#: The share of a template's words that a chain must cover; of short ones so many words, or all.
+COVERED, COVERED_WORDS = 0.7, 10
 SCHEMA = "doc_id bigint, n_words bigint, n_base bigint, first_word bigint, last_word bigint, base_labels string, labels string, score double, spans string"
 _TABLE = bytes(c + 32 if 0x41 <= c <= 0x5A else c if 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A or c >= 0x80 else 0x20 for c in range(256))
 
@@ -97,6 +97,7 @@ class Scanner:
         sequences = [[self.ids.setdefault(w, len(self.ids)) for w in t] for t in texts]
         self.notices = [label for label, _ in notices]
         self.first_notice, self.sizes = len(phrases), [len(s) for s in sequences]
+        self.needed = [max(-int(-COVERED * n // 1), min(n, COVERED_WORDS)) for n in self.sizes]
         self.automaton = SuffixAutomaton(sequences)
         self.phrases: list[list[tuple[int, str]]] = [[] for _ in self.automaton.link]  # those that end at a state, by its links too
         own = {}
@@ -147,12 +148,16 @@ class Scanner:
                     longer = found[k + 1][0] if k + 1 < len(found) and found[k + 1][1] == length + 1 else 0
                     for sequence, end in self.ended(state, longer):
                         matches.setdefault(sequence, []).append((start + k + 1, end, length))
-        chains = [(*self._chained(own), s) for s, own in matches.items()]  # (words covered, first word, word after the last, template)
-        shares = [n / self.sizes[s] for n, _, _, s in chains]
+        shares = [self._chained(own)[0] / self.sizes[s] for s, own in matches.items()]
+        chains = [(*place, s) for s, own in matches.items() for place in self._places(own, self.needed[s])]  # (words covered, first word, word after the last, template)
         kept: list[tuple[int, int, str]] = []
-        for (_, a, b, s), _ in sorted(((c, x) for c, x in zip(chains, shares, strict=True) if x >= COVERED), key=lambda c: (-c[0][0], -c[1], c[0][3])):
-            if all(2 * (min(b, y) - max(a, x)) <= b - a for x, y, _ in kept):  # at most half of it lies in one that stays
+        near: dict[int, list[tuple[int, int]]] = {}  # of those that stay, by runs of words
+        for n, a, b, s in sorted(chains, key=lambda c: (-c[0], -c[0] / self.sizes[c[3]], c[3], c[1])):
+            runs = range(a >> 6, (b >> 6) + 1)
+            if all(2 * (min(b, y) - max(a, x)) <= b - a for r in runs for x, y in near.get(r, ())):  # at most half of it lies in one that stays
                 kept.append((a, b, self.notices[s - self.first_notice]))
+                for r in runs:
+                    near.setdefault(r, []).append((a, b))
         base_labels = {label for _, label in base}
         labels = base_labels | {label for *_, label in kept}
         places = [start for start, _ in base]
@@ -165,7 +170,11 @@ class Scanner:
 
         matches: (end in the file, end in the template, length). Of equally good chains the first to end counts.
         """
-        matches = sorted(set(matches))
+        return max(Scanner._best_chains(sorted(set(matches))), key=lambda x: (x[0], -x[2]), default=(0, 0, 0))
+
+    @staticmethod
+    def _best_chains(matches: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+        """For each match, by its end, the best chain that ends with it: words covered, first word, word after the last."""
         best: list[tuple[int, int, int]] = []
         for k, (end, of, length) in enumerate(matches):
             total, first = length, end - length
@@ -177,7 +186,36 @@ class Scanner:
                 if new > 0 and 0 <= end - new - end_j <= MAX_GAP and best[j][0] + new > total:
                     total, first = best[j][0] + new, best[j][1]
             best.append((total, first, end))
-        return max(best, key=lambda x: (x[0], -x[2]), default=(0, 0, 0))
+        return best
+
+    @classmethod
+    def _places(cls, matches: list[tuple[int, int, int]], needed: int) -> list[tuple[int, int, int]]:
+        """All chains that cover enough words: the best, then the best of the matches that lie whole before it and after it, and so on."""
+        found, pieces = [], [sorted(set(matches))]
+        while pieces:
+            own = pieces.pop()
+            if sum(length for *_, length in own) < needed:
+                continue
+            best = cls._best_chains(own)
+            most = max(total for total, _, _ in best)
+            if most < needed:
+                continue
+            # Chains as good as the best that follow each other are what the search after each would find next.
+            taken = []
+            for total, first, end in best:
+                if total == most:
+                    if taken and first < taken[-1][2]:
+                        if end > taken[-1][2]:
+                            break
+                        continue
+                    taken.append((total, first, end))
+            found += taken
+            bounds = [0, *(x for _, first, end in taken for x in (first, end)), float("inf")]
+            for lo, hi in zip(bounds[::2], bounds[1::2], strict=True):
+                piece = [m for m in own if m[0] - m[2] >= lo and m[0] <= hi]
+                if piece:
+                    pieces.append(piece)
+        return found
 
 
 _scanners: dict[tuple, Scanner] = {}
@@ -188,7 +226,8 @@ def scan_licenses(docs: DataFrame, phrases=PHRASES, notices=NOTICES) -> DataFram
     covered spans as label:first word:word after the last.
 
     A null text counts as empty: no words, no places, empty labels and score 0. Repeated rows and null doc_ids each give
-    a row; an empty table gives none. A very long text is streamed; each template has its best chain in it. Of templates
+    a row; an empty table gives none. A very long text is streamed; a template is found at every place that covers
+    enough of it. Of templates
     that cover a place equally well the first of the list stays. The automaton's size is that of phrases and templates.
     Only doc_id and text are read.
     """

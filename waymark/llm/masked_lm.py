@@ -12,6 +12,7 @@ document's score is the sum of its conditional log-probabilities.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from itertools import groupby, pairwise
@@ -21,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from waymark import ship
@@ -126,11 +127,12 @@ def listed_words(coded: DataFrame) -> DataFrame:
 def totalled(coded: DataFrame) -> DataFrame:
     """The blocks' words with the word's count in all texts, total, as a table; one row of each word is its first.
 
-    Words meet in one exchange; a word has a row for each block at most, however often it's there.
+    Counts are added up before they meet, so a common word is a row of each task. The totals are written, and so join the
+    blocks' words as a plain scan: Spark can split the rows of a word that very many blocks have.
     """
-    own = Window.partitionBy("word")
-    rows = listed_words(coded).withColumns({"total": F.sum("n").over(own), "first": F.row_number().over(own.orderBy("block")) == 1})
-    return written(rows, "totals")
+    lists = listed_words(coded)
+    totals = written(lists.groupBy("word").agg(F.sum("n").alias("total"), F.min("block").alias("first_block")), "word-totals")
+    return written(lists.join(totals, "word").withColumn("first", F.col("block") == F.col("first_block")).drop("first_block"), "totals")
 
 
 def counts_of(totals: DataFrame) -> DataFrame:
@@ -344,15 +346,20 @@ def train_round(encoded: DataFrame, flat: np.ndarray, turn: int, turns: int) ->
             n += tokens
         if n:
             blocks = [total[lo : lo + BLOCK] for lo in range(0, len(total), BLOCK)]
-            yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "n", "weights"])
+            part = TaskContext.get().partitionId() % parts
+            yield pa.record_batch([pa.array(range(len(blocks)), pa.int32()), pa.array([part] * len(blocks), pa.int32()), pa.array([n] * len(blocks), pa.int64()), pa.array([b.tobytes() for b in blocks], pa.binary())], ["block", "part", "n", "weights"])
 
-    def mean(group: pa.Table) -> pa.Table:
+    def added(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(w, dtype=np.float64) for w in group.column("weights").to_pylist())
-        return pa.table({"block": group.column("block")[:1], "weights": pa.array([(total / pc.sum(group.column("n")).as_py()).astype(np.float32).tobytes()], pa.binary())})
-
-    copies = map_rows(encoded.select("shard", "ids"), run, "block int, n bigint, weights binary")
-    found = copies.groupBy("block").applyInArrow(mean, "block int, weights binary").collect()  # one network
-    return np.concatenate([np.frombuffer(r["weights"], dtype=np.float32) for r in sorted(found, key=lambda r: r["block"])]) if found else flat
+        return pa.table({"block": group.column("block")[:1], "n": pa.array([pc.sum(group.column("n")).as_py()]), "weights": pa.array([total.tobytes()], pa.binary())})
+
+    # Tasks' sums are added by parts, then the parts': neither step has more rows in a group than the root of their number.
+    parts = math.isqrt(max(1, encoded.rdd.getNumPartitions() - 1)) + 1
+    schema = "block int, n bigint, weights binary"
+    copies = map_rows(encoded.select("shard", "ids"), run, "block int, part int, n bigint, weights binary")
+    by_part = copies.groupBy("block", "part").applyInArrow(added, schema)
+    found = by_part.groupBy("block").applyInArrow(added, schema).collect()  # one network
+    return np.concatenate([(np.frombuffer(r["weights"], dtype=np.float64) / r["n"]).astype(np.float32) for r in sorted(found, key=lambda r: r["block"])]) if found else flat
 
 
 def score_texts(texts: list[np.ndarray], network: Network) -> list[float]:

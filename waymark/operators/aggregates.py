@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -166,3 +167,49 @@ def percentiles(column: str, points: Sequence[float] = PERCENTILES) -> list[Colu
     """Exact, with linear interpolation."""
     return [F.percentile(column, F.lit(p / 100)).alias(f"p{p:g}") for p in points]
 
+
+
+def selected_percentiles(df: DataFrame, column: str, points: Sequence[float] = PERCENTILES, by: str | None = None, bins: int = 1024, few: int = 4096) -> DataFrame:
+    """Exact percentiles with linear interpolation of few, very large groups: (by, p1, p5, ...), or one row without by.
+
+    F.percentile keeps all distinct values of a group in one buffer. Here each percentile's bracket is cut into bins that
+    Spark counts, and narrowed to the bin that its rank falls in, until few values are left, or equal ones; those are
+    fetched and ranked. Each round is a scan and a small aggregate; brackets are the groups' times the percentiles'.
+    Nulls and NaN don't count; a group without a value isn't in the result. df is read once a round: keep it, if it's costly.
+    """
+    spark, x = df.sparkSession, F.col(column).cast("double")
+    key = F.col(by) if by else F.lit(0)
+    rows = df.select(key.alias("_g"), x.alias("_x")).filter("_x IS NOT NULL AND NOT isnan(_x)")
+    # (group, rank) -> the bracket's ends, both in it, the values below it, and the values in it.
+    ends = {r["_g"]: r for r in rows.groupBy("_g").agg(F.count("*").alias("n"), F.min("_x").alias("lo"), F.max("_x").alias("hi")).collect()}
+    places = {(g, p): (r.n - 1) * p / 100 for g, r in ends.items() for p in points}
+    brackets = {(g, k): (ends[g].lo, ends[g].hi, 0, ends[g].n) for (g, _), at in places.items() for k in {math.floor(at), math.ceil(at)}}
+    kind = df.schema[by].dataType.simpleString() if by else "int"
+    found: dict[tuple, float] = {}
+    while open_ones := {b: v for b, v in brackets.items() if b not in found and v[0] < v[1] and v[3] > few}:
+        spans = sorted({(g, *v[:2]) for (g, _), v in open_ones.items()}, key=str)
+        narrow = F.broadcast(spark.createDataFrame(spans, f"_g {kind}, lo double, hi double"))  # a row for each percentile of each group at most
+        met = rows.join(narrow, "_g").filter("_x >= lo AND _x <= hi")
+        share = F.least(F.lit(bins - 1), F.floor((F.col("_x") / 2 - F.col("lo") / 2) / (F.col("hi") / 2 - F.col("lo") / 2) * bins))
+        counts: dict[tuple, list] = {}
+        for r in met.groupBy("_g", "lo", "hi", share.alias("bin")).agg(F.count("*").alias("n"), F.min("_x").alias("a"), F.max("_x").alias("b")).collect():
+            counts.setdefault((r["_g"], r.lo, r.hi), []).append((r.a, r.b, r.n))
+        for (g, k), (lo, hi, below, _) in open_ones.items():
+            for a, b, n in sorted(counts[g, lo, hi]):
+                if k < below + n:
+                    brackets[g, k] = (a, b, below, n)
+                    break
+                below += n
+    found |= {b: v[0] for b, v in brackets.items() if v[0] == v[1]}
+    rest = sorted({(g, *v[:2]) for (g, k), v in brackets.items() if (g, k) not in found}, key=str)
+    if rest:  # at most `few` values for each
+        narrow = F.broadcast(spark.createDataFrame(rest, f"_g {kind}, lo double, hi double"))
+        values = {(r["_g"], r.lo, r.hi): r.v for r in rows.join(narrow, "_g").filter("_x >= lo AND _x <= hi").groupBy("_g", "lo", "hi").agg(F.sort_array(F.collect_list("_x")).alias("v")).collect()}
+        found |= {(g, k): values[g, v[0], v[1]][k - v[2]] for (g, k), v in brackets.items() if (g, k) not in found}
+
+    def between(g, at: float) -> float:
+        low, high = math.floor(at), math.ceil(at)
+        return found[g, low] if low == high else (high - at) * found[g, low] + (at - low) * found[g, high]
+
+    out = [((g,) if by else ()) + tuple(between(g, places[g, p]) for p in points) for g in ends]
+    return spark.createDataFrame(out, ", ".join(([f"`{by}` {kind}"] if by else []) + [f"p{p:g} double" for p in points]))

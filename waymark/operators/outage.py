@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 from pyspark.sql.window import Window
 
 from waymark.functions.geo import wrap_pi
 from waymark.operators.joins import range_join
-from waymark.operators.windows import clamped_integral, dealt, ordered
+from waymark.operators.windows import clamped_integral, ordered
 
 
 def outage_candidates(samples: DataFrame, time: str, speed: str, flag: str, durations: list[float], by: str = "session_id", order: str = "row_idx", least_speed: float = 2.0, margin: float = 0.1) -> DataFrame:
@@ -33,31 +35,47 @@ def outage_candidates(samples: DataFrame, time: str, speed: str, flag: str, dura
     return line.withColumn("end_row", F.coalesce(next_fix, last_fix)).filter("duration_s IS NOT NULL").select(by, "duration_s", "start_row", "end_row")
 
 
-def choose_apart(candidates: DataFrame, most: int = 8, seed: int = 42, by: str = "session_id") -> DataFrame:
-    """At most `most` windows of a session and duration that don't overlap, taken in a seeded random order.
+def choice_order(seed: int = 42, by: str = "session_id") -> Column:
+    """A seeded priority of each candidate, of its own for each session and duration: a hash, so it needs no order of rows."""
+    return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(by).cast("string"), F.col("duration_s").cast("string"), F.col("start_row").cast("string"), F.col("end_row").cast("string")))
 
-    Each choice depends on those before, so a session is one group of row numbers; each of its durations is chosen apart.
-    """
 
-    def pick(session: pd.DataFrame) -> pd.DataFrame:
-        return pd.concat([pick_one(own) for _, own in session.groupby("duration_s")])
-
-    def pick_one(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values("start_row", kind="stable")
-        order = np.random.RandomState(seed).permutation(len(group))
-        starts, ends = group["start_row"].to_numpy(), group["end_row"].to_numpy()
-        taken: list[int] = []
-        for k in order:
-            if len(taken) == most:
-                break
-            if all(ends[k] < starts[j] or starts[k] > ends[j] for j in taken):
-                taken.append(k)
-        out = group.iloc[sorted(taken)].copy()
-        out["window_idx"] = range(len(out))
-        return out
+def choose_apart(candidates: DataFrame, most: int = 8, seed: int = 42, by: str = "session_id") -> DataFrame:
+    """At most `most` windows of a session and duration that don't overlap, the first of a seeded order that each leaves room for.
 
+    Rows are sorted by session, duration and priority, and go by: a task holds no more than the windows taken so far, so a
+    session may have any number of candidates. window_idx counts a group's windows by their start. Equal candidates are one.
+    """
     kind = dict(candidates.dtypes)[by]
-    return dealt(candidates.select(by, "duration_s", "start_row", "end_row"), by).groupBy(by).applyInPandas(pick, f"{by} {kind}, duration_s double, start_row bigint, end_row bigint, window_idx bigint")
+    keys = [by, "duration_s"]
+    rows = candidates.select(*keys, "start_row", "end_row").distinct().withColumn("_order", choice_order(seed, by))
+    rows = rows.repartition(int(candidates.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys).sortWithinPartitions(*keys, "_order", "start_row", "end_row")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, taken, out = None, [], []
+
+        def close() -> None:
+            out.extend((*group, a, b, k) for k, (a, b) in enumerate(sorted(taken)))
+            taken.clear()
+
+        names = [*keys, "start_row", "end_row"]
+        for batch in batches:
+            for *own, start, end in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+                if own != group:
+                    if group:
+                        close()
+                    group = own
+                if len(taken) < most and all(end < a or start > b for a, b in taken):
+                    taken.append((start, end))
+            if out:
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*names, "window_idx"])
+                out.clear()
+        if group:
+            close()
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out, strict=True), types, strict=True)], names=[*names, "window_idx"])
+
+    types = [to_arrow_type(candidates.schema[by].dataType), pa.float64(), pa.int64(), pa.int64(), pa.int64()]
+    return rows.mapInArrow(run, f"{by} {kind}, duration_s double, start_row bigint, end_row bigint, window_idx bigint")
 
 
 OUTAGE = ("session_id", "outage_id")

@@ -518,18 +518,32 @@ def q_overlapped_windows(spark, sf_dir):
     return rows.groupBy("session_id", "window_idx").agg(F.count("*").alias("n_rows"), F.min("row_idx").alias("first_row"), F.max("row_idx").alias("last_row"), F.round(F.avg("acc_veh_fwd"), R).alias("mean_fwd"))
 
 
-@query(f"""WITH {SAMPLES_SQL}, f AS (SELECT session_id, row_idx, value / 10 > 2 AS moving FROM s WHERE event_type IN ('click', 'view')),
+def _candidates_sql(durations: str) -> str:
+    return f"""f AS (SELECT session_id, row_idx, value / 10 > 2 AS moving FROM s WHERE event_type IN ('click', 'view')),
 n AS (SELECT session_id, count(*) AS n, median(dt) AS dt_med, floor(0.1 * count(*)) AS edge FROM s GROUP BY session_id),
-c AS (SELECT f.session_id, duration_s, row_idx AS start_row, row_idx + floor(duration_s / dt_med) AS approx, n, edge FROM f JOIN n ON f.session_id = n.session_id, (VALUES (1.0::DOUBLE), (5.0), (20.0)) v(duration_s) WHERE moving),
-k AS (SELECT * FROM c WHERE start_row >= edge AND approx <= n - edge AND approx < n)
-SELECT session_id, duration_s, start_row, coalesce((SELECT min(row_idx) FROM f WHERE f.session_id = k.session_id AND row_idx >= k.approx), (SELECT max(row_idx) FROM f WHERE f.session_id = k.session_id)) AS end_row FROM k""")
+c AS (SELECT f.session_id, duration_s, row_idx AS start_row, row_idx + floor(duration_s / dt_med) AS approx, n, edge FROM f JOIN n ON f.session_id = n.session_id, (VALUES {durations}) v(duration_s) WHERE moving),
+k AS (SELECT * FROM c WHERE start_row >= edge AND approx <= n - edge AND approx < n),
+cand AS (SELECT session_id, duration_s, start_row, coalesce((SELECT min(row_idx) FROM f WHERE f.session_id = k.session_id AND row_idx >= k.approx), (SELECT max(row_idx) FROM f WHERE f.session_id = k.session_id)) AS end_row FROM k)"""
+
+
+def _chosen_sql(most: int) -> str:
+    """One pick after the other: the first of those that meet no earlier pick."""
+    parts = ["r0 AS (SELECT *, md5(concat_ws(':', '42', session_id::VARCHAR, duration_s::VARCHAR, start_row::VARCHAR, end_row::VARCHAR)) AS o FROM cand)"]
+    for i in range(1, most + 1):
+        parts.append(f"p{i} AS (SELECT session_id, duration_s, min_by(start_row, o) AS a, min_by(end_row, o) AS b FROM r{i - 1} GROUP BY 1, 2)")
+        parts.append(f"r{i} AS (SELECT r.* FROM r{i - 1} r JOIN p{i} USING (session_id, duration_s) WHERE end_row < a OR start_row > b)")
+    return ", ".join(parts) + ", picked AS (" + " UNION ALL ".join(f"SELECT * FROM p{i}" for i in range(1, most + 1)) + ")"
+
+
+@query(f"WITH {SAMPLES_SQL}, {_candidates_sql('(1.0::DOUBLE), (5.0), (20.0)')} SELECT * FROM cand")
 def q_outage_candidates(spark, sf_dir):
     """All candidates, with their ends at the next fix; durations are in the unit of dt."""
     rows = samples(spark, sf_dir).withColumns({"fix": F.col("event_type").isin("click", "view"), "v": F.col("value") / 10})
     return outage.outage_candidates(rows, "t", "v", "fix", [1.0, 5.0, 20.0])
 
 
-@query()
+@query(f"""WITH {SAMPLES_SQL}, {_candidates_sql("(30.0::DOUBLE), (60.0), (120.0)")}, {_chosen_sql(8)}
+SELECT session_id, duration_s, a AS start_row, b AS end_row, row_number() OVER (PARTITION BY session_id, duration_s ORDER BY a) - 1 AS window_idx FROM picked""")
 def q_outage_windows(spark, sf_dir):
     """Outage windows that don't overlap, chosen in a seeded order by session and duration."""
     rows = samples(spark, sf_dir).withColumns({"fix": F.col("event_type").isin("click", "view"), "v": F.col("value") / 10})

@@ -167,7 +167,7 @@ def fuse_outages(samples: DataFrame, roads: DataFrame | None = None, speed_sigma
     """The filter's end state of each outage. samples: session_id, outage_id, row_idx and the columns SIGNALS and START.
 
     roads: (session_id, outage_id, roads: array of ROADS) from joins.roads_near; with it, road_heading isn't needed. An outage is
-    a row of arrays, so a session's outages run apart, whatever share of all rows it holds. Null signals count as NaN; a null
+    a row of arrays, so a session's outages run apart, whatever share of all rows it holds; those of a batch step side by side. Null signals count as NaN; a null
     still or calibrated is false.
     """
     keys = ["session_id", "outage_id"]
@@ -183,12 +183,11 @@ def fuse_outages(samples: DataFrame, roads: DataFrame | None = None, speed_sigma
     names = ("east", "north", "ve", "vn", "psi", "b_fwd", "b_lat", "b_yaw")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from waymark.operators.filter_steps import run_outages  # which is built on this module
+
         for batch in batches:
-            out = []
-            for r in batch.to_dict("records"):
-                near = None if not roads_given else np.array([r[f"_{c}"] for c in ROADS], dtype=float).T
-                out.append(run_outage([r[c] for c in SIGNALS], list(r["start"]), near, speed_sigma).x)
-            states = np.array(out).reshape(-1, len(names))
+            near = [np.array(r, dtype=float).T.reshape(-1, len(ROADS)) for r in zip(*(batch[f"_{c}"] for c in ROADS), strict=True)] if roads_given else None
+            states = run_outages(list(zip(*(batch[c] for c in SIGNALS), strict=True)), [list(x) for x in batch["start"]], near, speed_sigma)
             yield pd.DataFrame({"session_id": batch["session_id"], "outage_id": batch["outage_id"], "n_rows": batch["fwd"].map(len), **dict(zip(names, states.T, strict=True))})
 
     roads_given = roads is not None

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.window import Window
 
-from waymark.sources.schema import require, typed, with_canonical_names
+from waymark.sources.schema import canonical_name, require, typed, with_canonical_names
 
 
 def session_csv(spark: SparkSession, path: str) -> DataFrame:
@@ -24,6 +24,33 @@ def session_csv(spark: SparkSession, path: str) -> DataFrame:
     return typed(rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("session_id").orderBy("_id")).cast("bigint") - 1).drop("_id"))
 
 
+def session_csv_checked(spark: SparkSession, path: str, columns: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+    """session_csv of files that are to have these columns, without the rows that don't fit, and a report of every file of the folder.
+
+    The report has source_file, n_bytes, n_rows (that fit), n_bad and an outcome: "read", "bad rows" (some fit, some don't),
+    "unreadable" (none fits: another format, a broken archive, an empty file). A file that can't be read to its end gives
+    the rows before that; no file fails the scan. The files' names come from a listing, so those that give no row are there.
+    """
+    options = {"header": True, "encoding": "ISO-8859-1", "multiLine": True, "ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    named = lambda c: F.regexp_replace(c, "^([a-z0-9]+):/+", "$1:/")  # noqa: E731  the sources write a path's begin in two ways
+    names = spark.createDataFrame([(f,) for f in spark.read.format("binaryFile").load(path).inputFiles()], "source_file string").select(named("source_file").alias("source_file"))
+    sizes = spark.read.format("binaryFile").load(path).select(named("path").alias("source_file"), F.col("length").alias("n_bytes"))  # no content is read
+    schema = T.StructType([T.StructField(c, T.StringType()) for c in [*columns, "_corrupt_record"]])
+    raw = spark.read.options(**options, mode="PERMISSIVE", ignoreCorruptFiles=True, enforceSchema=True).schema(schema).csv(path)
+    rows = raw.withColumns({"source_file": named(F.col("_metadata.file_path")), "_id": F.monotonically_increasing_id()})
+    bad = F.col("_corrupt_record").isNotNull()
+    # Spark parses only the columns that a query needs, and can't tell a bad row by fewer: this needs them all.
+    parsed = F.xxhash64(*(F.col(f"`{c}`") for c in columns)) % 2 < 2
+    counts = rows.groupBy("source_file").agg(F.count_if(~bad & parsed).alias("n_rows"), F.count_if(bad & parsed).alias("n_bad"))
+    report = names.join(sizes, "source_file", "left").join(counts, "source_file", "left").na.fill(0, ["n_bytes", "n_rows", "n_bad"])
+    report = report.withColumn("outcome", F.when(F.col("n_rows") == 0, "unreadable").when(F.col("n_bad") > 0, "bad rows").otherwise("read"))
+    good = rows.filter(~bad).drop("_corrupt_record")
+    good = good.toDF(*(c if c in ("source_file", "_id") else canonical_name(c) for c in good.columns))
+    good = good.withColumn("session_id", F.regexp_extract("source_file", r"([^/]+?)(?:\.csv)?$", 1))
+    order = Window.partitionBy("session_id").orderBy("_id")
+    return typed(good.withColumn("row_idx", F.row_number().over(order).cast("bigint") - 1).drop("_id")), report
+
+
 def csv_header(spark: SparkSession, path: str) -> list[str]:
     return spark.read.options(header=True, encoding="ISO-8859-1").csv(path).columns
 
@@ -54,9 +81,10 @@ def sensor_csv(spark: SparkSession, path: str, prefix: str) -> DataFrame:
 
 
 def edge_csv(spark: SparkSession, path: str) -> DataFrame:
-    """A file of the edge contract's twelve columns, checked, in file order."""
+    """Files of the edge contract's twelve columns, checked, in file order; a file is a session and read by one task."""
     raw = require(spark.read.options(header=True, inferSchema=True, multiLine=True).csv(path))
-    return raw.withColumn("_id", F.monotonically_increasing_id()).withColumns({"session_id": F.lit("edge"), "row_idx": F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("_id")).cast("bigint") - 1}).drop("_id")
+    rows = raw.withColumns({"_id": F.monotonically_increasing_id(), "session_id": F.regexp_extract(F.input_file_name(), r"([^/]+?)(?:\.csv)?$", 1)})
+    return rows.withColumn("row_idx", F.row_number().over(Window.partitionBy("session_id").orderBy("_id")).cast("bigint") - 1).drop("_id")
 
 
 _POINT = "struct<lat:double,lon:double>"

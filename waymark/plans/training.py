@@ -45,7 +45,10 @@ def q_features56_in_use(spark, sf_dir):
     return found.select("session_id", "row_idx", *_rounded_stats(SIGNALS_56, 7))
 
 
-_FIXED = {"fix": F.col("event_type") == "click", "h": F.col("us") / 3.6e9, "v": F.col("value") / 10, "east": F.col("value") * 2, "north": F.col("k") * 2, "heading": F.radians("k")}
+def _fixed_rows(spark, sf_dir):
+    """The signals with clicks as fixes, and places and headings from values and k."""
+    own = {"fix": F.col("event_type") == "click", "h": F.col("us") / 3.6e9, "v": F.col("value") / 10, "east": F.col("value") * 2, "north": F.col("k") * 2, "heading": F.radians("k")}
+    return _signals(spark, sf_dir).withColumns(own)
 
 
 @query(f"""WITH {SAMPLES_SQL}, {_SIGNALS}, f AS (SELECT session_id, row_idx, event_type, us / 3.6e9 AS h, value / 10 AS y_vel, value * 2 AS e, k * 2 AS n, count(*) OVER v AS nn, {_stats_sql(SIGNALS_56, " OVER v")}
@@ -54,7 +57,7 @@ c AS (SELECT *, e - lag(e) {W} AS de, n - lag(n) {W} AS dn FROM f WHERE event_ty
 SELECT * EXCLUDE (event_type, h, e, n, nn, de, dn), round(h, 6) AS t_fix_s, round(CASE WHEN sqrt(de*de + dn*dn) > 5 THEN CASE WHEN atan2(de, dn) < 0 THEN atan2(de, dn) + 2 * pi() ELSE atan2(de, dn) END END, 6) AS y_course
 FROM c WHERE nn = 21 AND y_vel >= 0.5""")
 def q_velocity_table(spark, sf_dir):
-    found = training.velocity_table(_signals(spark, sf_dir).withColumns(_FIXED), "fix", "h", "v", "east", "north")
+    found = training.velocity_table(_fixed_rows(spark, sf_dir), "fix", "h", "v", "east", "north")
     return found.select("session_id", "row_idx", "y_vel", F.round("t_fix_s", R).alias("t_fix_s"), F.round("y_course", R).alias("y_course"), *_rounded_stats(SIGNALS_56, 5))
 
 
@@ -69,14 +72,14 @@ w AS (SELECT session_id, seg_start, sqrt(pow(sum(vel * sin(psi) * dt), 2) + pow(
 SELECT g.*, seg_end, round(dur, 6) AS seg_dur_s, seg_end - seg_start + 1 AS seg_n_samples, v_k1 AS target_a, round(v_k1 - v_k, 6) AS target_b, round(sqrt(de*de + dn*dn) - ds_imu, 5) AS target_c
 FROM g JOIN p USING (session_id, seg_start) JOIN w USING (session_id, seg_start)""")
 def q_segment_table(spark, sf_dir):
-    found = training.segment_table(_signals(spark, sf_dir).withColumns(_FIXED), "fix", "h", "v", most_s=400.0)
+    found = training.segment_table(_fixed_rows(spark, sf_dir), "fix", "h", "v", most_s=400.0)
     return found.select("session_id", "seg_start", "seg_end", F.round("seg_dur_s", R).alias("seg_dur_s"), "seg_n_samples", "target_a", F.round("target_b", R).alias("target_b"), F.round("target_c", 5).alias("target_c"), *_rounded_stats(SIGNALS_58, 8))
 
 
 @query()
 def q_ridge_folds(spark, sf_dir):
     """Ridge of target C on the segment table for each fold, from one pass; trips are the last digits of users."""
-    found = training.segment_table(_signals(spark, sf_dir).withColumns(_FIXED), "fix", "h", "v", most_s=400.0).withColumn("trip", F.reverse(F.col("session_id").cast("string")))
+    found = training.segment_table(_fixed_rows(spark, sf_dir), "fix", "h", "v", most_s=400.0).withColumn("trip", F.reverse(F.col("session_id").cast("string")))
     names = [*(f"{s}_{n}" for s in SIGNALS_58 for n in STATS), "seg_dur_s", "seg_n_samples"]
     folds = [str(d) for d in range(10)]
     models = training.ridge_folds(found, folds, "trip", names, "target_c", clip_sigma=10.0)

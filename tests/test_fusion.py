@@ -112,7 +112,7 @@ def test_complementary_filter_of_long_sessions(spark):
 
 def test_alpha_sweep_takes_whole_sessions(spark):
     rows = samples(spark, "/root/testdata/sf0.001").toPandas().sort_values(["session_id", "row_idx"])
-    got = {(r.alpha, r.session_id): r.mean_heading for r in QUERIES["q_alpha_sweep_whole"](spark, "/root/testdata/sf0.001").collect()}
+    got = {(r.alpha, r.session_id): r.mean_heading for r in QUERIES["q_alpha_sweep"](spark, "/root/testdata/sf0.001").collect()}
     assert rows.groupby("session_id").size().max() > 40 and len(got) == 4 * rows["session_id"].nunique()
     for session, own in rows.groupby("session_id"):
         for alpha in (1.0, 0.95, 0.97, 0.98):

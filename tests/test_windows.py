@@ -157,5 +157,5 @@ def test_map_match_whole_takes_every_road(spark):
             if dist <= 25 and turn <= math.radians(30):
                 best = min(best, (dist * (1 + turn / math.radians(30)), key))
         want[p.session_id, p.row_idx] = best[1]
-    got = {(r.session_id, r.row_idx): r.way_id for r in QUERIES["q_map_match_whole"](spark, sf).collect()}
+    got = {(r.session_id, r.row_idx): r.way_id for r in QUERIES["q_map_match"](spark, sf).collect()}
     assert got == want and any(w is not None and w % 3 for w in want.values())

@@ -56,9 +56,6 @@ def q_alpha_sweep(spark, sf_dir):
     return fusion.alpha_sweep(rows, "w", "dt", "m", ALPHAS, "session_id", "row_idx").withColumn("mean_heading", F.round("mean_heading", R))
 
 
-QUERIES["q_alpha_sweep_whole"], ORACLE_SQL["q_alpha_sweep_whole"] = q_alpha_sweep, ORACLE_SQL["q_alpha_sweep"]  # its former name
-
-
 def _filter_rows(rows: DataFrame, outages: DataFrame) -> DataFrame:
     """The samples of each outage with the filter's inputs, a speed in place of a trained model."""
     own = joins.range_join(rows, outages, "session_id", "row_idx", "start_row", "end_row", 64)

@@ -140,18 +140,18 @@ def q_topk_importance(spark, sf_dir):
     return agg.top_k(sums, "v", "p_brand", 5).select("p_brand", F.round("v", 4).alias("importance"))
 
 
-@query("""WITH e AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT c_custkey, c_name || '*' AS c_name FROM customer WHERE c_custkey % 2 = 0)
+@query("""WITH e AS (SELECT c_custkey, c_name FROM customer WHERE c_custkey % 3 <> 0), f AS (SELECT c_custkey, c_name || '*' AS c_name FROM customer)
 SELECT * FROM e UNION ALL SELECT * FROM f WHERE c_custkey NOT IN (SELECT c_custkey FROM e)""")
 def q_anti_merge(spark, sf_dir):
     c = table(spark, sf_dir, "customer").select("c_custkey", "c_name")
-    return joins.merge_new(c.filter("c_custkey % 3 != 0"), c.filter("c_custkey % 2 = 0").withColumn("c_name", F.concat("c_name", F.lit("*"))), "c_custkey")
+    return joins.merge_new(c.filter("c_custkey % 3 != 0"), c.withColumn("c_name", F.concat("c_name", F.lit("*"))), "c_custkey")
 
 
-@query("""WITH x AS (SELECT DISTINCT p_type AS name FROM part WHERE p_size < 25), y AS (SELECT DISTINCT p_type AS name FROM part WHERE p_size >= 25 AND p_retailprice > 1000)
+@query("""WITH x AS (SELECT DISTINCT p_type || ' ' || p_brand AS name FROM part WHERE p_size < 25), y AS (SELECT DISTINCT p_type || ' ' || p_brand AS name FROM part WHERE p_size >= 25)
 SELECT name, 'left' AS only_in FROM (SELECT * FROM x EXCEPT SELECT * FROM y) UNION ALL SELECT name, 'right' FROM (SELECT * FROM y EXCEPT SELECT * FROM x)""")
 def q_schema_diff(spark, sf_dir):
-    p = table(spark, sf_dir, "part")
-    x, y = p.filter("p_size < 25").select(F.col("p_type").alias("name")), p.filter("p_size >= 25 AND p_retailprice > 1000").select(F.col("p_type").alias("name"))
+    p = table(spark, sf_dir, "part").select("p_size", F.concat_ws(" ", "p_type", "p_brand").alias("name"))
+    x, y = p.filter("p_size < 25").select("name"), p.filter("p_size >= 25").select("name")
     return x.subtract(y).withColumn("only_in", F.lit("left")).unionByName(y.subtract(x).withColumn("only_in", F.lit("right")))
 
 

@@ -13,27 +13,47 @@ from waymark.llm.simhash import keep_one_of_each
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality rules keep."""
+    """Documents that the quality rules keep: their own rules and their host's verdict.
+
+    A null, empty or blank text has no words and goes. Equal rows have one verdict, so all stay or go. A null source is a
+    host of its own. An empty table stays empty.
+    """
     return keep_good(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates."""
+    """One document of each group of near duplicates: the one with the smallest doc_id, of equal ids the smallest text hash.
+
+    Of equal rows one stays. Null, empty and blank texts are one group. A null doc_id stays only in a group without any
+    other. An empty table stays empty.
+    """
     return keep_one_of_each(docs)
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold no benchmark item."""
+    """Documents that hold no benchmark item, by question and answer.
+
+    Null and empty texts hold none and stay; equal rows stay or go together. Empty items match nothing. With an empty
+    table on either side the documents stay as they are.
+    """
     return without_leaks(docs, read_table(spark, sf_dir, "benchmark"))
 
 
 def masked(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with personal data masked."""
+    """All documents, with personal data and secrets masked; n_chars is the new length.
+
+    A null text stays null, an empty one empty; every row stays, repeated ones too. Of spans that overlap, the first gives
+    the mask. An empty table stays empty.
+    """
     return mask_pii(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Digests of each document's token ids and of what they decode to."""
+    """Digests of each document's token ids and of what they decode to: a row for each row.
+
+    A null text counts as empty and has no ids. A null doc_id stays null; repeated rows each give a row. An empty table
+    gives none.
+    """
     return encode_digests(docs)
 
 

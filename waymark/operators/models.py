@@ -1,12 +1,11 @@
-"""Regression models with folds by trip, in Spark's ML library, and adapters of outside models."""
+"""Regression models with folds by trip, in Spark's ML library."""
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator, Sequence
+from collections.abc import Callable, Sequence
 from functools import reduce
 
 import numpy as np
-import pandas as pd
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import StandardScaler, VectorAssembler
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
@@ -44,7 +43,7 @@ def leave_one_trip_out(rows: DataFrame, trips: Sequence[str], trip: str, feature
 
     A trip is a prefix of the trip column. clip_sigma: training rows with a larger label are left out, test rows never.
     """
-    rows = rows.persist()
+    spark, rows = rows.sparkSession, rows.persist()
     found = []
     for name in trips:
         test, train = rows.filter(F.col(trip).startswith(name)), rows.filter(~F.col(trip).startswith(name))
@@ -56,7 +55,11 @@ def leave_one_trip_out(rows: DataFrame, trips: Sequence[str], trip: str, feature
         for kind, own in guesses.items():
             e = F.col("prediction") - F.col(label)
             found.append(own.agg(F.count("*").alias("n_test"), F.sqrt(F.avg(e * e)).alias("rmse"), F.avg(F.abs(e)).alias("mae"), F.median(F.abs(e)).alias("median_ae")).select(F.lit(name).alias("trip"), F.lit(kind).alias("model"), "n_test", "rmse", "mae", "median_ae"))
-    return reduce(DataFrame.unionByName, found)
+    try:
+        reports = reduce(DataFrame.unionByName, found)
+        return spark.createDataFrame(reports.collect(), reports.schema)  # a row for each trip and model
+    finally:
+        rows.unpersist()
 
 
 def importances(model: PipelineModel, features: Sequence[str], df: DataFrame, risky: Sequence[str] = ("acc_z", "al_mag", "acc_veh_fwd")) -> DataFrame:
@@ -74,26 +77,6 @@ def heading_by_parts(train: DataFrame, test: DataFrame, features: Sequence[str],
     return both.withColumn("heading_pred", F.pmod(F.atan2("_ps", "prediction"), F.lit(2 * np.pi))).drop("_ps", "prediction", "_x", "_raw")
 
 
-def score_onnx(rows: DataFrame, path: str, features: Sequence[str], output: str = "prediction") -> DataFrame:
-    """rows with the predictions of an ONNX model that all executors can read; float32 in, Arrow batches; null where it fails."""
-    session: list = []
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.Series]:
-        import onnxruntime
-
-        if not session:
-            session.append(onnxruntime.InferenceSession(path, providers=["CPUExecutionProvider"]))
-        name = session[0].get_inputs()[0].name
-        for batch in batches:
-            try:
-                yield pd.Series(session[0].run(None, {name: batch.to_numpy(dtype=np.float32)})[0].reshape(-1).astype(float))
-            except Exception:  # a batch the model can't take has no predictions
-                yield pd.Series([None] * len(batch), dtype="float64")
-
-    scored = F.pandas_udf(run, "double")
-    return rows.withColumn(output, scored(F.struct(*features)))
-
-
 def save(model: PipelineModel, path: str) -> None:
     model.write().overwrite().save(path)
 

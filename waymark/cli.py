@@ -7,19 +7,13 @@ import argparse
 from pyspark.sql import SparkSession
 
 from waymark.operators.edge import WINDOW_ROWS, no_correction, run_engine
-from waymark.operators.features import SIGNALS_58, STATS
-from waymark.operators.models import load, score_onnx
+from waymark.operators.models import load
 from waymark.sources.preprocess import adapt_sensors
 from waymark.sources.readers import edge_csv, sensor_csv, write_csv
 
-FEATURES = [*(f"{s}_{x}" for s in SIGNALS_58 for x in STATS), "seg_dur_s", "seg_n_samples"]
-
-
 def _model(path: str | None):
     if path is None:
         return no_correction
-    if path.endswith(".onnx"):
-        return lambda features: score_onnx(features, path, FEATURES, "ds_corr").select("session_id", "window_idx", "ds_corr")
     fitted = load(path)
     return lambda features: fitted.transform(features).select("session_id", "window_idx", "prediction").withColumnRenamed("prediction", "ds_corr")
 

@@ -30,19 +30,6 @@ def stats_of(signal: str) -> dict[str, Column]:
     return {f"{signal}_mean": F.avg(x), f"{signal}_std": F.stddev_pop(x), f"{signal}_min": F.min(x), f"{signal}_max": F.max(x)}
 
 
-def window_features(df: DataFrame, signals: Sequence[str], rows: int, by: str = "session_id", order: str = "row_idx") -> DataFrame:
-    """Statistics of the last `rows` rows, this one included; rows with fewer before them are dropped. All share one window."""
-    w = ordered(by, order).rowsBetween(-(rows - 1), 0)
-    found = {name: x.over(w) for s in signals for name, x in stats_of(s).items()}
-    return df.withColumns(found | {"_n": F.count("*").over(w)}).filter(F.col("_n") == rows).drop("_n")
-
-
-def features_56(df: DataFrame, at_fix: str | None = None, rows: int = 21) -> DataFrame:
-    """The 56 window features; 21 rows in training, 20 in use. at_fix: only rows where this flag holds are returned."""
-    found = window_features(with_magnitudes(df), SIGNALS_56, rows)
-    return found.filter(F.col(at_fix)) if at_fix else found
-
-
 def features_58(df: DataFrame, segment: Sequence[str], dt: str = "dt") -> DataFrame:
     """The 56 statistics of each segment, its duration and its rows."""
     found = [x.alias(name) for s in SIGNALS_58 for name, x in stats_of(s).items()]

@@ -77,7 +77,10 @@ def map_rows(df: DataFrame, fn: Callable[[Iterator[pa.RecordBatch]], Iterator[pa
 
 
 def spread_out(df: DataFrame) -> DataFrame:
-    """A table of fewer files than cores dealt over all cores, as a file of one row group would else be one task."""
+    """A table of fewer files than cores dealt over all cores, as a file of one row group would else be one task.
+
+    No result depends on it; the names of the files are what Spark's own listing has on the driver.
+    """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if len(df.inputFiles()) < cores else df
 

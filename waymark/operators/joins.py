@@ -9,7 +9,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from waymark.functions.geo import clamp_projection, to_east, to_north, two_way_difference
+from waymark.functions.geo import to_east, to_north
+from waymark.operators import nearby
 
 
 def _tagged(left: DataFrame, right: DataFrame, by: str, time: str, values: Sequence[str]) -> DataFrame:
@@ -77,25 +78,23 @@ def road_segments(ways: DataFrame, lat0: float, lon0: float, least_m: float = 1.
 def map_match(points: DataFrame, segments: DataFrame, point_id: Sequence[str], gate_m: float = 25.0, gate_rad: float = math.radians(30), by_score: bool = True) -> DataFrame:
     """points (with x, y, heading) and their best segment's values, null where none is within both gates.
 
-    Segments lie on a grid of cells as wide as the gate; a segment is entered in every cell of its box, grown by the gate,
-    so each pair meets in the point's own cell by an equi-join. by_score: the least of distance * (1 + turn / gate),
-    gates inclusive; else the least distance, strictly under the gate.
+    Points and segments meet in cells of a grid, points as arrays, a segment in every cell of its box, grown by the gate;
+    pairs exist only within a task. by_score: the least of distance * (1 + turn / gate), gates inclusive; else the least
+    distance, strictly under the gate. Of equally good ones the first by way_id and seg_idx.
     """
-    cell = lambda c: F.floor(c / gate_m)
-    spread = segments.select(
-        "*",
-        F.explode(F.sequence(cell(F.least("e1", "e2") - gate_m), cell(F.greatest("e1", "e2") + gate_m))).alias("_cx"),
-    ).withColumn("_cy", F.explode(F.sequence(cell(F.least("n1", "n2") - gate_m), cell(F.greatest("n1", "n2") + gate_m))))
-    spread = spread.withColumnRenamed("heading", "road_heading")
-    pairs = points.withColumns({"_cx": cell(F.col("x")), "_cy": cell(F.col("y"))}).join(spread, ["_cx", "_cy"])
-    sx, sy, dist = clamp_projection(F.col("x"), F.col("y"), F.col("e1"), F.col("n1"), F.col("e2"), F.col("n2"))
-    turn = two_way_difference(F.col("heading"), F.col("road_heading"))
-    rows = pairs.withColumns({"snap_x": sx, "snap_y": sy, "dist": dist, "turn": turn})
-    rows = rows.filter((F.col("dist") <= gate_m) & (F.col("turn") <= gate_rad)) if by_score else rows.filter((F.col("dist") < gate_m) & (F.col("turn") <= gate_rad))
-    score = F.col("dist") * (1 + F.col("turn") / gate_rad) if by_score else F.col("dist")
-    hit = F.struct(score.alias("score"), "way_id", "seg_idx", "snap_x", "snap_y", "dist", "road_heading")
-    best = rows.groupBy(*point_id).agg(F.min(hit).alias("_hit"))
-    return points.join(best, list(point_id), "left").select(*points.columns, *(F.col(f"_hit.{c}").alias(c) for c in ("way_id", "seg_idx", "snap_x", "snap_y", "dist", "road_heading")))
+    cell_m = gate_m * 0.3
+    kinds = {f.name: f for f in segments.schema}
+    found = ", ".join(f"{c} {kinds[c].dataType.simpleString()}" for c in ("way_id", "seg_idx")) + ", snap_x double, snap_y double, dist double, road_heading double"
+    chunks = nearby.by_cell(points, point_id, F.col("x"), F.col("y"), cell_m)
+    return nearby.search(chunks, nearby.segments_of_cells(segments, cell_m, gate_m), points.schema.fields, found, lambda p, r: nearby.match_points(p, r, gate_m, gate_rad, by_score))
+
+
+def count_roads_near(points: DataFrame, segments: DataFrame, key: Sequence[str], margin_m: float = 1000.0, cell_m: float = 1000.0) -> DataFrame:
+    """(*key, n_roads, way_sum, heading_sum) of the roads that roads_near lists for a point's box; points: key, x, y. No list is made."""
+    kept = [f for f in points.schema if f.name in key]
+    chunks = nearby.by_cell(points.select(*key, "x", "y"), key, F.col("x"), F.col("y"), cell_m)
+    found = nearby.search(chunks, nearby.ways_of_cells(segments, cell_m, margin_m), kept, "n_roads bigint, way_sum bigint, heading_sum double", lambda p, r: nearby.count_roads(p, r, margin_m))
+    return found.filter("n_roads IS NOT NULL").select(*key, "n_roads", "way_sum", "heading_sum")
 
 
 def roads_near(boxes: DataFrame, segments: DataFrame, key: Sequence[str], margin_m: float = 1000.0, cell_m: float = 1000.0) -> DataFrame:

@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from waymark.operators import joins
+from waymark.operators import fusion, joins, nearby
 
 
 @pytest.fixture
@@ -50,3 +50,22 @@ def test_no_row_for_a_pair(spark, town):
     plan = joins.map_match(given, segments, ["id"], 20.0)._jdf.queryExecution().executedPlan().toString()
     above = plan.partition("MapInArrow")[0]
     assert "MapInArrow" in plan and "Aggregate" not in above and "Exchange" not in above and "Join" not in above
+
+
+def test_outages_of_a_cell_share_a_list(spark, town, monkeypatch):
+    """The same states as with a list for each outage."""
+    monkeypatch.setattr(nearby, "PAIRS", 500)
+    rng = np.random.default_rng(6)
+    points, _, given, segments = town
+    rows = [(i % 7, i, k, *map(float, rng.normal(0, 0.5, 3)), 0.1, bool(rng.random() < 0.3), float(rng.uniform(0, 9)), p.x, p.y, 5.0, p.heading, 0.0, 0.0, 0.0, False) for i, p in enumerate(points.head(200).itertuples()) for k in range(1, 6 + i % 20)]
+    names = ["session_id", "outage_id", "row_idx", "fwd", "lat", "yaw", "dt", "still", "speed", "e0", "n0", "v0", "psi0", "b_fwd", "b_lat", "b_yaw", "calibrated"]
+    own = spark.createDataFrame(rows, names)
+    boxes = own.selectExpr("session_id", "outage_id", "e0 AS e_lo", "e0 AS e_hi", "n0 AS n_lo", "n0 AS n_hi").distinct()
+    keys = ["session_id", "outage_id"]
+    want = fusion.fuse_outages(own, joins.roads_near(boxes, segments, keys, 15.0, 30.0)).toPandas().sort_values(keys)
+    got = fusion.fuse_outages_by_cell(own, segments, 15.0, 10.0).toPandas().sort_values(keys)
+    assert len(got) == 200
+    np.testing.assert_allclose(got.to_numpy(), want.to_numpy(), atol=1e-9)
+    blind = fusion.fuse_outages(own).toPandas().sort_values(keys)
+    assert (np.abs(blind["psi"].to_numpy() - got["psi"].to_numpy()) > 1e-6).sum() > 50
+    assert fusion.fuse_outages_by_cell(own.limit(0), segments, 15.0, 10.0).count() == 0

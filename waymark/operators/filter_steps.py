@@ -11,6 +11,7 @@ from collections.abc import Iterator, Sequence
 import numpy as np
 
 from waymark.operators.fusion import BF, BIASES, BL, BW, CALIBRATED_SIGMA, E, HEADING_SIGMA, N, NHC_SIGMA, POSITION, PSI, ROAD_GATE_M, ROAD_GATE_RAD, SPEED_BIAS, START_SIGMA, VE, VELOCITY, VETO_SPEED, VN, ZUPT_SIGMA, Noise, wrap
+from waymark.operators.nearby import Boxes
 
 #: Outages are worked on together up to so many rows, the longest one's length times their number.
 CELLS = 500_000
@@ -116,6 +117,39 @@ class Roads:
         return out
 
 
+class SharedRoads:
+    """One list of roads for many outages, of which each knows those whose ways meet its box; searched a block of pairs at a time."""
+
+    def __init__(self, boxes: Boxes, e: np.ndarray, n: np.ndarray, margin_m: float):
+        self.boxes, self.e, self.n, self.margin = boxes, e, n, margin_m
+
+    def of(self, group: np.ndarray) -> SharedRoads:
+        return SharedRoads(self.boxes, self.e[group], self.n[group], self.margin)
+
+    def headings(self, x: np.ndarray) -> np.ndarray:
+        """As Roads.headings."""
+        out = np.full(len(x), math.nan)
+        if not len(self.boxes.roads):
+            return out
+        e1, n1, e2, n2, along = self.boxes.roads.T
+        de, dn = e2 - e1, n2 - n1
+        square = de * de + dn * dn
+        for own in self.boxes.blocks(len(x)):
+            e, n, (east, north, psi) = self.e[own], self.n[own], (x[own, c, None] for c in (E, N, PSI))
+            known = np.repeat(self.boxes.ways(e - self.margin, e + self.margin, n - self.margin, n + self.margin), self.boxes.sizes, axis=1)
+            part = np.clip(((east - e1) * de + (north - n1) * dn) / np.where(square > 0, square, 1.0), 0.0, 1.0)
+            away = np.hypot(east - e1 - part * de, north - n1 - part * dn)
+            off = wrap(psi - along)
+            back = np.abs(off) > math.pi / 2
+            turn = np.where(back, math.pi - np.abs(off), np.abs(off))
+            away[~known | (turn > ROAD_GATE_RAD) | (away >= ROAD_GATE_M) | (square < 1e-6)] = np.inf
+            k = away.argmin(axis=1)
+            rows = np.arange(len(k))
+            found = np.where(back[rows, k], (along[k] + math.pi) % (2 * math.pi), along[k])
+            out[own] = np.where(np.isfinite(away[rows, k]), found, math.nan)
+        return out
+
+
 def _groups(sizes: np.ndarray) -> Iterator[np.ndarray]:
     """Numbers of outages, longest first, in groups of at most CELLS rows."""
     order = np.argsort(-sizes, kind="stable")
@@ -126,7 +160,7 @@ def _groups(sizes: np.ndarray) -> Iterator[np.ndarray]:
         lo = hi
 
 
-def run_outages(signals: Sequence[Sequence[np.ndarray]], starts: Sequence[Sequence[float]], roads: Sequence[np.ndarray] | None = None, speed_sigma: float = 1.8, noise: Noise | None = None) -> np.ndarray:
+def run_outages(signals: Sequence[Sequence[np.ndarray]], starts: Sequence[Sequence[float]], roads: Sequence[np.ndarray] | SharedRoads | None = None, speed_sigma: float = 1.8, noise: Noise | None = None) -> np.ndarray:
     """The end state of each outage, (k, 8): what run_outage gives for each. signals: for each outage an array for each signal."""
     out = np.empty((len(signals), 8))
     sizes = np.array([len(s[0]) for s in signals], dtype=np.int64)
@@ -138,7 +172,7 @@ def run_outages(signals: Sequence[Sequence[np.ndarray]], starts: Sequence[Sequen
             grid[:, : n[k], k] = [np.asarray(c, dtype=float) for c in columns]
         start = np.array([starts[k] for k in group], dtype=float).reshape(-1, 8)
         filters, said = Filters(start, noise or Noise()), start[:, 2].copy()
-        near = None if roads is None else Roads([roads[k] for k in group])
+        near = None if roads is None else roads.of(group) if isinstance(roads, SharedRoads) else Roads([roads[k] for k in group])
         for t in range(grid.shape[1]):
             live = int(np.searchsorted(-n, -t, side="left"))  # those with more than t rows
             fwd, lat, yaw, dt, still, road, speed = grid[:, t, :live]

@@ -12,9 +12,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from waymark.operators import nearby
 from waymark.operators.windows import dealt
 
 E, N, VE, VN, PSI, BF, BL, BW = range(8)
@@ -163,6 +165,19 @@ def run_outage(signals: Sequence[np.ndarray], start: Sequence[float], roads: np.
     return nav
 
 
+def _outage_rows(samples: DataFrame) -> DataFrame:
+    """A row for each outage: an array for each of SIGNALS by row_idx, and start. Null signals count as NaN; a null still or calibrated is false."""
+    keys = ["session_id", "outage_id"]
+    given = samples.columns
+    value = lambda c: F.col(c).cast("double") if c in given else F.lit(0.0 if c == "calibrated" else math.nan)
+    flat = samples.select(*keys, "row_idx", *(F.coalesce(value(c), F.lit(0.0 if c in ("still", "calibrated") else math.nan)).alias(c) for c in (*SIGNALS, *START)))
+    rows = flat.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row_idx", *SIGNALS))).alias("_rows"), F.min_by(F.array(*START), "row_idx").alias("start"))
+    return rows.select(*keys, "start", *(F.col(f"_rows.{c}").alias(c) for c in SIGNALS))
+
+
+STATES = ("east", "north", "ve", "vn", "psi", "b_fwd", "b_lat", "b_yaw")
+
+
 def fuse_outages(samples: DataFrame, roads: DataFrame | None = None, speed_sigma: float = 1.8) -> DataFrame:
     """The filter's end state of each outage. samples: session_id, outage_id, row_idx and the columns SIGNALS and START.
 
@@ -171,16 +186,11 @@ def fuse_outages(samples: DataFrame, roads: DataFrame | None = None, speed_sigma
     still or calibrated is false.
     """
     keys = ["session_id", "outage_id"]
-    given = samples.columns
-    value = lambda c: F.col(c).cast("double") if c in given else F.lit(0.0 if c == "calibrated" else math.nan)
-    flat = samples.select(*keys, "row_idx", *(F.coalesce(value(c), F.lit(0.0 if c in ("still", "calibrated") else math.nan)).alias(c) for c in (*SIGNALS, *START)))
-    rows = flat.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("row_idx", *SIGNALS))).alias("_rows"), F.min_by(F.array(*START), "row_idx").alias("start"))
-    rows = rows.select(*keys, "start", *(F.col(f"_rows.{c}").alias(c) for c in SIGNALS))
+    rows = _outage_rows(samples)
     if roads is not None:
         own = roads.select(*keys, *(F.col(f"roads.{c}").alias(f"_{c}") for c in ROADS))
         none = F.array().cast("array<double>")
         rows = rows.join(own, keys, "left").withColumns({f"_{c}": F.coalesce(f"_{c}", none) for c in ROADS})
-    names = ("east", "north", "ve", "vn", "psi", "b_fwd", "b_lat", "b_yaw")
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from waymark.operators.filter_steps import run_outages  # which is built on this module
@@ -188,14 +198,36 @@ def fuse_outages(samples: DataFrame, roads: DataFrame | None = None, speed_sigma
         for batch in batches:
             near = [np.array(r, dtype=float).T.reshape(-1, len(ROADS)) for r in zip(*(batch[f"_{c}"] for c in ROADS), strict=True)] if roads_given else None
             states = run_outages(list(zip(*(batch[c] for c in SIGNALS), strict=True)), [list(x) for x in batch["start"]], near, speed_sigma)
-            yield pd.DataFrame({"session_id": batch["session_id"], "outage_id": batch["outage_id"], "n_rows": batch["fwd"].map(len), **dict(zip(names, states.T, strict=True))})
+            yield pd.DataFrame({"session_id": batch["session_id"], "outage_id": batch["outage_id"], "n_rows": batch["fwd"].map(len), **dict(zip(STATES, states.T, strict=True))})
 
     roads_given = roads is not None
     kinds = dict(samples.dtypes)
-    schema = f"session_id {kinds['session_id']}, outage_id {kinds['outage_id']}, n_rows bigint, " + ", ".join(f"{c} double" for c in names)
+    schema = f"session_id {kinds['session_id']}, outage_id {kinds['outage_id']}, n_rows bigint, " + ", ".join(f"{c} double" for c in STATES)
     return rows.mapInPandas(run, schema)
 
 
+def fuse_outages_by_cell(samples: DataFrame, segments: DataFrame, margin_m: float = 1000.0, cell_m: float = 1000.0, speed_sigma: float = 1.8) -> DataFrame:
+    """fuse_outages with the roads that joins.roads_near lists for the start of each outage, grown by the margin; no outage has a list of its own.
+
+    Outages that start in one cell share its list of roads (way_id, seg_idx and ROADS), and each looks up those of its own box.
+    """
+    rows = _outage_rows(samples)
+    chunks = nearby.by_cell(rows, ["session_id", "outage_id"], F.get("start", F.lit(0)), F.get("start", F.lit(1)), cell_m)
+
+    def run(points: pa.StructArray, near: pa.StructArray) -> list[pa.Array]:
+        from waymark.operators.filter_steps import SharedRoads, run_outages  # which is built on this module
+
+        column = lambda c: points.field(points.type.get_field_index(c))
+        start = np.stack(column("start").to_numpy(zero_copy_only=False))
+        shared = SharedRoads(nearby.Boxes(near), start[:, START.index("e0")], start[:, START.index("n0")], margin_m)
+        signals = [column(c).to_numpy(zero_copy_only=False) for c in SIGNALS]
+        states = run_outages(list(zip(*signals, strict=True)), list(start), shared, speed_sigma)
+        return [pa.array([len(s) for s in signals[0]], pa.int64()), *(pa.array(c) for c in states.T)]
+
+    kept = [f for f in rows.schema if f.name in ("session_id", "outage_id")]
+    return nearby.search(chunks, nearby.ways_of_cells(segments, cell_m, margin_m), kept, "n_rows bigint, " + ", ".join(f"{c} double" for c in STATES), run)
+
+
 def _headings(w: np.ndarray, dt: np.ndarray, m: np.ndarray, alpha: float) -> np.ndarray:
     """psi of each row, in [0, 2 pi): atan2 of alpha * (psi + yaw dt) and (1 - alpha) * reference; the first row has the reference."""
     out = np.empty(len(m))

@@ -52,6 +52,17 @@ def test_no_row_for_a_pair(spark, town):
     assert "MapInArrow" in plan and "Aggregate" not in above and "Exchange" not in above and "Join" not in above
 
 
+def test_counts_are_those_of_the_lists(town, monkeypatch):
+    monkeypatch.setattr(nearby, "CHUNK", 16)
+    points, _, given, segments = town
+    boxes = given.selectExpr("id", "x AS e_lo", "x AS e_hi", "y AS n_lo", "y AS n_hi").filter("e_lo IS NOT NULL")
+    want = {r.id: r.roads for r in joins.roads_near(boxes, segments, ["id"], 15.0, 30.0).collect()}
+    got = {r.id: r for r in joins.count_roads_near(given, segments, ["id"], 15.0, 10.0).collect()}
+    assert got.keys() == want.keys() and len(got) > 300
+    for k, r in got.items():
+        assert (r.n_roads, r.way_sum) == (len(want[k]), sum(x.way_id for x in want[k])) and abs(r.heading_sum - sum(x.heading for x in want[k])) < 1e-9
+
+
 def test_outages_of_a_cell_share_a_list(spark, town, monkeypatch):
     """The same states as with a list for each outage."""
     monkeypatch.setattr(nearby, "PAIRS", 500)

@@ -28,7 +28,8 @@ def wrap_degrees(x: Column) -> Column:
 
 def two_way_difference(a: Column, b: Column) -> Column:
     """The angle between two headings, where a road may be driven either way."""
-    return F.least(F.abs(wrap_pi(a - b)), F.abs(wrap_pi(a - b + F.lit(math.pi))))
+    held = lambda x: x - F.lit(TWO_PI) * F.floor(x / F.lit(TWO_PI)) - F.lit(math.pi)
+    return F.least(F.abs(held(a - b + F.lit(math.pi))), F.abs(held(a - b + F.lit(TWO_PI))))
 
 
 def circular_error(a: Column, b: Column) -> Column:
@@ -92,8 +93,8 @@ def clamp_projection(px: Column, py: Column, x1: Column, y1: Column, x2: Column,
     """(x, y, distance) of the point of a segment nearest to p."""
     dx, dy = x2 - x1, y2 - y1
     t = F.least(F.lit(1.0), F.greatest(F.lit(0.0), ((px - x1) * dx + (py - y1) * dy) / (dx * dx + dy * dy)))
-    x, y = x1 + t * dx, y1 + t * dy
-    return x, y, F.sqrt((px - x) * (px - x) + (py - y) * (py - y))
+    a, b = px - x1 - t * dx, py - y1 - t * dy
+    return x1 + t * dx, y1 + t * dy, F.sqrt(a * a + b * b)
 
 
 def rotation_columns(azimuth: Column, pitch: Column, roll: Column) -> list[Column]:

@@ -11,6 +11,7 @@ ROAD_POINTS = [(52.87, 60), (11.05, 60), (124.92, 60), (10.35, 60), (50.07, 60),
 VARIANCES = [[22, 8, 46, 32, 73, 67, 79, 1], [10, 3, 65, 53, 9, 66, 79, 31], [79, 72, 29, 10, 6, 75, 56, 25]]
 CASES = {
     "q_map_match": [ROAD_POINTS],
+    "q_nearest_road": [ROAD_POINTS],
 }
 
 

@@ -12,6 +12,7 @@ VARIANCES = [[22, 8, 46, 32, 73, 67, 79, 1], [10, 3, 65, 53, 9, 66, 79, 31], [79
 CASES = {
     "q_map_match": [ROAD_POINTS],
     "q_nearest_road": [ROAD_POINTS],
+    "q_unwrap": [[(v, 50) for v in (0.0, 245.0, 10.0, 255.0, 400.5, 155.5, 1.0)], [(v, 50) for v in (300.0, 55.0, 300.0, 12.0)]],
 }
 
 

@@ -150,11 +150,12 @@ def dead_reckon(df: DataFrame, velocity: str, heading: str, dt: str, by: str | S
     )
 
 
-def unwrap(df: DataFrame, angle: str, name: str, by: str = SESSION, order: str = ORDER) -> DataFrame:
-    """The angle without jumps of more than pi, as numpy.unwrap has it: a jump of pi up stays."""
+def unwrap(df: DataFrame, angle: str, name: str, by: str = SESSION, order: str = ORDER, pi_stays: bool = True) -> DataFrame:
+    """The angle without jumps of more than pi. pi_stays: a jump of pi up stays, as numpy.unwrap has it; else it counts as one down."""
     d = F.col(angle) - F.lag(angle).over(ordered(by, order))
-    turned = F.pmod(d + F.lit(math.pi), F.lit(TWO_PI)) - F.lit(math.pi)
-    turned = F.when((turned == -math.pi) & (d > 0), F.lit(math.pi)).otherwise(turned)
+    turned = d + F.lit(math.pi) - F.lit(TWO_PI) * F.floor((d + F.lit(math.pi)) / F.lit(TWO_PI)) - F.lit(math.pi)
+    if pi_stays:
+        turned = F.when((turned == -math.pi) & (d > 0), F.lit(math.pi)).otherwise(turned)
     rows = df.withColumn("_fix", F.when(F.abs(d) < math.pi, F.lit(0.0)).otherwise(F.coalesce(turned - d, F.lit(0.0))))
     return rows.withColumn(name, F.col(angle) + F.sum("_fix").over(so_far(by, order))).drop("_fix")
 

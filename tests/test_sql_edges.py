@@ -13,6 +13,7 @@ CASES = {
     "q_map_match": [ROAD_POINTS],
     "q_nearest_road": [ROAD_POINTS],
     "q_unwrap": [[(v, 50) for v in (0.0, 245.0, 10.0, 255.0, 400.5, 155.5, 1.0)], [(v, 50) for v in (300.0, 55.0, 300.0, 12.0)]],
+    "q_zupt_v2": [[(10.0, k) for k in ks] for ks in VARIANCES],
 }
 
 

@@ -86,7 +86,19 @@ def genuine_fixes(df: DataFrame, flag: str, lat: str, lon: str, by: str = SESSIO
 
 
 def rolling_variance(column: str, rows: int = 8, by: str = SESSION, order: str = ORDER) -> Column:
-    return F.coalesce(F.var_samp(column).over(ordered(by, order).rowsBetween(-(rows - 1), 0)), F.lit(0.0))
+    """Of this row and the rows - 1 before it, 0 with fewer than two values.
+
+    Welford's recurrence in the order of the rows, with the product (x - new mean) * (x - mean): a limit that a variance
+    meets exactly is met or missed as in SQL.
+    """
+    values = F.collect_list(F.col(column).cast("double")).over(ordered(by, order).rowsBetween(-(rows - 1), 0))
+    none = F.struct(F.lit(0.0).alias("n"), F.lit(0.0).alias("mean"), F.lit(0.0).alias("m2"))
+
+    def add(a: Column, x: Column) -> Column:
+        mean = a["mean"] + (x - a["mean"]) / (a["n"] + 1)
+        return F.struct((a["n"] + 1).alias("n"), mean.alias("mean"), (a["m2"] + (x - mean) * (x - a["mean"])).alias("m2"))
+
+    return F.aggregate(values, none, add, lambda a: F.when(a["n"] > 1, a["m2"] / (a["n"] - 1)).otherwise(0.0))
 
 
 def held_for(flag: Column, rows: int = 8, by: str | Sequence[str] = SESSION, order: str = ORDER) -> Column:

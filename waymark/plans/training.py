@@ -13,6 +13,7 @@ from waymark.operators import windows as win
 from waymark.operators.features import SIGNALS_56, SIGNALS_58, STATS
 from waymark.plans.motion import _ROADS, _SIGNALS, _SIM, FAR, _roads, _signals, _simulated, _stats_sql
 from waymark.plans.samples import SAMPLES_SQL, samples, table
+from waymark.shared import written
 
 QUERIES, ORACLE_SQL = {}, {}
 R = 6
@@ -78,9 +79,10 @@ def q_segment_table(spark, sf_dir):
 
 @query()
 def q_ridge_folds(spark, sf_dir):
-    """Ridge of target C on the segment table for each fold, from one pass; trips are the last digits of users."""
+    """Ridge of target C on the segment table, which is made once, for each fold; trips are the last digits of users."""
     found = training.segment_table(_fixed_rows(spark, sf_dir), "fix", "h", "v", most_s=400.0).withColumn("trip", F.reverse(F.col("session_id").cast("string")))
     names = [*(f"{s}_{n}" for s in SIGNALS_58 for n in STATS), "seg_dur_s", "seg_n_samples"]
+    found = written(found.select("trip", "target_c", *names))  # three scans follow
     folds = [str(d) for d in range(10)]
     models = training.ridge_folds(found, folds, "trip", names, "target_c", clip_sigma=10.0)
     out = training.ridge_reports(found, models, "trip", names, "target_c")

@@ -1,4 +1,4 @@
-"""Tables that are read more than once are made once; rows that wait in a stream's state are one value of a key."""
+"""Tables that are read more than once are made once."""
 
 from waymark.plans import registry, training
 

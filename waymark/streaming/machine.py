@@ -214,17 +214,19 @@ class RoadCells:
     def __init__(self, get: Callable[[tuple[int, int]], list[float]], put: Callable[[tuple[int, int], list[float]], None]):
         self.get, self.put = get, put
 
-    def _cells(self, lo: float, hi: float) -> range:
-        return range(math.floor((lo - ROAD_GATE_M) / self.WIDTH), math.floor((hi + ROAD_GATE_M) / self.WIDTH) + 1)
+    @classmethod
+    def cells_of(cls, segment: tuple[float, ...]) -> Iterator[tuple[int, int]]:
+        """The cells that a segment is entered in."""
+        e1, n1, e2, n2, _ = segment
+        span = lambda a, b: range(math.floor((min(a, b) - ROAD_GATE_M) / cls.WIDTH), math.floor((max(a, b) + ROAD_GATE_M) / cls.WIDTH) + 1)
+        return ((cx, cy) for cx in span(e1, e2) for cy in span(n1, n2))
 
     def enter(self, segment: tuple[float, ...]) -> None:
         """A segment that's there already isn't entered again."""
-        e1, n1, e2, n2, _ = segment
-        for cx in self._cells(min(e1, e2), max(e1, e2)):
-            for cy in self._cells(min(n1, n2), max(n1, n2)):
-                known = list(self.get((cx, cy)))
-                if tuple(segment) not in {tuple(known[k : k + 5]) for k in range(0, len(known), 5)}:
-                    self.put((cx, cy), known + [float(v) for v in segment])
+        for cell in self.cells_of(segment):
+            known = list(self.get(cell))
+            if tuple(segment) not in {tuple(known[k : k + 5]) for k in range(0, len(known), 5)}:
+                self.put(cell, known + [float(v) for v in segment])
 
     def heading(self, east: float, north: float, psi: float) -> float:
         own = self.get((math.floor(east / self.WIDTH), math.floor(north / self.WIDTH)))
